@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_dedup, url_filter, warc
+from lexmill.llm import exact_dedup, packing, url_filter, warc
 from lexmill.llm.common import table
 
 # The rules of op10.
@@ -27,6 +27,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(pages, model, URL_RULES)
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
@@ -46,7 +56,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter}
+    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing}
 
 
 def oracle_sql() -> dict[str, str]:
