@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_dedup, packing, url_filter, warc
+from lexmill.llm import exact_dedup, packing, toxicity, url_filter, warc
 from lexmill.llm.common import table
 
 # The rules of op10.
@@ -37,6 +37,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (toxicity.fold_of(scored["doc_id"]) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
@@ -56,7 +63,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing}
+    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
