@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import exact_dedup, packing, toxicity, url_filter, warc
+from lexmill.llm import exact_dedup, ngram_join, packing, toxicity, url_filter, warc
 from lexmill.llm.common import table
 
 # The rules of op10.
@@ -44,6 +44,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (toxicity.fold_of(scored["doc_id"]) == toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
@@ -63,7 +67,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity}
+    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity, "op4_ngram_join": op4_ngram_join}
 
 
 def oracle_sql() -> dict[str, str]:
