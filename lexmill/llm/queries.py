@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexmill.llm import decontaminate, exact_dedup, line_dedup, ngram_join, packing, toxicity, url_filter, warc
+from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, toxicity, url_filter, warc
 from lexmill.llm.common import table
 
 # The rules of op10.
@@ -56,6 +56,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_text.train_extractor([*html_text.sample_articles(pages, table(spark, sf_dir, "documents")), *html_text.made_pages()])
+    return html_text.extract_text(pages, model)
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
@@ -75,7 +85,7 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity, "op4_ngram_join": op4_ngram_join, "op3_line_dedup": op3_line_dedup, "op7_decontamination": op7_decontamination}
+    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity, "op4_ngram_join": op4_ngram_join, "op3_line_dedup": op3_line_dedup, "op7_decontamination": op7_decontamination, "op2_html_text": op2_html_text, "op5_license_scan": op5_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
