@@ -25,8 +25,22 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    load()
     return _QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    load()
     return _ORACLES
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: a search over all documents."""
+    from lexmill.plans.search_queries import flagship
+
+    return flagship(spark, sf_dir)
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from lexmill.plans import corpus_queries, search_queries, talk_queries  # noqa: F401

@@ -1,0 +1 @@
+"""Reading articles, and writing index state."""

@@ -1,0 +1 @@
+"""Structured Streaming: incremental ingest and the request limiter."""
