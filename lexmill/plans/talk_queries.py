@@ -1 +1,199 @@
-"""Conversations, answers, requests."""
+"""Queries over conversations, cited answers, alignment, and requests."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexmill.operators import citations, conversations, evidence
+from lexmill.plans import sql as S
+from lexmill.plans.corpus_queries import documents, table
+from lexmill.plans.registry import query
+from lexmill.streaming import limiter
+
+
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations")
+
+
+@query(
+    "conversation_list",
+    """SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn, substr(coalesce(arg_min(text, turn) FILTER (role = 'user'), ''), 1, 120) AS preview FROM conversations GROUP BY conv_id""",
+)
+def conversation_list(spark, sf_dir):
+    return conversations.conversation_list(messages(spark, sf_dir))
+
+
+@query(
+    "history_window",
+    """SELECT conv_id, turn, role, kind, back FROM (SELECT *, CASE WHEN n > 12 AND back > 8 THEN 'summarised' WHEN n > 12 OR back <= 20 THEN 'verbatim' END AS kind FROM (
+    SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role IN ('user', 'assistant') AND text != '')) WHERE kind IS NOT NULL""",
+)
+def history_window(spark, sf_dir):
+    return conversations.history(messages(spark, sf_dir))
+
+
+@query(
+    "last_assistant",
+    "SELECT conv_id, turn, role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'assistant' GROUP BY conv_id) x WHERE x.conv_id = c.conv_id AND x.turn = c.turn)",
+)
+def last_assistant(spark, sf_dir):
+    return conversations.without_last_answer(messages(spark, sf_dir)).select("conv_id", "turn", "role")
+
+
+@query(
+    "token_cost",
+    """SELECT conv_id, tokens_in, tokens_out, round((tokens_in * 0.15::DOUBLE + tokens_out * 0.60::DOUBLE) / 1e6, 8) AS cost,
+    CASE WHEN round((tokens_in * 0.15::DOUBLE + tokens_out * 0.60::DOUBLE) / 1e6, 8) < 0.001 THEN '<$0.001' ELSE '$' || format('{:.3f}', round((tokens_in * 0.15::DOUBLE + tokens_out * 0.60::DOUBLE) / 1e6, 8)) END AS label FROM (
+    SELECT conv_id, sum(CASE WHEN role = 'assistant' THEN 0 ELSE ceil(length(text) / 3.0) END)::BIGINT AS tokens_in, sum(CASE WHEN role = 'assistant' THEN ceil(length(text) / 3.0) ELSE 0 END)::BIGINT AS tokens_out FROM conversations GROUP BY conv_id)""",
+)
+def token_cost(spark, sf_dir):
+    return conversations.token_cost(messages(spark, sf_dir))
+
+
+@query(
+    "fallback_query",
+    "SELECT conv_id, turn, trim(concat_ws(' ', lag(text) OVER (PARTITION BY conv_id ORDER BY turn), text)) AS query FROM conversations WHERE role = 'user'",
+)
+def fallback_query(spark, sf_dir):
+    return conversations.fallback_query(messages(spark, sf_dir))
+
+
+@query(
+    "markdown_export",
+    r"""SELECT conv_id, '# Conversation ' || conv_id || chr(10) || chr(10) || string_agg('## ' || upper(role[1]) || lower(role[2:]) || chr(10) || chr(10) || trim(text), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS markdown FROM conversations GROUP BY conv_id""",
+)
+def markdown_export(spark, sf_dir):
+    return conversations.markdown(messages(spark, sf_dir))
+
+
+@query("delete_cascade", "SELECT conv_id, turn FROM conversations WHERE conv_id % 4 != 0")
+def delete_cascade(spark, sf_dir):
+    rows = messages(spark, sf_dir)
+    heads = rows.select("conv_id").distinct()
+    return conversations.delete_conversations(heads, rows, heads.filter("conv_id % 4 = 0"))[1].select("conv_id", "turn")
+
+
+# Answers are made of benchmark passages: a quote of the passage, one that is altered, and references in and out of range.
+_HEAD = "substr(text, 1, 60)"
+_ANSWER_SQL = f"""SELECT item_id AS answer_id, 'Intro sentence. «' || replace(replace({_HEAD}, chr(10), ' '), '  ', ' ') || '» (المستند [' || (item_id % 5) || ']). Then «altered ' || item_id || '» follows! (م ' || (item_id % 3 + 1) || ') end' AS answer,
+text AS source, item_id FROM benchmark"""
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    head = F.replace(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" "))
+    answer = F.concat(F.lit("Intro sentence. «"), head, F.lit("» (المستند ["), (F.col("item_id") % 5).cast("string"), F.lit("]). Then «altered "), F.col("item_id").cast("string"), F.lit("» follows! (م "), (F.col("item_id") % 3 + 1).cast("string"), F.lit(") end"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("answer_id"), answer.alias("answer"), F.array("text").alias("sources"), F.lit(3).alias("n_sources"))
+
+
+@query(
+    "quote_extract",
+    f"""SELECT answer_id, regexp_extract_all(answer, '«([^«»]+)»', 1) AS quotes, list_transform(regexp_extract_all(answer, '\\(المستند \\[(\\d+)\\]\\)', 1), lambda x: CAST(x AS INT)) AS refs,
+    list_transform(regexp_extract_all(answer, '\\(م ?(\\d+)\\)', 1), lambda x: CAST(x AS INT)) AS marks, regexp_replace(answer, '\\(المستند \\[(\\d+)\\]\\)', '[\\1](#doc-\\1)', 'g') AS linked FROM ({_ANSWER_SQL})""",
+)
+def quote_extract(spark, sf_dir):
+    return answers(spark, sf_dir).select(
+        "answer_id", citations.quotes("answer").alias("quotes"), citations.document_refs("answer").alias("refs"), citations.source_marks("answer").alias("marks"), citations.link_refs("answer").alias("linked")
+    )
+
+
+@query(
+    "quote_grounding",
+    f"""WITH a AS (SELECT answer_id, answer, {S.normalize_citation('source')} AS s, list_filter(list_transform(regexp_extract_all(answer, '«([^«»]+)»', 1), lambda x: {S.normalize_citation('x')}), lambda x: x != '') AS q,
+      regexp_extract_all(answer, '\\(المستند \\[(\\d+)\\]\\)', 1) AS r, list_filter(regexp_extract_all(answer, '[^.!?؟\\n]+[.!?؟]?'), lambda x: trim(x) != '') AS t FROM ({_ANSWER_SQL})),
+    b AS (SELECT *, len(list_filter(q, lambda x: contains(s, x))) AS g, len(list_filter(t, lambda x: regexp_matches(x, '«|\\(المستند \\[(\\d+)\\]\\)'))) AS c, len(list_filter(r, lambda x: CAST(x AS INT) BETWEEN 1 AND 3)) AS v FROM a)
+    SELECT answer_id, CASE WHEN len(q) = 0 THEN 0.0 ELSE round(g::DOUBLE / len(q), 4) END AS quote_grounding, CASE WHEN len(t) = 0 THEN 0.0 ELSE round(c::DOUBLE / len(t), 4) END AS sentence_coverage,
+    CASE WHEN len(r) = 0 THEN 1.0 ELSE round(v::DOUBLE / len(r), 4) END AS docref_validity, len(q) AS n_quotes, g AS n_grounded, len(t) AS n_sentences, len(r) AS n_docrefs, length(answer) AS answer_chars FROM b""",
+)
+def quote_grounding(spark, sf_dir):
+    return citations.score_answers(answers(spark, sf_dir))
+
+
+@query(
+    "cited_sources",
+    f"""WITH q AS (SELECT answer_id, unnest(regexp_extract_all(answer, '«([^«»]+)»', 1)) AS quote, generate_subscripts(regexp_extract_all(answer, '«([^«»]+)»', 1), 1) - 1 AS quote_no FROM ({_ANSWER_SQL})),
+    n AS (SELECT answer_id, quote_no, {S.normalize_citation('quote', '')} AS q FROM q),
+    s AS (SELECT a.item_id AS answer_id, b.item_id AS doc_id, (b.item_id - a.item_id + 2) AS source_rank, {S.normalize_citation('b.text', '')} AS s FROM benchmark a JOIN benchmark b ON b.item_id BETWEEN a.item_id - 1 AND a.item_id + 1)
+    SELECT answer_id, quote_no, coalesce(arg_min(doc_id, source_rank) FILTER (contains(s, q)), arg_min(doc_id, source_rank)) AS doc_id, bool_or(contains(s, q)) AS grounded FROM n JOIN s USING (answer_id) WHERE q != '' GROUP BY answer_id, quote_no""",
+)
+def cited_sources(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark")
+    near = items.select(F.explode(F.sequence(F.col("item_id") - 1, F.col("item_id") + 1)).alias("answer_id"), F.col("item_id").alias("doc_id"), "text")
+    sources = near.join(items.select(F.col("item_id").alias("answer_id")), "answer_id").withColumn("source_rank", F.col("doc_id") - F.col("answer_id") + 2)
+    quoted = answers(spark, sf_dir).select("answer_id", F.posexplode(citations.quotes("answer")).alias("quote_no", "quote"))
+    return citations.resolve_quotes(quoted, sources)
+
+
+_WORDS = f"SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM (SELECT doc_id, list_filter(string_split({S.normalize_citation('text', '')}, ' '), lambda x: x != '') AS w FROM documents)"
+_PHRASES = f"SELECT item_id AS phrase_id, len(w) AS n_words, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS k FROM (SELECT item_id, list_filter(string_split({S.normalize_citation('text', '')}, ' '), lambda x: x != '') AS w FROM benchmark)"
+
+
+def _align_sql(allowed: str) -> str:
+    return f"""SELECT phrase_id, doc_id, start, n_words, misses FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id, doc_id ORDER BY misses, start) AS r FROM (
+    SELECT phrase_id, doc_id, n_words, pos - k AS start, n_words - count(*) AS misses FROM ({_WORDS}) JOIN ({_PHRASES}) USING (word) GROUP BY phrase_id, doc_id, n_words, pos - k) WHERE misses <= {allowed} AND start >= 0) WHERE r = 1"""
+
+
+def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("phrase_id"), F.col("text").alias("phrase"))
+
+
+@query("align_exact", _align_sql("0"))
+def align_exact(spark, sf_dir):
+    return citations.align(phrases(spark, sf_dir), citations.words_of(documents(spark, sf_dir)))
+
+
+@query("align_tolerant", _align_sql("CASE WHEN n_words >= 3 THEN greatest(1, floor(n_words * 0.1::DOUBLE)) ELSE 0 END"))
+def align_tolerant(spark, sf_dir):
+    return citations.align(phrases(spark, sf_dir), citations.words_of(documents(spark, sf_dir)), 0.1)
+
+
+@query("find_in_document")
+def find_in_document(spark, sf_dir):
+    return citations.find_in_document(documents(spark, sf_dir), ["th", "on"])
+
+
+@query(
+    "stance_meter",
+    """SELECT grp, n_support, n_contrast, n_mixed, n_neutral, CASE WHEN n_support = 0 AND n_contrast = 0 AND n_mixed = 0 THEN 'descriptive' WHEN n_support > 0 AND n_support >= 2 * n_contrast THEN 'support'
+    WHEN n_contrast > 0 AND n_contrast >= 2 * n_support THEN 'oppose' ELSE 'conflicting' END AS verdict FROM (SELECT doc_id % 50 AS grp, count(*) FILTER (quality = 1 AND toxic = 0) AS n_support, count(*) FILTER (quality = 0 AND toxic = 1) AS n_contrast,
+    count(*) FILTER (quality = 1 AND toxic = 1) AS n_mixed, count(*) FILTER (quality = 0 AND toxic = 0) AS n_neutral FROM labels GROUP BY doc_id % 50)""",
+)
+def stance_meter(spark, sf_dir):
+    q, t = F.col("quality") == 1, F.col("toxic") == 1
+    stance = F.when(q & ~t, "support").when(~q & t, "contrast").when(q & t, "mixed").otherwise("unknown")
+    return evidence.stance_meter(table(spark, sf_dir, "labels").select((F.col("doc_id") % 50).alias("grp"), stance.alias("stance")), "grp")
+
+
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), F.col("event_id").alias("request_id"), "ts")
+
+
+@query(
+    "rate_limit_window",
+    "SELECT user_id AS client, event_id AS request_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3599999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS n_recent FROM events",
+)
+def rate_limit_window(spark, sf_dir):
+    return limiter.window_log(requests(spark, sf_dir), 3600).select("client", "request_id", "n_recent")
+
+
+@query("rate_limit_exact")
+def rate_limit_exact(spark, sf_dir):
+    return limiter.limit_requests(requests(spark, sf_dir), limit=2, window=3600.0)
+
+
+@query(
+    "latency_percentiles",
+    "SELECT event_type, round(median(value), 6) AS p50, list_sort(list(value))[CAST(floor(0.95::DOUBLE * count(*)) AS INT) + 1] AS p95 FROM events GROUP BY event_type",
+)
+def latency_percentiles(spark, sf_dir):
+    """The median, and the element at index int(0.95 n) of the sorted values, by rank and without gathering a group in one array."""
+    events = table(spark, sf_dir, "events").select("event_type", "value")
+    w = Window.partitionBy("event_type")
+    ranked = events.select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
+    return ranked.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.95) + 1, F.col("value"))).alias("p95"))
+
+
+@query("role_summary", """SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, min(length(text)) AS least FROM conversations GROUP BY role""")
+def role_summary(spark, sf_dir):
+    n = F.length("text")
+    return messages(spark, sf_dir).groupBy("role").agg(F.count("*").alias("n"), F.round(F.avg(n), 4).alias("mean_chars"), F.min(n).alias("least"))

@@ -30,14 +30,13 @@ def fold(times: Iterable[float], limit: int, window: float, held: Iterable[float
 
 def window_log(requests: DataFrame, window: int = 60) -> DataFrame:
     """Requests with how many their client made in the window before and with them: an upper bound, in native windows."""
-    seconds = F.col("ts").cast("double")
     w = Window.partitionBy("client").orderBy(F.col("micros")).rangeBetween(-window * 1_000_000 + 1, 0)
-    return requests.withColumn("micros", F.unix_micros("ts")).withColumn("n_recent", F.count("*").over(w)).drop("micros").withColumn("seconds", seconds).drop("seconds")
+    return requests.withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("n_recent", F.count("*").over(w)).drop("micros")
 
 
 def limit_requests(requests: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
     """client, request_id, accepted. Rows are sorted by client and time and folded as they stream by, so a client isn't held in memory."""
-    rows = requests.select("client", "request_id", F.unix_micros("ts").alias("micros")).repartition("client").sortWithinPartitions("client", "micros", "request_id")
+    rows = requests.select("client", "request_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).repartition("client").sortWithinPartitions("client", "micros", "request_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client, held = None, []
