@@ -40,7 +40,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 SCOPES = frozenset("html body table ul ol dl div article section main aside nav header footer form td th li blockquote".split())
-GROUPS = ["nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "ul", "ol", "li", "form", "a", "table", "blockquote"]
+GROUPS = ["nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "ul", "ol", "li", "form", "table", "blockquote"]
 
 _TOKEN = re.compile(r"[a-z]+")
 _BUCKETS = 24
@@ -48,24 +48,35 @@ _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
 class Page(HTMLParser):
-    """Elements of a page, in order: tag, parent, attribute tokens; and pieces of text, each with its element and whether a block began before it."""
+    """Block elements of a page, in order: tag, parent, attribute tokens, links; and pieces of text: block, text, whether a block began before, whether linked.
+
+    Elements in running text are no blocks: their text belongs to the block around them.
+    """
 
     def __init__(self, html: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.tag, self.parent, self.tokens = ["#root"], [-1], [()]
-        self.pieces: list[tuple[int, str, bool]] = []
+        self.tag, self.parent, self.tokens, self.links = ["#root"], [-1], [()], [0]
+        self.pieces: list[tuple[int, str, bool, bool]] = []
         self.open = [0]
         self.silent = 0
         self.edge = True
+        self.linked = False
         try:
             self.feed(html)
             self.close()
         except (AssertionError, ValueError):  # what the parser gives up on ends the page
             pass
+        self.weight = [0] * len(self.tag)
+        for k, t, _, _ in self.pieces:
+            self.weight[k] += len(t.strip())
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag not in INLINE:
-            self.edge = True
+        if tag in INLINE:
+            if tag == "a":
+                self.linked = any(name == "href" for name, _ in attrs)
+                self.links[self.open[-1]] += self.linked
+            return
+        self.edge = True
         closes = CLOSES.get(tag)
         if closes:
             for k in range(len(self.open) - 1, 0, -1):
@@ -84,17 +95,20 @@ class Page(HTMLParser):
         self.tag.append(tag)
         self.parent.append(self.open[-1] if len(self.open) < DEEPEST else self.open[DEEPEST - 1])
         self.tokens.append(words)
+        self.links.append(0)
         self.open.append(len(self.tag) - 1)
         self.silent += tag in SILENT
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in SILENT and self.tag[self.open[-1]] == tag:
+        if tag not in VOID and tag not in SILENT and tag not in INLINE and self.tag[self.open[-1]] == tag:
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag not in INLINE:
-            self.edge = True
+        if tag in INLINE:
+            self.linked = self.linked and tag != "a"
+            return
+        self.edge = True
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] == tag:
                 self._pop(k)
@@ -107,28 +121,24 @@ class Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.silent:
-            self.pieces.append((self.open[-1], data, self.edge))
+            self.pieces.append((self.open[-1], data, self.edge, self.linked))
             self.edge = False
 
     def features(self) -> list[list[float]]:
         """A row for each element."""
         n = len(self.tag)
-        own_text, links, marks, below, depth, children, place = [0] * n, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n
-        linked = [0] * n
+        own_text, links, marks, below, depth, children, place = self.weight, [0] * n, [0] * n, [1] * n, [0] * n, [0] * n, [0] * n
         for k in range(1, n):
             p = self.parent[k]
             depth[k] = depth[p] + 1
             place[k] = children[p]
             children[p] += 1
-            linked[k] = linked[p] or self.tag[k] == "a"
-        for k, t, _ in self.pieces:
-            size = len(t.strip())
-            own_text[k] += size
-            if linked[k]:
-                links[k] += size
+        for k, t, _, linked in self.pieces:
+            if linked:
+                links[k] += len(t.strip())
             marks[k] += len(_PUNCTUATION.findall(t))
         text, longest = own_text[:], own_text[:]
-        n_links = [int(t == "a") for t in self.tag]
+        n_links = self.links[:]
         n_p = [int(t in ("p", "br")) for t in self.tag]
         for k in range(n - 1, 0, -1):
             p = self.parent[k]
@@ -139,7 +149,6 @@ class Page(HTMLParser):
             n_links[p] += n_links[k]
             n_p[p] += n_p[k]
             longest[p] = max(longest[p], longest[k])
-        self.weight = own_text
         total = max(text[0], 1)
         # what an element inherits: the nearest ancestor of a telling kind, and the tokens on the way down
         kind, bag = [-1] * n, [frozenset()] * n
@@ -154,7 +163,7 @@ class Page(HTMLParser):
             rows.append(
                 [
                     depth[k], place[k], siblings - place[k], siblings, place[k] / siblings, below[k], children[k], text[k], own_text[k], longest[k], text[k] / total, text[k] / below[k],
-                    links[k] / max(text[k], 1), n_links[k] / below[k], marks[k] / max(text[k], 1) * 100, n_p[k], text[p] / total if k else 1.0, GROUPS.index(tag) if tag in GROUPS else (20 if tag in INLINE else 21 if tag[0] == "h" and tag[1:].isdigit() else 22),
+                    links[k] / max(text[k], 1), n_links[k] / below[k], marks[k] / max(text[k], 1) * 100, n_p[k], text[p] / total if k else 1.0, GROUPS.index(tag) if tag in GROUPS else (21 if tag[0] == "h" and tag[1:].isdigit() else 22),
                     above, kind[k], *(float(b in bag[k]) for b in range(_BUCKETS)),
                 ]
             )
@@ -186,7 +195,7 @@ class Page(HTMLParser):
     def text(self, keep: list[bool]) -> str:
         out: list[str] = []
         gap = False
-        for k, t, edge in self.pieces:
+        for k, t, edge, _ in self.pieces:
             gap = gap or edge
             if keep[k]:
                 if gap:
@@ -204,7 +213,7 @@ def _known(page: Page, article: str) -> list[int | None]:
     whole = " ".join(article.split())
     n = len(page.tag)
     good, all_ = [0] * n, [0] * n
-    for k, t, _ in page.pieces:
+    for k, t, _, _ in page.pieces:
         t = " ".join(t.split())
         if t:
             all_[k] += len(t)
