@@ -99,13 +99,10 @@ def align_cluster(phrases: DataFrame, words: DataFrame) -> DataFrame:
     p = phrases.select("phrase_id", F.size(tokens).alias("n"), F.array_distinct(F.filter(tokens, lambda w: F.length(w) >= 4)).alias("keys")).filter(F.size("keys") >= 3)
     p = p.select("phrase_id", "n", F.size("keys").alias("n_keys"), F.explode("keys").alias("word"))
     hits = words.join(F.broadcast(p) if p.count() <= 500_000 else p, "word")
-    width = F.ceil(F.col("n") * 1.5)
-    hits = hits.withColumn("width", width)
-    # spans depend on the phrase, so the frame is by distinct places counted pairwise within the phrase and document
-    own = Window.partitionBy("phrase_id", "doc_id").orderBy("pos")
-    arr = hits.withColumn("ahead", F.collect_list("pos").over(own.rowsBetween(0, 200)))
-    dense = F.size(F.filter("ahead", lambda x: x < F.col("pos") + F.col("width")))
-    rows = arr.withColumn("n_hits", dense).withColumn("last", F.array_max(F.filter("ahead", lambda x: x < F.col("pos") + F.col("width"))))
+    # places are scaled by the phrase's width, so that one range frame of just under 1 serves all phrases
+    hits = hits.withColumn("x", F.col("pos") / F.ceil(F.col("n") * 1.5))
+    frame = "OVER (PARTITION BY phrase_id, doc_id ORDER BY x RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
+    rows = hits.withColumn("n_hits", F.expr(f"count(*) {frame}")).withColumn("last", F.expr(f"max(pos) {frame}"))
     good = rows.filter((F.col("n_hits") >= 3) & (F.col("n_hits") >= F.ceil(F.col("n_keys") * 0.6)))
     order = Window.partitionBy("phrase_id", "doc_id").orderBy(F.desc("n_hits"), F.asc("pos"))
     return good.withColumn("k", F.row_number().over(order)).filter("k = 1").select("phrase_id", "doc_id", F.col("pos").alias("start"), F.col("last").alias("end"), "n_hits")
