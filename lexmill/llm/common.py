@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
+
+BROADCAST_ROWS = 1_000_000
 
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -55,16 +60,27 @@ def drop_kept(df: DataFrame) -> None:
                 return
 
 
-def marks() -> int:
-    """How many tables have been kept so far; see sweep()."""
-    return len(_MADE)
+@contextlib.contextmanager
+def collected(paths: list[tuple[SparkSession, str]]) -> Iterator[None]:
+    """The tables kept meanwhile, so that remove_all() can remove them when no lazy result reads them any more."""
+    before = list(_MADE)
+    try:
+        yield
+    finally:
+        paths += [x for x in _MADE if x not in before]
+
+
+def remove_all(paths: list[tuple[SparkSession, str]]) -> None:
+    while paths:
+        entry = paths.pop()
+        if entry in _MADE:
+            _MADE.remove(entry)
+        remove(*entry)
 
 
-def sweep() -> None:
-    """Remove all kept tables. Results that are still lazy can't be computed afterwards."""
-    while _MADE:
-        spark, path = _MADE.pop()
-        remove(spark, path)
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A join that broadcasts the right side only if it has few rows, and is left to Spark beyond that."""
+    return left.join(broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
 # --- hashing -------------------------------------------------------------------------------------
