@@ -64,9 +64,9 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """query_id, id, score: cosine of every query (query_id, vector) with every row; queries are a stated, small set and are broadcast."""
+    """query_id, id, score: cosine of every query (query_id, vector) with every row; queries are a stated set, broadcast while it is small."""
     cosine = dot("q", "vector") / (F.sqrt(dot("q", "q")) * F.sqrt(dot("vector", "vector")))
-    return vectors.crossJoin(F.broadcast(queries.withColumnRenamed("vector", "q"))).select("query_id", id_col, F.round(cosine, 6).alias("score"))
+    return vectors.crossJoin(small(queries.withColumnRenamed("vector", "q"))).select("query_id", id_col, F.round(cosine, 6).alias("score"))
 
 
 def top_k(scored: DataFrame, k: int, id_col: str = "chunk_id", partition: str = "query_id") -> DataFrame:
