@@ -5,32 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_kept, keep
+from lexmill.llm.common import BROADCAST_ROWS, drop_kept, keep
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Links of each node to the least of its neighbours and itself: its larger neighbours' (large) or its own and smaller ones' (small)."""
+    side = F.broadcast if few else lambda df: df
     if large:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        out = both.join(side(least), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         least = edges.groupBy("u").agg(F.min("v").alias("m"))  # u > v in all edges
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.filter(F.col("u") != F.col("v")).distinct()
+        out = edges.join(side(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = out.filter(F.col("u") != F.col("v")).distinct()
+    return out.coalesce(8) if few else out
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """node and root (the least node of its component) for every node of the links (a, b); hubs are handled by aggregates and split joins."""
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before = None
+    before, n = None, edges.count()
     while True:
-        new = keep(_star(_star(edges, large=True), large=False), "edges")
+        few = n <= BROADCAST_ROWS  # no star has more links than twice the one before
+        new = keep(_star(_star(edges, True, few), False, few), "edges")
         drop_kept(edges)
         edges = new
         # a state is told by its number of links and a sum over them; unchanged: all are stars
         r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if (r["n"], r["x"]) == before or not r["n"]:
             break
-        before = (r["n"], r["x"])
+        before, n = (r["n"], r["x"]), r["n"]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

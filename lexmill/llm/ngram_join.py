@@ -1,17 +1,17 @@
 """Exact Jaccard self-join of documents on word shingles, and the groups that its links make.
 
 T-occurrence search in the manner of DivideSkip. Each document (a set of n shingles) is a query for the others that share at least T
-of its inverted lists, T = ceil(0.8 n). Its lists are divided by length: the T-1 longest are skipped at first, and the
-n-T+1 short ones are merged; a document that shares T lists must be on one of the short ones. What the merge finds
+of its inverted lists, T = ceil(0.8 n). Its lists are divided by length: the T-m longest are skipped at first (m = 1 + n/20), and the
+n-T+m short ones are merged; a document that shares T lists must be on m of the short ones. What the merge finds
 is checked by binary probes in the sorted shingles of the candidate, against the exact bound on intersection and union.
 
 Lists are divided by one global order, so both sides of a pair skip the same lists: shingles that recur within a part of the
 input, by an estimate of their frequency, come last, others before them by hash. Only shingles before the division are
-shuffled (about a fifth), so frequent passages meet in no task. Any order gives the same result; the order only saves time.
+shuffled (about a quarter), so frequent passages meet in no task. Any order gives the same result; the order only saves time.
 
-Links are wanted up to groups, so a list isn't expanded into its pairs: each member is paired with the list's first one, the
-pairs are verified, and components contracted. Lists within one component are then done; on the others, all pairs of different
-components are verified too, so no link between components is lost. Documents with equal sets are one class throughout.
+Links are wanted up to groups, so a list isn't expanded into its pairs: each member is paired with the list's first one, pairs
+that look alike are verified, and components contracted. Lists within one component are then done; on the others, all pairs of different
+components are counted, and those on enough common lists verified, so no link between components is lost. Documents with equal sets are one class throughout.
 
 Defined results: a null or blank text has no shingle (n_shingles 0) and is linked with nothing; a text of fewer than five words has
 one shingle; null ids are carried through and never name a group that has another id; repeated rows are in one group; an empty
@@ -33,11 +33,17 @@ from lexmill.llm.components import connected_components
 WORDS = 5
 #: Similarity as a fraction.
 NUM, DEN = 4, 5
-HOT_MOST = 200_000
+HOT_MOST = 400_000
 NEEDED_MOST = 4_000_000
 CHUNK_BYTES = 1 << 20
-COUNT_MOST = 2_000_000
+COUNT_MOST = 4_000_000
 LIST_BLOCK = 2048
+#: One more short list for so many shingles, so that one shared list isn't enough for a candidate.
+MORE = 20
+#: Share of the short lists that a pair has in common to be worth a look in the first round.
+ALIKE = 0.3
+#: Rounds in which each class tries its likeliest partner, before all that are left are tried.
+ROUNDS = 3
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -113,7 +119,7 @@ def _hot_counts(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
         def flush() -> pa.RecordBatch:
             v, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > 2
+            often = n > 1
             return pa.RecordBatch.from_arrays([pa.array(v[often].view(np.int64)), pa.array(n[often].astype(np.int64))], names=["s", "n"])
 
         for batch in batches:
@@ -145,9 +151,9 @@ def _hot_counts(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def short_lists(s: np.ndarray, hot: np.ndarray, hot_n: np.ndarray) -> np.ndarray:
-    """The shingles of a set whose lists are merged: the n-T+1 first in the global order."""
+    """The shingles of a set whose lists are merged: the n-T+m first in the global order."""
     n = len(s)
-    p = n - -(-NUM * n // DEN) + 1
+    p = n - -(-NUM * n // DEN) + 1 + n // MORE
     if not len(hot):
         return s[:p]
     at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
@@ -225,9 +231,26 @@ def _may_link(n: str, pos: str, other_n: str, other_pos: str):
     return (bound * (NUM + DEN) >= (a + b) * NUM) & (F.least(a, b) * DEN >= F.greatest(a, b) * NUM)
 
 
+def _least_overlap(n: str):
+    """T of a set of n shingles."""
+    return F.ceil(F.col(n) * NUM / DEN)
+
+
+def _short(n: str):
+    """How many short lists a set has."""
+    return F.least(F.col(n), F.col(n) - _least_overlap(n) + 1 + F.floor(F.col(n) / MORE))
+
+
+def _enough(common: str, a: str, b: str):
+    """Whether sets on so many common short lists can link. The set whose short lists end first in the global order meets there all
+    that they have in common with the other; beyond them it has T - m shingles at most."""
+    needed = F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
+    return F.col(common) >= F.least(*[needed - (F.col(n) - _short(n)) for n in (a, b)])
+
+
 def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs of different components on one list (input sorted by list), in blocks."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    schema = pa.schema([(k, pa.int64()) for k in ("a", "b", "n_a", "n_b")])
     names = ("s", "cid", "n", "pos", "root")
 
     def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -242,8 +265,10 @@ def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])
                 u, v = np.nonzero(ok)
                 if len(u):
-                    u, v = cid[x][u], cid[y][v]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], schema=schema)
+                    (u, v), (m, k) = (cid[x][u], cid[y][v]), (n[x][u], n[y][v])
+                    first = u > v
+                    columns = (np.where(first, u, v), np.where(first, v, u), np.where(first, m, k), np.where(first, k, m))
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
 
     held: np.ndarray | None = None
     for batch in batches:
@@ -306,15 +331,30 @@ def _sets(docs: DataFrame, needed: DataFrame, words: int, seed: int) -> DataFram
     return out.groupBy("cid").agg(F.first("set").alias("set"))
 
 
-def _verify(docs: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
+def _needed_sets(docs: DataFrame, pairs: DataFrame, words: int, seed: int) -> DataFrame:
+    """The sets of all classes in pairs, kept: one pass over the documents, however often they are probed."""
+    needed = keep(pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct(), "needed")
+    return keep(_sets(docs, needed, words, seed), "sets")
+
+
+def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    needed = keep(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "needed")
-    sets = keep(_sets(docs, needed, words, seed), "sets")
     joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    links = keep(joined.mapInArrow(_linked, "a long, b long"), "links")
-    drop_kept(sets)
-    drop_kept(needed)
-    return links
+    return keep(joined.mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _best_pairs(candidates: DataFrame) -> DataFrame:
+    """For each class its candidate with most lists in common: a row for each class at most."""
+    pair = F.struct("common", "a", "b").alias("pair")
+    ends = candidates.select(F.col("a").alias("cid"), pair).unionByName(candidates.select(F.col("b").alias("cid"), pair))
+    return ends.groupBy("cid").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _apart(candidates: DataFrame, roots: DataFrame) -> DataFrame:
+    """Candidates whose ends are in different components."""
+    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    joined = candidates.join(x, "a", "left").join(y, "b", "left")
+    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "common")
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -332,18 +372,31 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     postings = index.filter("short IS NOT NULL").select("cid", "n", F.posexplode("short").alias("pos", "s")).select("s", "cid", "n", "pos")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     lists = keep(postings.repartition(parts, "s").sortWithinPartitions("s", "cid").mapInArrow(_heads, "s long, cid long, n long, pos long, hub long, hub_n long, hub_pos long"), "lists")
-    first = keep(lists.filter((F.col("cid") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos")).select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct(), "pairs")
-    links = _verify(rows, first, words, seed)
+    ids = keep(index.select("id", "n", "cid"), "ids")
+    drop_kept(index)
+    starred = lists.filter((F.col("cid") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos")).groupBy("cid", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
+    alike = starred.filter(F.col("common") >= ALIKE * F.least(_short("n"), _short("hub_n")))
+    first = keep(alike.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct(), "pairs")
+    links = _verify(first, _needed_sets(rows, first, words, seed))
     roots = connected_components(links)
     named = lists.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("s", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
     wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
     rest = named.join(wide, "s", "left_semi").repartition(parts, "s").sortWithinPartitions("s", "cid")
-    across = keep(rest.mapInArrow(_pairs_across, "a long, b long").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    if across.limit(1).count():
-        links = links.unionByName(_verify(rows, across, words, seed))
+    met = rest.mapInArrow(_pairs_across, "a long, b long, n_a long, n_b long").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    across = keep(met.filter(_enough("common", "n_a", "n_b")).select("a", "b", "common").join(first, ["a", "b"], "left_anti"), "pairs")
+    drop_kept(lists)
+    sets = _needed_sets(rows, across, words, seed) if across.limit(1).count() else None
+    for k in range(ROUNDS + 1):
+        if not across.limit(1).count():
+            break
+        # the likeliest pairs first, as each link makes others needless; in the end all that are left
+        tried = keep(_best_pairs(across), "tried") if k < ROUNDS else across.select("a", "b")
+        links = links.unionByName(_verify(tried, sets))
         roots = connected_components(links)
-    least = index.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
+        if k < ROUNDS:
+            across = keep(_apart(across.join(tried, ["a", "b"], "left_anti"), roots), "pairs")
+    least = ids.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
     named = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     groups = keep(named.select("cid", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cid", "component_id"), "groups")
-    out = index.select("id", "n", "cid").join(groups, "cid", "left")
+    out = ids.join(groups, "cid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
