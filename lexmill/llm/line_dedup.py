@@ -1,7 +1,7 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line (trimmed, lower-cased) is the set of its character shingles: ``SHINGLE`` characters from each word start on, over the gaps to
-the next words. Its signature has, for each of ROWS * BANDS anchors on the circle of hash values, the shingle hash that comes
+A line (trimmed, lower-cased) is the set of its character shingles: ``SHINGLE`` characters from each character on, the whole line where
+it is shorter. Its signature has, for each of ROWS * BANDS anchors on the circle of hash values, the shingle hash that comes
 next: two lines agree at an anchor with a probability equal to their Jaccard similarity. Eight bands of three rows find a pair at 0.8 with
 probability 0.997. Candidates are verified by exact Jaccard similarity (>= 0.8), links are closed to components by distributed
 union-find, and the first line (least id, then line number) of each component stays. Equal lines are one from the start, whatever their number.
@@ -11,7 +11,7 @@ component are done, and the others get many more hubs, until none is left; each
 made where lines are read, so that the text isn't shuffled; what is broadcast is counted first (BROADCAST_ROWS), and joined
 by shuffle beyond that.
 
-Defined results: blank lines are never dropped; lines of fewer than MIN_SHINGLES words are only compared for equality; a null text
+Defined results: blank lines are never dropped; lines of fewer than MIN_SHINGLES different shingles are only compared for equality; a null text
 stays null; null ids sort first; a row repeated whole counts once, and each copy keeps the same lines; an empty table gives an empty
 result; columns other than id and text are ignored. Two unlike lines with one 64-bit name are both left alone.
 """
@@ -19,6 +19,7 @@ result; columns other than id and text are ignored. Two unlike lines with one 64
 from __future__ import annotations
 
 import itertools
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,9 +33,6 @@ MIN_SHINGLES = 5
 NUM, DEN = 4, 5
 SINGLE_ROUNDS = 5
 
-#: At each word start, without taking anything, the characters that follow.
-_AT_WORD = rf"(?s)(?<![^ ])(?=([^ ].{{0,{SHINGLE - 1}}}))"
-
 
 def _anchors() -> list[int]:
     """Evenly spread points on the circle of 64-bit values, in order."""
@@ -46,10 +44,22 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(line))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value taken once a row: inside a lambda it would be made again for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shingles(line: Column) -> Column:
+    """The sorted hashes of the different shingles of a normalised line."""
+    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
+    # with four bytes for each character, a shingle is cut out without a scan
+    hashes = _once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    return F.sort_array(F.array_distinct(hashes))
+
+
 def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``set``: the sorted hashes of the character shingles of the normalised ``line``, one for each word."""
-    found = lines.withColumn("found", F.regexp_extract_all("line", F.lit(_AT_WORD), F.lit(1)))
-    return found.withColumn("set", F.sort_array(F.transform("found", lambda x: F.xxhash64(x)))).drop("found")
+    """Adds ``set``: the shingles of the normalised ``line``."""
+    return lines.withColumn("set", shingles(F.col("line")))
 
 
 def with_bands(lines: DataFrame) -> DataFrame:
@@ -58,11 +68,15 @@ def with_bands(lines: DataFrame) -> DataFrame:
     Loops over anchors and bands are lambdas: written out, the generated method would be too large for the JVM to compile.
     """
     anchors = F.array(*[F.lit(a) for a in _anchors()])
-    marked = lines.withColumn("marked", F.sort_array(F.concat("set", anchors))).withColumn("n", F.size("set"))
-    # where the anchors are among the hashes: the 0-based index of the next hash
-    placed = marked.withColumn("after", F.transform(anchors, lambda a, i: F.get("set", F.pmod(F.array_position("marked", a).cast("int") - 1 - i, F.col("n")))))
-    bands = F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.xxhash64(b, *[F.get("after", b + BANDS * r) for r in range(ROWS)]))
-    return placed.withColumn("bands", F.when(F.col("n") >= MIN_SHINGLES, bands)).drop("marked", "after", "n")
+
+    def bands(after: Column) -> Column:
+        return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.xxhash64(b, *[F.get(after, b + BANDS * r) for r in range(ROWS)]))
+
+    def by_anchors(s: Column) -> Column:
+        # where the anchors are among the hashes: the 0-based index of the next hash
+        return _once(F.sort_array(F.concat(s, anchors)), lambda m: F.transform(anchors, lambda a, i: F.get(s, F.pmod(F.array_position(m, a).cast("int") - 1 - i, F.size(s)))))
+
+    return lines.withColumn("bands", _once(F.col("set"), lambda s: F.when(F.size(s) >= MIN_SHINGLES, _once(by_anchors(s), bands))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -86,8 +100,8 @@ def _links(lines: DataFrame, signed: DataFrame) -> DataFrame | None:
     drop_kept(multi)
     needed = keep(members.select("h").distinct(), "needed")
     named = lines.select(F.xxhash64("line").alias("h"), "line")
-    found = join_small(named, needed, ["h"], "left_semi").groupBy("h").agg(F.first("line").alias("line"))
-    sets = keep(with_shingles(found).select("h", F.array_distinct("set").alias("set")), "sets")
+    # texts are kept, as the hashes of all their shingles take eight times as much
+    texts = keep(join_small(named, needed, ["h"], "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
     links: DataFrame | None = None
     for k in itertools.count():
         if links is not None:
@@ -103,9 +117,9 @@ def _links(lines: DataFrame, signed: DataFrame) -> DataFrame | None:
         hubs_each = 64 ** max(0, k + 1 - SINGLE_ROUNDS)
         hubs = keep(rest.groupBy("bucket", F.pmod(F.xxhash64("h", F.lit(-1)), F.lit(hubs_each)).alias("salt")).agg(F.min(order).alias("hub")).select("bucket", "hub"), "hubs")
         pairs = join_small(rest, hubs, ["bucket"]).filter("root != hub.root").select(F.greatest("h", "hub.h").alias("a"), F.least("h", "hub.h").alias("b")).distinct()
-        both = pairs.join(sets.select(F.col("h").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("h").alias("b"), F.col("set").alias("t")), "b")
-        common = F.size(F.array_intersect("s", "t"))
-        new = keep(both.filter(common * (NUM + DEN) >= (F.size("s") + F.size("t")) * NUM).select("a", "b"), "links")
+        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
+        near = _once(shingles(F.col("s")), lambda s: _once(shingles(F.col("t")), lambda t: F.size(F.array_intersect(s, t)) * (NUM + DEN) >= (F.size(s) + F.size(t)) * NUM))
+        new = keep(both.filter(near).select("a", "b"), "links")
         links = new if links is None else links.unionByName(new)
         members = keep(rest.select("bucket", "h").join(hubs.select("bucket", F.col("hub.h").alias("h")), ["bucket", "h"], "left_anti"), "members")
 

@@ -184,6 +184,23 @@ def test_line_dedup(spark):
     assert line_dedup.fuzzy_line_dedup(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def full_sets(line):
+    line = line.strip(" ").lower()
+    return {line[j : j + 10] for j in range(max(1, len(line) - 9))}
+
+
+def test_line_dedup_reads_all_characters(spark):
+    urls = [" ".join(f"https://example.com/{k}{j}{'abcdefgh'[k] * 12}" for j in range(6)) for k in range(3)]
+    tabs = "\t".join(f"cell{k}value" for k in range(20))
+    han = "".join(chr(0x4E00 + 7 * k) for k in range(120))
+    texts = [*urls, tabs, tabs.replace("cell7value", "cell7valve"), han, han[:60] + "\U0001F600" + han[60:], "x" * 3000]
+    got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.fuzzy_line_dedup(docs(spark, texts)).collect()}
+    assert got == {k: int(k in (4, 6)) for k in range(len(texts))}
+    lines = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, line string")
+    sizes = {r["k"]: len(r["set"]) for r in line_dedup.with_shingles(lines).collect()}
+    assert sizes == {k: len(full_sets(t)) for k, t in enumerate(texts)}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
