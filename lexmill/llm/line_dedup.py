@@ -3,7 +3,8 @@
 A line (trimmed, lower-cased) is the set of its character shingles: ``SHINGLE`` characters from each character on, the whole line where
 it is shorter. Its signature has, for each of ROWS * BANDS anchors on the circle of hash values, the shingle hash that comes
 next: two lines agree at an anchor with a probability equal to their Jaccard similarity. Eight bands of three rows find a pair at 0.8 with
-probability 0.997. Candidates are verified by exact Jaccard similarity (>= 0.8), links are closed to components by distributed
+probability 0.997 if the anchors are independent, which they nearly are for sets of FEW shingles on; smaller sets have the least value by
+each of as many hash functions instead, and sets that may be near either kind have both signatures. Candidates are verified by exact Jaccard similarity (>= 0.8), links are closed to components by distributed
 union-find, and the first line (least id, then line number) of each component stays. Equal lines are one from the start, whatever their number.
 
 A bucket isn't expanded into its pairs: all members are paired with a hub, then components are contracted, buckets within one
@@ -30,6 +31,7 @@ from lexmill.llm.components import connected_components
 SHINGLE = 10
 ROWS, BANDS = 3, 8
 MIN_SHINGLES = 5
+FEW = 40
 NUM, DEN = 4, 5
 SINGLE_ROUNDS = 5
 
@@ -69,14 +71,23 @@ def with_bands(lines: DataFrame) -> DataFrame:
     """
     anchors = F.array(*[F.lit(a) for a in _anchors()])
 
-    def bands(after: Column) -> Column:
-        return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.xxhash64(b, *[F.get(after, b + BANDS * r) for r in range(ROWS)]))
+    def bands(after: Column, kind: int) -> Column:
+        return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.xxhash64(b + kind * BANDS, *[F.get(after, b + BANDS * r) for r in range(ROWS)]))
 
     def by_anchors(s: Column) -> Column:
         # where the anchors are among the hashes: the 0-based index of the next hash
         return _once(F.sort_array(F.concat(s, anchors)), lambda m: F.transform(anchors, lambda a, i: F.get(s, F.pmod(F.array_position(m, a).cast("int") - 1 - i, F.size(s)))))
 
-    return lines.withColumn("bands", _once(F.col("set"), lambda s: F.when(F.size(s) >= MIN_SHINGLES, _once(by_anchors(s), bands))))
+    def by_functions(s: Column) -> Column:
+        return F.transform(anchors, lambda a: F.array_min(F.transform(s, lambda x: F.xxhash64(x, a))))
+
+    def of(s: Column) -> Column:
+        # a set near one of fewer than FEW has at most DEN / NUM times as many
+        none = F.array().cast("array<bigint>")
+        small = F.when(F.size(s) * NUM <= FEW * DEN, _once(by_functions(s), lambda after: bands(after, 1))).otherwise(none)
+        return F.concat(F.when(F.size(s) >= FEW, _once(by_anchors(s), lambda after: bands(after, 0))).otherwise(none), small)
+
+    return lines.withColumn("bands", _once(F.col("set"), lambda s: F.when(F.size(s) >= MIN_SHINGLES, of(s))))
 
 
 def _lines(docs: DataFrame) -> DataFrame:

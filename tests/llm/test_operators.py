@@ -201,6 +201,20 @@ def test_line_dedup_reads_all_characters(spark):
     assert sizes == {k: len(full_sets(t)) for k, t in enumerate(texts)}
 
 
+def test_line_dedup_finds_near_sets_of_any_size(spark):
+    r = np.random.default_rng(3)
+    sizes = [(5, 6, 5), (7, 8, 7), (9, 9, 8), (18, 18, 16), (36, 36, 32), (39, 48, 39), (40, 50, 40), (45, 45, 40), (90, 90, 80)]
+    rows = []
+    for n, m, common in sizes:
+        for k in range(300):
+            x = [int(v) for v in r.integers(-(1 << 63), 1 << 63, n + m - common)]
+            rows += [(n * 1000 + m, k, sorted(x[:n])), (n * 1000 + m, k, sorted(x[:common] + x[n:]))]
+    signed = line_dedup.with_bands(spark.createDataFrame(rows, "size int, k int, set array<bigint>").repartition(4))
+    met = signed.select("size", "k", F.explode("bands").alias("band")).groupBy("size", "k", "band").count().filter("count > 1").select("size", "k").distinct()
+    found = {x["size"]: x["count"] / 300 for x in met.groupBy("size").count().collect()}
+    assert all(found[n * 1000 + m] >= 0.98 for n, m, _ in sizes), found
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
