@@ -3,8 +3,9 @@
 Texts are canonicalised: punctuation goes, and numbers, units after numbers, and names inside a sentence become typed placeholders. Windows
 of WINDOW canonical words are hashed and joined with the windows of the benchmark items; a document and an item match where windows
 cover at least COVER of the item's. For items with slots, the words at the placeholders are compared: a re-parameterised question
-puts one value for each of the item's, wherever it stands; where more than a fifth of the slots contradict that, it is no
-match. Items with fewer words than a window are one window of their own length.
+puts one value for each of the item's, wherever it stands. Where more than a fifth of the slots contradict that over all places, each
+occurrence is judged by itself: the windows at one shift between item and document, give or take DRIFT words, and at each slot the value
+at the nearest shift. It is a match if an occurrence covers enough and is consistent, or if enough windows are there word for word. Items with fewer words than a window are one window of their own length.
 
 Documents are read once for the windows; each word's hash is taken once, and windows are hashes of those. The benchmark's windows are
 broadcast only while they are few (BROADCAST_ROWS); beyond that the join shuffles the documents' windows. Matches are aggregated by
@@ -19,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import keep
+from lexmill.llm.common import join_small, keep
 
 WINDOW = 8
 COVER = 0.5
 CONTRADICTED = 0.2
+DRIFT = 4
 BROADCAST_ROWS = 1_000_000
 
 # Words that are units where they follow a number.
@@ -65,6 +67,35 @@ def _hashed(rows: DataFrame, *more: str) -> DataFrame:
     return rows.select("id", *more, _split(canonical(F.col("text"))).alias("words")).select("id", *more, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
 
 
+def _told(values: DataFrame, by: list[str]) -> DataFrame:
+    """n_slots, n_contradicted and n_changed of distinct (slot, item_value, doc_value)."""
+    told = values.groupBy(*by, "item_value", "doc_value").agg(F.count_distinct("slot").alias("n"))
+    told = told.groupBy(*by, "item_value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count_if(F.col("doc_value") != F.col("item_value")).alias("changed"))
+    return told.groupBy(*by).agg(F.sum("n").alias("n_slots"), F.sum(F.col("n") - F.col("most")).alias("n_contradicted"), F.sum("changed").alias("n_changed"))
+
+
+def _by_occurrence(lines_up: DataFrame, slots: DataFrame, words: DataFrame, counts: DataFrame, window: int, cover: float) -> DataFrame:
+    """id, key and what _told() tells of the best occurrence, of those that are consistent; windows that are there word for word tell of no change."""
+    lines_up = keep(lines_up.distinct(), "lines_up")
+    at_slots = lines_up.join(slots, "key").filter(F.col("slot").between(F.col("item_at"), F.col("item_at") + window - 1))
+    put = at_slots.withColumn("doc_at", F.col("slot") + F.col("shift")).join(words, ["id", "doc_at"])
+    put = keep(put.select("id", "key", "shift", "item_at", "slot", "item_value", "doc_value"), "put")
+    near = F.explode(F.sequence(F.col("shift") - DRIFT, F.col("shift") + DRIFT))
+    enough = lines_up.withColumn("base", near).groupBy("id", "key", "base").agg(F.count_distinct("item_at").alias("n")).join(counts.select("key", "n_windows"), "key")
+    enough = enough.filter(F.col("n") >= cover * F.col("n_windows")).select("id", "key", "base")
+    nearest = F.min(F.struct(F.abs(F.col("shift") - F.col("base")).alias("off"), "shift", "item_value", "doc_value")).alias("x")
+    values = put.select("id", "key", "shift", "slot", "item_value", "doc_value").distinct().withColumn("base", near).groupBy("id", "key", "base", "slot").agg(nearest)
+    values = values.select("id", "key", "base", "slot", "x.item_value", "x.doc_value").join(enough, ["id", "key", "base"], "left_semi")
+    told = _told(values, ["id", "key", "base"]).filter(F.col("n_contradicted") <= CONTRADICTED * F.col("n_slots"))
+    best = told.groupBy("id", "key").agg(F.min(F.struct("n_contradicted", "n_changed", (-F.col("n_slots")).alias("less"))).alias("x"))
+    best = best.select("id", "key", (-F.col("x.less")).alias("n_slots"), "x.n_contradicted", "x.n_changed")
+    # word for word: windows without a changed slot
+    whole = lines_up.join(put.filter("doc_value != item_value").select("id", "key", "shift", "item_at").distinct(), ["id", "key", "shift", "item_at"], "left_anti")
+    whole = whole.groupBy("id", "key").agg(F.count_distinct("item_at").alias("n")).join(counts.select("key", "n_windows"), "key").filter(F.col("n") >= cover * F.col("n_windows"))
+    literal = whole.join(slots.groupBy("key").agg(F.count("*").alias("n_slots")), "key").select("id", "key", "n_slots", F.lit(0).cast("long").alias("n_contradicted"), F.lit(0).cast("long").alias("n_changed"))
+    return literal.unionByName(best.join(literal, ["id", "key"], "left_anti"))
+
+
 def find_contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, cover: float = COVER
 ) -> DataFrame:
@@ -101,10 +132,13 @@ def find_contaminated(
         words = some.select("id", F.posexplode(_split(F.col("text"))).alias("doc_at", "doc_value"))
         values = words.join(places, ["id", "doc_at"]).select("id", "key", "slot", "item_value", "doc_value").distinct()
         # each value of the item must have one value in the document; the commonest counts as right
-        told = values.groupBy("id", "key", "item_value", "doc_value").agg(F.count_distinct("slot").alias("n"))
-        told = told.groupBy("id", "key", "item_value").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count_if(F.col("doc_value") != F.col("item_value")).alias("changed"))
-        told = told.groupBy("id", "key").agg(F.sum("n").alias("n_slots"), F.sum(F.col("n") - F.col("most")).alias("n_contradicted"), F.sum("changed").alias("n_changed"))
+        told = keep(_told(values, ["id", "key"]), "told")
+        agreed = F.col("n_contradicted") <= CONTRADICTED * F.col("n_slots")
+        apart = keep(told.filter(~agreed).select("id", "key"), "apart")
+        if apart.limit(1).count():
+            told = told.filter(agreed).unionByName(_by_occurrence(join_small(lines_up, apart, ["id", "key"], "left_semi"), slots, words, counts, window, cover))
         judged = covered.join(told, ["id", "key"], "left").fillna(0, ["n_slots", "n_contradicted", "n_changed"])
+        judged = judged.join(apart, ["id", "key"], "left_anti").unionByName(judged.join(apart, ["id", "key"], "left_semi").filter("n_slots > 0"))
     return judged.filter(F.col("n_contradicted") <= CONTRADICTED * F.col("n_slots")).select(
         F.col("id").alias(id_col),
         F.col("item").alias(item_col),

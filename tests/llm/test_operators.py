@@ -325,6 +325,19 @@ def test_decontamination(spark):
     assert decontaminate.find_contaminated(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_decontamination_judges_each_occurrence(spark):
+    item = "Alice has 12 apples and gives 5 apples to the boy Robert, so how many apples out of 12 does she keep after walking 3 km today?"
+    series = "Find the next number in the series 2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37 please."
+    bench = spark.createDataFrame([(1, item), (2, series)], "item_id long, text string")
+    once = item.replace("12", "17").replace("5", "4").replace("Robert", "Martin").replace("3 km", "9 miles")
+    again = item.replace("12", "21").replace("5", "8").replace("Robert", "Edgar").replace("3 km", "7 miles")
+    unlike = item.replace("12", "17", 1).replace("5", "4").replace("out of 12", "out of 99")
+    texts = [f"{once} {again}", f"{item} {once}", f"{once} {again} {item}", series, f"Before. {series} After.", series + " " + series, "Numbers: " + ", ".join(map(str, range(40, 90)))]
+    got = {(r["doc_id"], r["item_id"]): r["kind"] for r in decontaminate.find_contaminated(docs(spark, [*texts, unlike]), bench).collect()}
+    assert {(0, 1), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2)} <= set(got) and not any(d == 6 for d, _ in got)
+    assert got[(0, 1)] == "reparameterised" and got[(3, 2)] == got[(4, 2)] == "verbatim"
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 
