@@ -1,6 +1,7 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
-Texts are canonicalised: punctuation goes, and numbers, units after numbers, and names inside a sentence become typed placeholders. Windows
+Texts are canonicalised: punctuation goes, and numbers, units after numbers, and names inside a sentence become typed placeholders. Other
+capitalised words, as at the start of a sentence, may be names or not: windows over them are also taken with placeholders. Windows
 of WINDOW canonical words are hashed and joined with the windows of the benchmark items; a document and an item match where windows
 cover at least COVER of the item's. For items with slots, the words at the placeholders are compared: a re-parameterised question
 puts one value for each of the item's, wherever it stands. Where more than a fifth of the slots contradict that over all places, each
@@ -35,10 +36,12 @@ UNITS = (
     "mph|kmh|km/h|hz|khz|mhz|ghz|kb|mb|gb|tb|w|kw|kwh|v|volts?|watts?|joules?|j|n|newtons?|pa|bar|degrees?"
 )
 _MARK = "\x01"
+_MAYBE = "\x02"  # before a word that may be a name
 _NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{Ll}]+"
 _NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{Nd}[\p{Nd}.,:/]*"
 _UNIT = rf"(?i)({_MARK}num[ ]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-_PUNCTUATION = rf"[^\p{{L}}\p{{N}}{_MARK}\s]+"
+_CAPITAL = rf"(?<![\p{{L}}\p{{N}}{_MARK}])\p{{Lu}}\p{{Ll}}+"
+_PUNCTUATION = rf"[^\p{{L}}\p{{N}}{_MARK}{_MAYBE}\s]+"
 
 
 def _split(text: Column) -> Column:
@@ -49,22 +52,39 @@ def _split(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """The text with placeholders for names, numbers and units; words keep their places."""
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _NAME, f"{_MARK}name"), _NUMBER, f"{_MARK}num"), _UNIT, f"$1{_MARK}unit")
+    sure = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, _NAME, f"{_MARK}name"), _NUMBER, f"{_MARK}num"), _UNIT, f"$1{_MARK}unit")
+    return F.regexp_replace(sure, _CAPITAL, f"{_MAYBE}$0")
 
 
-def _windows(hashes: str, sizes: list[int]) -> Column:
-    """Array of (at, size, w): the hashes of all windows of each size over an array of word hashes."""
+def _windows(sizes: list[int]) -> Column:
+    """Array of (at, size, w): the hashes of all windows of each size over ``hashes``, and over ``others`` where these differ."""
 
     def of(size: int) -> Column:
-        starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get(hashes, i + k) for k in range(size)]).alias("w")))
+        last = F.size("hashes") - size
+        none = F.array().cast("array<int>")
+        starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)
+        over = F.flatten(F.transform("maybe", lambda p: F.sequence(F.greatest(p - size + 1, F.lit(0)), F.least(p, last))))
+        again = F.when(last >= 0, F.array_distinct(over)).otherwise(none)
+
+        def hashed(at: Column, words: str) -> Column:
+            return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]).alias("w")))
+
+        return F.concat(hashed(starts, "hashes"), hashed(again, "others"))
 
     return of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))
 
 
 def _hashed(rows: DataFrame, *more: str) -> DataFrame:
-    """words: canonical; hashes: of each word."""
-    return rows.select("id", *more, _split(canonical(F.col("text"))).alias("words")).select("id", *more, "words", F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    """words: canonical; hashes: of each word; others: with placeholders for words that may be names; maybe: where these are."""
+    split = rows.select("id", *more, _split(canonical(F.col("text"))).alias("words"))
+    return split.select(
+        "id",
+        *more,
+        "words",
+        F.transform("words", lambda w: F.xxhash64(F.translate(w, _MAYBE, ""))).alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(F.when(w.contains(_MAYBE), f"{_MARK}name").otherwise(w))).alias("others"),
+        F.filter(F.transform("words", lambda w, i: F.when(w.contains(_MAYBE), i)), lambda i: i.isNotNull()).alias("maybe"),
+    )
 
 
 def _told(values: DataFrame, by: list[str]) -> DataFrame:
@@ -106,10 +126,10 @@ def find_contaminated(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not sizes:
         sizes = [window]
-    own = items.select("id", "item", "size", F.explode(_windows("hashes", sizes)).alias("x"))
-    wanted = keep(own.filter("x.size = size").select("item", F.col("id").alias("key"), F.col("x.at").alias("item_at"), F.col("x.w").alias("w")), "wanted")
-    counts = wanted.groupBy("key").agg(F.first("item").alias("item"), F.count("*").alias("n_windows"))
-    found = _hashed(rows).select("id", F.explode(_windows("hashes", sizes)).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    own = items.select("id", "item", "size", F.explode(_windows(sizes)).alias("x"))
+    wanted = keep(own.filter("x.size = size").select("item", F.col("id").alias("key"), F.col("x.at").alias("item_at"), F.col("x.w").alias("w")).distinct(), "wanted")
+    counts = wanted.groupBy("key").agg(F.first("item").alias("item"), F.count_distinct("item_at").alias("n_windows"))
+    found = _hashed(rows).select("id", F.explode(_windows(sizes)).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     side = wanted.select("w", "key", "item_at")
     hits = keep(found.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, "w").select("id", "at", "key", "item_at"), "hits")
     matched = hits.groupBy("id", "key").agg(F.count_distinct("item_at").alias("n_matched"))
@@ -117,7 +137,7 @@ def find_contaminated(
 
     # slots: the words that stand at the placeholders of items that matched
     raw_items = items.select(F.col("id").alias("key"), "words", _split(F.col("text")).alias("raw"))
-    slots = raw_items.select("key", F.posexplode("words").alias("slot", "word"), "raw").filter(F.col("word").contains(_MARK)).select("key", "slot", F.get("raw", F.col("slot")).alias("item_value"))
+    slots = raw_items.select("key", F.posexplode("words").alias("slot", "word"), "raw").filter(F.col("word").contains(_MARK) | F.col("word").contains(_MAYBE)).select("key", "slot", F.get("raw", F.col("slot")).alias("item_value"))
     slots = keep(slots, "slots")
     if not slots.limit(1).count():
         judged = covered.withColumn("n_slots", F.lit(0).cast("long")).withColumn("n_contradicted", F.lit(0).cast("long")).withColumn("n_changed", F.lit(0).cast("long"))

@@ -338,6 +338,16 @@ def test_decontamination_judges_each_occurrence(spark):
     assert got[(0, 1)] == "reparameterised" and got[(3, 2)] == got[(4, 2)] == "verbatim"
 
 
+def test_decontamination_takes_names_at_sentence_starts(spark):
+    item = "Anna has 12 red apples. Tom gives her 5 apples. Mary takes 3 of them. How many apples does Anna have now?"
+    changed = "Berta has 17 red apples. Karl gives her 6 apples. Elsa takes 4 of them. How many apples does Berta have now?"
+    other = "Berta has 17 green chairs. Karl sold her 6 tables. Elsa broke 4 of them. How many lamps did Berta buy then?"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: r for r in decontaminate.find_contaminated(docs(spark, [item, changed, f"So: {changed} Good.", other]), bench).collect()}
+    assert set(got) == {0, 1, 2} and got[0]["kind"] == "verbatim" and got[1]["kind"] == "reparameterised"
+    assert got[0]["n_windows"] == got[0]["n_matched"] == 15 and got[1]["coverage"] == 1
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 
