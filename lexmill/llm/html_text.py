@@ -70,6 +70,13 @@ class Page(HTMLParser):
         for k, t, _, _ in self.pieces:
             self.weight[k] += len(t.strip())
 
+    def parse_html_declaration(self, i: int) -> int:
+        """An unknown ``<![``, which the parser gives up on, is a comment up to the next ``>``."""
+        try:
+            return super().parse_html_declaration(i)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in INLINE:
             if tag == "a":

@@ -139,6 +139,13 @@ def test_html_decoding_is_consistent():
     assert len(keep) == len(page.tag)
 
 
+@pytest.mark.parametrize("odd", ["<![ endif]-->", "<![foo[x]]>", "<p>a <![ b</p>", "<![endif]-->", "<![>", "<![1]>"])
+def test_html_goes_on_after_odd_declarations(odd):
+    page = html_text.Page(f"<p>first</p>{odd}<p>second</p>")
+    said = page.text([True] * len(page.tag))
+    assert said.startswith("first") and said.endswith("second")
+
+
 # --- line dedup ----------------------------------------------------------------------------------------------
 
 
