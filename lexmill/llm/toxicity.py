@@ -73,8 +73,12 @@ def chunk_units(chunk: str) -> list[str]:
 
 
 def runs(text: str) -> list[str]:
-    """Single letters in a row, three at least, as one chunk."""
-    return [" ".join(m.split())[: 4 * LONGEST] for m in _RUN.findall(text)] if _SPACED.search(text) else []
+    """Single letters in a row, three at least: as one chunk, or where they are more than a unit takes, as one from each letter on."""
+    if not _SPACED.search(text):
+        return []
+    n = LONGEST // 2
+    letters = [m.split() for m in _RUN.findall(text)]
+    return [" ".join(x[i : i + n]) for x in letters for i in range(max(1, len(x) - n + 1))]
 
 
 def chunks(text: str) -> set[str]:

@@ -311,6 +311,13 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs(spark, texts), none).collect()} == {0}
 
 
+def test_long_runs_of_letters_are_read_whole():
+    for before in range(48, 64):
+        text = " ".join("thisisanordinarysentencethatgoesonandonandonuntilitendsatlast"[:before] + "blorgface" + "moretext")
+        assert any("b l o r g f a c e" in u for u in toxicity.units(text))
+    assert toxicity.units("b l o r g") == ["b l o r g"]
+
+
 def test_kernel_tolerates_gaps():
     k = toxicity._kernel(["idiot", "id-iot", "idxiot", "garden"], ["idiot"])[:, 0]
     assert k[0] == pytest.approx(1, abs=1e-5) or k[0] > 0.9
