@@ -2,8 +2,8 @@
 
 Templates and texts are compared without case, space and punctuation. The inverted index holds, for each template, the hashes of K
 characters that winnowing picks (the least of each W neighbouring ones); a text is looked up at every place, so any K + W - 1 characters
-that it shares with a template are found. The hits of a template on neighbouring diagonals make one candidate, whose words are
-aligned with the template's within a band; what is reported is the share of the template's words that match and the span in the text.
+that it shares with a template are found. The hits of a template on neighbouring diagonals make one candidate; at each hit that no match
+has covered yet its words are aligned with the template's within a band; what is reported is the share of the template's words that match and the span in the text.
 
 The index has the size of the templates, whatever the input, and goes to the executors with the code; the scan is one narrow pass in
 Arrow batches over whole texts.
@@ -14,6 +14,7 @@ an empty result; other columns are ignored. Templates with fewer than K letters
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -152,37 +153,47 @@ class LicenseIndex:
         at = np.flatnonzero(self.maybe[(hashes & np.uint64(0xFFFF)).astype(np.int64)]) if len(hashes) and len(self.keys) else np.zeros(0, dtype=np.int64)
         at = at[np.isin(hashes[at], self.keys)]
         begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
-        groups: dict[tuple[int, int], list[int]] = {}  # diagonals by row and template
+        groups: dict[tuple[int, int], list[tuple[int, int]]] = {}  # hits (diagonal, place) by row and template
         for p in at.tolist():
             row = int(np.searchsorted(begins, place[p], side="right")) - 1
             if place[p + K - 1] >= begins[row + 1]:
                 continue
             lo, hi = np.searchsorted(self.keys, [hashes[p]], side="left")[0], np.searchsorted(self.keys, [hashes[p]], side="right")[0]
             for t, tp in self.owner[lo:hi]:
-                groups.setdefault((row, t), []).append(p - tp)
+                groups.setdefault((row, t), []).append((p - tp, p))
         found: dict[int, list[tuple[int, float, int, int, int]]] = {}
-        for (row, t), diagonals in groups.items():
-            diagonals.sort()
-            starts = [d for k, d in enumerate(diagonals) if not k or d - diagonals[k - 1] > 4 * BAND]
+        for (row, t), hits in groups.items():
+            hits.sort()
+            starts = [k for k, x in enumerate(hits) if not k or x[0] - hits[k - 1][0] > 4 * BAND]
             low, high = np.searchsorted(place, begins[row]), np.searchsorted(place, begins[row + 1]) - 1
-            done = -1
-            for k, d in enumerate(starts):
-                last = max(x for x in diagonals if x >= d and (k + 1 == len(starts) or x < starts[k + 1]))
+            size = len(self.words[t])
+            for begin, end in zip(starts, [*starts[1:], len(hits)]):
                 slack = 8 * BAND
-                a, b = place[min(max(d - slack, low), high)], place[max(min(last + self.sizes[t] + slack, high), low)] + 1
+                a, b = place[min(max(hits[begin][0] - slack, low), high)], place[max(min(hits[end - 1][0] + self.sizes[t] + slack, high), low)] + 1
                 while a > begins[row] and data[a] & 0xC0 == 0x80:  # not within a character
                     a -= 1
                 base = len(parts[row][: a - begins[row]].decode("utf-8", "replace"))
                 piece = bytes(data[a:b]).decode("utf-8", "replace")
                 words = [(m.start(), m.end(), m[0].lower()) for m in _WORD.finditer(piece)]
-                # the word at the diagonal
-                first = max(place[min(max(d, low), high)], a)
-                head = len(bytes(data[a:first]).decode("utf-8", "replace"))
-                shift = sum(w[1] <= head for w in words)
-                n, i, j = align([w[2] for w in words], self.words[t], shift)
-                if i >= 0 and n >= cover * len(self.words[t]) and base + words[i][0] > done:
-                    done = base + words[j][1] - 1
-                    found.setdefault(row, []).append((-n, -n / len(self.words[t]), base + words[i][0], base + words[j][1], t))
+                ends = np.array([len(piece[: w[1]].encode("utf-8", "surrogatepass")) for w in words] if not piece.isascii() else [w[1] for w in words], dtype=np.int64)
+                spans: list[tuple[int, int]] = []  # words of the matches, in order
+                tried: set[tuple[int, int, int]] = set()
+                for d, p in sorted(hits[begin:end], key=lambda x: x[1]):
+                    # the words at the diagonal and at the hit
+                    shift, own = np.searchsorted(ends, [max(place[min(max(d, low), high)], a) - a, place[p] - a], side="right").tolist()
+                    while True:
+                        k = bisect.bisect_right(spans, (own, len(words)))
+                        lo, hi = spans[k - 1][1] + 1 if k else 0, spans[k][0] if k < len(spans) else len(words)
+                        if own < lo or (shift, lo, hi) in tried:
+                            break
+                        tried.add((shift, lo, hi))
+                        lo, hi = max(lo, shift - 2 * BAND), min(hi, shift + size + 2 * BAND)
+                        n, i, j = align([w[2] for w in words[lo:hi]], self.words[t], shift - lo)
+                        if i < 0 or n < cover * size:
+                            break
+                        i, j = i + lo, j + lo
+                        bisect.insort(spans, (i, j))
+                        found.setdefault(row, []).append((-n, -n / size, base + words[i][0], base + words[j][1], t))
         out = []
         for row, matches in found.items():
             taken: list[tuple[int, int]] = []

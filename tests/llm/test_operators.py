@@ -288,6 +288,15 @@ def test_license_scan(spark):
     assert license_scan.scan_licenses(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_license_scan_reports_adjacent_repeats(spark):
+    t = license_scan.TEMPLATES
+    texts = ["(c) 2001 A. All rights reserved. (c) 2002 B. All rights reserved.", "All rights reserved.\n" * 5, f"é {t['mit']} " * 4, f"{t['cc-by-sa-4.0']} {t['cc-by-nc-4.0']} " * 3, "Released under the MIT licence. " * 3, t["apache-2.0-header"] * 2]
+    got = license_scan.scan_licenses(docs(spark, texts)).collect()
+    spans = {k: [texts[k][r["start_char"] : r["end_char"]] for r in sorted(got, key=lambda r: r["start_char"]) if r["doc_id"] == k] for k in range(len(texts))}
+    assert [len(spans[k]) for k in range(len(texts))] == [2, 5, 4, 6, 3, 2]
+    assert set(spans[0] + spans[1]) == {"All rights reserved"} and set(spans[2]) == {"Released under the MIT License"} and set(spans[4]) == {"Released under the MIT"}
+
+
 # --- toxicity ------------------------------------------------------------------------------------------------
 
 
