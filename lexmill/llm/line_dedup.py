@@ -1,25 +1,28 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 A line (trimmed, lower-cased) is the set of its character shingles: ``SHINGLE`` characters from each character on, the whole line where
-it is shorter. Its signature has, for each of ROWS * BANDS anchors on the circle of hash values, the shingle hash that comes
-next: two lines agree at an anchor with a probability equal to their Jaccard similarity. Eight bands of three rows find a pair at 0.8 with
-probability 0.997 if the anchors are independent, which they nearly are for sets of FEW shingles on; smaller sets have the least value by
-each of as many hash functions instead, and sets that may be near either kind have both signatures. Candidates are verified by exact Jaccard similarity (>= 0.8), links are closed to components by distributed
-union-find, and the first line (least id, then line number) of each component stays. Equal lines are one from the start, whatever their number.
-
-A bucket isn't expanded into its pairs: all members are paired with a hub, then components are contracted, buckets within one
-component are done, and the others get many more hubs, until none is left; each round takes its hubs out. Signatures are
-made where lines are read, so that the text isn't shuffled; what is broadcast is counted first (BROADCAST_ROWS), and joined
-by shuffle beyond that.
-
-Defined results: blank lines are never dropped; lines of fewer than MIN_SHINGLES different shingles are only compared for equality; a null text
-stays null; null ids sort first; a row repeated whole counts once, and each copy keeps the same lines; an empty table gives an empty
-result; columns other than id and text are ignored. Two unlike lines with one 64-bit name are both left alone.
+it is shorter. Its signature is made where lines are read, in one aggregate over exploded shingles: each of ROWS * BANDS values is the
+least shingle hash after a mask has been xored in, which picks the shingle nearest to a point of the hash space; lines of at most FEW
+shingles, for which such picks depend on each other, have a second signature of as many hash functions. BANDS bands of ROWS rows
+find a pair at 0.8 with probability 0.986. Candidates are verified by exact Jaccard similarity (>= 0.8) of the whole sets, links are
+closed to components by distributed union-find, and the first line (least id, then line number) of each component stays. Equal
+lines are one from the start, whatever their number.
+
+A bucket isn't expanded into its pairs. In each of STARS rounds all its members are paired with one of them, which then leaves it; pairs
+are tried once, components contracted, and buckets within one component are done, so that a round has no more pairs than
+members. Lines of buckets that still hold several components (lines that share a passage, say) are few and go through an exact
+prefix-filter join instead: a pair at 0.8 shares one of the rarest ninth of the smaller set's shingles, at a place that leaves room for
+the overlap; what lines of a bucket have in common is frequent among them, so doesn't make candidates.
+
+Text is never shuffled but for lines that are candidates. What is broadcast is counted first (BROADCAST_ROWS), and joined by shuffle beyond that.
+
+Defined results: blank lines are never dropped; a null text stays null; null ids sort first; a row repeated whole counts once, and each
+copy keeps the same lines; very long lines are compared whole; an empty table gives an empty result; columns other than id, text and those
+to carry are ignored. Should two unlike lines have one 64-bit name, all lines get other names.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -29,17 +32,11 @@ from lexmill.llm.common import BROADCAST_ROWS, drop_kept, join_small, keep
 from lexmill.llm.components import connected_components
 
 SHINGLE = 10
-ROWS, BANDS = 3, 8
-MIN_SHINGLES = 5
-FEW = 40
+ROWS, BANDS = 3, 6
+FEW = 64
 NUM, DEN = 4, 5
-SINGLE_ROUNDS = 5
-
-
-def _anchors() -> list[int]:
-    """Evenly spread points on the circle of 64-bit values, in order."""
-    n = ROWS * BANDS
-    return [-(1 << 63) + (2 * i + 1) * (1 << 64) // (2 * n) for i in range(n)]
+STARS = 4
+BEST = 2
 
 
 def normal_line(line: Column) -> Column:
@@ -51,117 +48,179 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def _starts(points: Column) -> Column:
+    """Where shingles start in the UTF-32 of a line; with four bytes for each character, a shingle is cut out without a scan."""
+    return F.sequence(F.lit(1), F.greatest(F.length(points) - 4 * (SHINGLE - 1), F.lit(1)), F.lit(4))
+
+
+def _hash_at(points: Column, start: Column) -> Column:
+    return F.xxhash64(F.substring(points, start, F.lit(4 * SHINGLE)))
+
+
 def shingles(line: Column) -> Column:
-    """The sorted hashes of the different shingles of a normalised line."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(line) - SHINGLE, F.lit(0)))
-    # with four bytes for each character, a shingle is cut out without a scan
-    hashes = _once(F.encode(line, "UTF-32"), lambda b: F.transform(starts, lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE)))))
-    return F.sort_array(F.array_distinct(hashes))
+    """The hashes of the different shingles of a normalised line."""
+    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda b: F.transform(_starts(b), lambda i: _hash_at(b, i))))
+
+
+def _signatures(lines: DataFrame) -> DataFrame:
+    """h, kind, n (lines of that name), and bands: hashes of the bands of the signature."""
+    points = lines.select("h", F.encode("line", "UTF-32").alias("points"))
+    few = F.length("points") <= 4 * (FEW + SHINGLE - 1)
+    kinds = points.select("h", "points", F.explode(F.when(few, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
+    each = kinds.select("h", "kind", "points", F.explode(_starts(F.col("points"))).alias("at")).select("h", "kind", "at", _hash_at(F.col("points"), F.col("at")).alias("x"))
+    size = ROWS * BANDS
+    masks = [-(1 << 63) + k * ((1 << 64) // size) for k in range(size)]
+    values = [F.min(F.when(F.col("kind") == 0, F.col("x").bitwiseXOR(F.lit(m))).otherwise(F.xxhash64("x", F.lit(m)))).alias(f"v{k}") for k, m in enumerate(masks)]
+    found = each.groupBy("h", "kind").agg(F.count(F.when(F.col("at") == 1, 1)).alias("n"), *values)
+    bands = [F.xxhash64(F.col("kind"), F.lit(b), *[F.col(f"v{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
+    return found.select("h", "kind", "n", F.array(*bands).alias("bands"))
+
+
+def _rooted(names: DataFrame, links: DataFrame | None, name: str = "h") -> DataFrame:
+    """Adds ``root``, the name of the component, to names of lines."""
+    if links is None:
+        return names.withColumn("root", F.col(name))
+    roots = connected_components(links).select(F.col("node").alias(name), "root")
+    return names.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
 
 
-def with_shingles(lines: DataFrame) -> DataFrame:
-    """Adds ``set``: the shingles of the normalised ``line``."""
-    return lines.withColumn("set", shingles(F.col("line")))
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar."""
+    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
+    near = _once(shingles(F.col("s")), lambda s: _once(shingles(F.col("t")), lambda t: F.size(F.array_intersect(s, t)) * (NUM + DEN) >= (F.size(s) + F.size(t)) * NUM))
+    return keep(both.filter(near).select("a", "b"), "links")
 
 
-def with_bands(lines: DataFrame) -> DataFrame:
-    """Adds ``bands``: hashes of the bands of the signature of ``set``; null for small sets.
+def _pair(x: str, y: str) -> list[Column]:
+    return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
-    Loops over anchors and bands are lambdas: written out, the generated method would be too large for the JVM to compile.
-    """
-    anchors = F.array(*[F.lit(a) for a in _anchors()])
 
-    def bands(after: Column, kind: int) -> Column:
-        return F.transform(F.array(*[F.lit(b) for b in range(BANDS)]), lambda b: F.xxhash64(b + kind * BANDS, *[F.get(after, b + BANDS * r) for r in range(ROWS)]))
+def _apart(members: DataFrame, links: DataFrame | None) -> DataFrame:
+    """The members, with the root of their component, of buckets that hold more than one."""
+    named = _rooted(members, links)
+    wide = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
+    return keep(join_small(named, keep(wide, "wide"), ["bucket"], "left_semi"), "apart")
 
-    def by_anchors(s: Column) -> Column:
-        # where the anchors are among the hashes: the 0-based index of the next hash
-        return _once(F.sort_array(F.concat(s, anchors)), lambda m: F.transform(anchors, lambda a, i: F.get(s, F.pmod(F.array_position(m, a).cast("int") - 1 - i, F.size(s)))))
 
-    def by_functions(s: Column) -> Column:
-        return F.transform(anchors, lambda a: F.array_min(F.transform(s, lambda x: F.xxhash64(x, a))))
+def _rare_lists(names: DataFrame, texts: DataFrame) -> DataFrame:
+    """Lists (s, h, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the place among them. Shingles on the same lines make one list."""
+    sets = keep(texts.join(names, "h").select("h", F.explode(shingles(F.col("line"))).alias("x")), "shingles")
+    often = sets.groupBy("x").agg(F.count("*").alias("n"), F.xxhash64(F.bit_xor(F.xxhash64("h")), F.count("*")).alias("s"))
+    ranked = sets.join(often, "x").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "s", "x"))).alias("e"))
+    n = F.size("e")
+    first = ranked.select("h", n.alias("n"), F.posexplode(F.slice("e", 1, (n - F.ceil(n * NUM / DEN) + 1).cast("int"))).alias("pos", "e"))
+    return keep(first.filter("e.n > 1").groupBy("h", "e.s").agg(F.first("n").alias("n"), F.min("pos").alias("pos")), "lists")
 
-    def of(s: Column) -> Column:
-        # a set near one of fewer than FEW has at most DEN / NUM times as many
-        none = F.array().cast("array<bigint>")
-        small = F.when(F.size(s) * NUM <= FEW * DEN, _once(by_functions(s), lambda after: bands(after, 1))).otherwise(none)
-        return F.concat(F.when(F.size(s) >= FEW, _once(by_anchors(s), lambda after: bands(after, 0))).otherwise(none), small)
 
-    return lines.withColumn("bands", _once(F.col("set"), lambda s: F.when(F.size(s) >= MIN_SHINGLES, of(s))))
+def _wide_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """The lists, with the roots of their lines, that hold several components."""
+    named = _rooted(lists.drop("root"), links)
+    wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
+    return keep(join_small(named, keep(wide, "wide"), ["s"], "left_semi"), "lists")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """id, k (the row's name), no and line of every line that isn't blank."""
-    rows = docs.select("id", F.xxhash64("id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    return rows.withColumn("line", normal_line(F.col("line"))).filter("line != ''")
+def _may_link(root: str, n: str, pos: str, other_root: str, other_n: str, other_pos: str) -> Column:
+    """Whether sizes, and what is left from the first shingle in common on, leave room for the overlap that a link needs."""
+    room = F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos))
+    sizes = F.least(n, other_n) * DEN >= F.greatest(n, other_n) * NUM
+    return (F.col(root) != F.col(other_root)) & sizes & (room * (NUM + DEN) >= (F.col(n) + F.col(other_n)) * NUM)
 
 
-def _near_roots(links: DataFrame) -> DataFrame:
-    """h and root: a node of its component two links away at most; members with one root are in one component, though not the other way round."""
-    both = links.select(F.col("a").alias("h"), F.least("a", "b").alias("m")).unionByName(links.select(F.col("b").alias("h"), F.least("a", "b").alias("m")))
-    near = both.groupBy("h").agg(F.min("m").alias("m"))
-    return near.join(near.select(F.col("h").alias("m"), F.col("m").alias("far")), "m", "left").select("h", F.least("m", F.coalesce("far", "m")).alias("root"))
+def _likeliest(lists: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): each line with that one of its lists' hubs that it shares most lists with."""
+    hubs = keep(lists.groupBy("s").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "n", "pos", "root")).alias("hub")).select("s", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("h", "n", "pos", "root")]), "hubs")
+    met = join_small(lists, hubs, ["s"]).filter(_may_link("root", "n", "pos", "hub_root", "hub_n", "hub_pos")).groupBy("h", "hub_h").agg(F.count("*").alias("common"))
+    return met.groupBy("h").agg(F.max(F.struct("common", "hub_h")).alias("best")).select(*_pair("h", "best.hub_h")).distinct()
 
 
-def _links(lines: DataFrame, signed: DataFrame) -> DataFrame | None:
-    """Verified links (a, b) between names of lines; None if there is no candidate."""
-    buckets = signed.filter("bands IS NOT NULL").select("h", F.explode("bands").alias("bucket"))
-    multi = keep(buckets.groupBy("bucket").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x != y").select("bucket"), "multi")
-    members = keep(join_small(buckets, multi, ["bucket"]).distinct(), "members")
-    drop_kept(multi)
-    needed = keep(members.select("h").distinct(), "needed")
-    named = lines.select(F.xxhash64("line").alias("h"), "line")
-    # texts are kept, as the hashes of all their shingles take eight times as much
-    texts = keep(join_small(named, needed, ["h"], "left_semi").groupBy("h").agg(F.first("line").alias("line")), "texts")
+def _all_pairs(lists: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different components that may be similar: all that are similar are among them."""
+    # the smaller set of a pair meets the other within its rarest ninth
+    p, q = lists.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * NUM / (NUM + DEN))).alias("p"), lists.alias("q")
+    may = (F.struct("p.n", "p.h") < F.struct("q.n", "q.h")) & _may_link("p.root", "p.n", "p.pos", "q.root", "q.n", "q.pos")
+    return p.join(q, (F.col("p.s") == F.col("q.s")) & may).select(*_pair("p.h", "q.h")).distinct()
+
+
+def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """Verified links (a, b) between names of lines that share a bucket; None if there is no candidate."""
     links: DataFrame | None = None
-    for k in itertools.count():
-        if links is not None:
-            members_at = members.join(_near_roots(links), "h", "left").select("bucket", "h", F.coalesce("root", "h").alias("root"))
-        else:
-            members_at = members.withColumn("root", F.col("h"))
-        wide = members_at.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-        rest = keep(join_small(members_at, keep(wide, "wide"), ["bucket"], "left_semi"), "rest")
-        if not rest.limit(1).count():
+    tried: DataFrame | None = None
+    for k in range(STARS):
+        apart = _apart(members, links)
+        if not apart.limit(1).count():
             return links
-        # single hubs, by another order each round, contract most; only buckets that stay apart get many at once
-        order = F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "root")
-        hubs_each = 64 ** max(0, k + 1 - SINGLE_ROUNDS)
-        hubs = keep(rest.groupBy("bucket", F.pmod(F.xxhash64("h", F.lit(-1)), F.lit(hubs_each)).alias("salt")).agg(F.min(order).alias("hub")).select("bucket", "hub"), "hubs")
-        pairs = join_small(rest, hubs, ["bucket"]).filter("root != hub.root").select(F.greatest("h", "hub.h").alias("a"), F.least("h", "hub.h").alias("b")).distinct()
-        both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
-        near = _once(shingles(F.col("s")), lambda s: _once(shingles(F.col("t")), lambda t: F.size(F.array_intersect(s, t)) * (NUM + DEN) >= (F.size(s) + F.size(t)) * NUM))
-        new = keep(both.filter(near).select("a", "b"), "links")
-        links = new if links is None else links.unionByName(new)
-        members = keep(rest.select("bucket", "h").join(hubs.select("bucket", F.col("hub.h").alias("h")), ["bucket", "h"], "left_anti"), "members")
+        hubs = keep(apart.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "root")).alias("hub")).select("bucket", "hub.h", "hub.root"), "hubs")
+        star = join_small(apart, hubs.select("bucket", F.col("h").alias("hub"), F.col("root").alias("hub_root")), ["bucket"]).filter("root != hub_root").select(*_pair("h", "hub")).distinct()
+        star = keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
+        new = _verified(star, texts)
+        links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
+        members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
+    lists = _rare_lists(keep(_apart(members, links).select("h").distinct(), "rest"), texts)
+    for k in range(BEST + 1):
+        lists = _wide_lists(lists, links)
+        if not lists.limit(1).count():
+            break
+        # each line's likeliest pair first, as each link makes others needless; in the end all that are left
+        pairs = keep((_likeliest(lists, k) if k < BEST else _all_pairs(lists)).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = links.unionByName(_verified(pairs, texts)), tried.unionByName(pairs)
+    return links
+
+
+def _lines(docs: DataFrame, seed: int) -> DataFrame:
+    """id, k (the row's name), no, line and h (the line's name) of every line that isn't blank."""
+    rows = docs.select("id", F.xxhash64("id", "text").alias("k"), F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    return rows.withColumn("line", normal_line(F.col("line"))).filter("line != ''").withColumn("h", F.xxhash64(F.lit(seed), "line"))
+
+
+def _named(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Names of lines that share a bucket, by bucket; all lines that share a bucket or recur."""
+    lines = _lines(docs, seed)
+    signed = keep(_signatures(lines.select("h", "line")), "signed")
+    buckets = signed.select("h", F.explode("bands").alias("bucket"))
+    multi = keep(buckets.groupBy("bucket").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x != y").select("bucket"), "multi")
+    members = keep(join_small(buckets, multi, ["bucket"]).distinct(), "members")
+    again = signed.filter("kind = 0 AND n > 1").select("h", F.lit(False).alias("compared"))
+    wanted = keep(members.select("h", F.lit(True).alias("compared")).unionByName(again).groupBy("h").agg(F.max("compared").alias("compared")), "wanted")
+    found = join_small(lines, wanted, ["h"]).select("id", "k", "no", "h", F.xxhash64(F.lit(seed), F.lit(0), "line").alias("h2"), F.when(F.col("compared"), F.col("line")).alias("line"))
+    found = keep(found, "found")
+    drop_kept(signed)
+    return members, found
+
+
+def _repeats(docs: DataFrame) -> DataFrame:
+    """id, k and the numbers of the lines to drop."""
+    for seed in range(8):
+        members, found = _named(docs, seed)
+        classes = keep(found.groupBy("h").agg(F.min(F.struct("id", "k", "no")).alias("first"), F.count("*").alias("n"), (F.min("h2") != F.max("h2")).alias("clash")), "classes")
+        if not classes.filter("clash").limit(1).count():
+            break
+    texts = keep(found.filter("line IS NOT NULL").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    links = _links(members, texts)
+    rooted = _rooted(classes.select("h", "first", "n"), links)
+    least = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1").select("root", "keep")
+    kept = keep(rooted.join(least, "root").select("h", "keep"), "kept")
+    repeats = found.select("id", "k", "no", "h").join(kept, "h").filter(~F.struct("id", "k", "no").eqNullSafe(F.col("keep")))
+    return keep(repeats.groupBy("id", "k").agg(F.collect_set("no").alias("drop")), "dropped")
+
+
+def _without(text: Column, drop: Column) -> Column:
+    """The text without the lines of these numbers, in time linear in its lines."""
+    return _once(F.split(text, "\n"), lambda parts: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), drop), lambda i: F.get(parts, i)), "\n"))
 
 
 def fuzzy_line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row per input row: id, text (without the lines that repeat another), n_lines, n_dropped, and other columns to carry."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
-    lines = _lines(rows.select("id", "text"))
-    signed = keep(with_bands(with_shingles(lines)).select("id", "k", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), "line").alias("h2"), "bands"), "lines")
-    first = F.min(F.struct("id", "k", "no")).alias("first")
-    classes = keep(signed.groupBy("h").agg(first, F.count("*").alias("n"), (F.min("h2") != F.max("h2")).alias("clash")), "classes")
-    links = _links(lines, signed)
-    if links is None:
-        kept = classes.filter("n > 1 AND NOT clash").select("h", "first")
-    else:
-        roots = connected_components(links).select(F.col("node").alias("h"), "root")
-        rooted = classes.filter("NOT clash").join(roots, "h", "left").filter("n > 1 OR root IS NOT NULL").withColumn("root", F.coalesce("root", "h"))
-        kept = rooted.select("h", "root").join(rooted.groupBy("root").agg(F.min("first").alias("first")), "root").select("h", "first")
-    repeats = signed.select("id", "k", "no", "h").join(kept, "h").filter(~F.struct("id", "k", "no").eqNullSafe(F.col("first")))
-    dropped = keep(repeats.groupBy("id", "k").agg(F.collect_set("no").alias("drop")), "dropped")
-    drop_kept(signed)
+    dropped = _repeats(rows.select("id", "text"))
     few = dropped.agg(F.coalesce(F.sum(F.size("drop")), F.lit(0)).alias("n")).first()["n"] <= BROADCAST_ROWS
     side = dropped.withColumnRenamed("id", "drop_id").withColumnRenamed("k", "drop_k")
     named = rows.withColumn("k", F.xxhash64("id", "text"))
     joined = named.join(F.broadcast(side) if few else side, F.col("id").eqNullSafe(F.col("drop_id")) & (F.col("k") == F.col("drop_k")), "left")
-    parts = F.split("text", "\n")
-    text = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(F.col("drop"), i)), "\n"))
+    n_lines = F.octet_length("text") - F.octet_length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
     return joined.select(
         F.col("id").alias(id_col),
-        text.alias(text_col),
-        F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("n_lines"),
+        F.when(F.col("drop").isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col("drop"))).alias(text_col),
+        F.coalesce(n_lines, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("drop"), F.lit(0)).cast("long").alias("n_dropped"),
         *(F.col(f"carried.`{c}`").alias(c) for c in carry or []),
     )

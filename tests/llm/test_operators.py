@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import zlib
 
@@ -149,6 +150,11 @@ def test_html_goes_on_after_odd_declarations(odd):
 # --- line dedup ----------------------------------------------------------------------------------------------
 
 
+def full_sets(line):
+    line = line.strip(" ").lower()
+    return {line[j : j + 10] for j in range(max(1, len(line) - 9))}
+
+
 def brute_lines(rows):
     """Which (id, line number) go, by comparing every line with every other."""
     sets, first = {}, {}
@@ -156,7 +162,7 @@ def brute_lines(rows):
         for k, raw in enumerate(text.split("\n")):
             line = raw.strip(" ").lower()
             if line and line not in sets:
-                sets[line] = {line[j : j + 10] for j in range(len(line)) if line[j] != " " and (j == 0 or line[j - 1] == " ")}
+                sets[line] = full_sets(line)
                 first[line] = (i, k)
     root = {x: x for x in sets}
 
@@ -169,7 +175,7 @@ def brute_lines(rows):
     for a in range(len(names)):
         for b in range(a):
             x, y = sets[names[a]], sets[names[b]]
-            if min(len(names[a].split(" ")), len(names[b].split(" "))) >= 5 and 9 * len(x & y) >= 4 * (len(x) + len(y)):
+            if 9 * len(x & y) >= 4 * (len(x) + len(y)):
                 u, v = sorted((find(names[a]), find(names[b])), key=first.get)
                 root[v] = u
     out = {}
@@ -191,11 +197,6 @@ def test_line_dedup(spark):
     assert line_dedup.fuzzy_line_dedup(docs(spark, ["x"]).limit(0)).count() == 0
 
 
-def full_sets(line):
-    line = line.strip(" ").lower()
-    return {line[j : j + 10] for j in range(max(1, len(line) - 9))}
-
-
 def test_line_dedup_reads_all_characters(spark):
     urls = [" ".join(f"https://example.com/{k}{j}{'abcdefgh'[k] * 12}" for j in range(6)) for k in range(3)]
     tabs = "\t".join(f"cell{k}value" for k in range(20))
@@ -204,22 +205,50 @@ def test_line_dedup_reads_all_characters(spark):
     got = {r["doc_id"]: r["n_dropped"] for r in line_dedup.fuzzy_line_dedup(docs(spark, texts)).collect()}
     assert got == {k: int(k in (4, 6)) for k in range(len(texts))}
     lines = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, line string")
-    sizes = {r["k"]: len(r["set"]) for r in line_dedup.with_shingles(lines).collect()}
+    sizes = {r["k"]: len(r["set"]) for r in lines.select("k", line_dedup.shingles(F.col("line")).alias("set")).collect()}
     assert sizes == {k: len(full_sets(t)) for k, t in enumerate(texts)}
 
 
-def test_line_dedup_finds_near_sets_of_any_size(spark):
-    r = np.random.default_rng(3)
-    sizes = [(5, 6, 5), (7, 8, 7), (9, 9, 8), (18, 18, 16), (36, 36, 32), (39, 48, 39), (40, 50, 40), (45, 45, 40), (90, 90, 80)]
-    rows = []
-    for n, m, common in sizes:
+def test_line_dedup_signature_finds_near_lines_of_any_length(spark):
+    r = random.Random(3)
+    rows, near = [], {}
+    for n, more in ((4, 1), (8, 2), (16, 4), (40, 10), (55, 13), (62, 15), (64, 1), (100, 25), (400, 100)):
         for k in range(300):
-            x = [int(v) for v in r.integers(-(1 << 63), 1 << 63, n + m - common)]
-            rows += [(n * 1000 + m, k, sorted(x[:n])), (n * 1000 + m, k, sorted(x[:common] + x[n:]))]
-    signed = line_dedup.with_bands(spark.createDataFrame(rows, "size int, k int, set array<bigint>").repartition(4))
-    met = signed.select("size", "k", F.explode("bands").alias("band")).groupBy("size", "k", "band").count().filter("count > 1").select("size", "k").distinct()
-    found = {x["size"]: x["count"] / 300 for x in met.groupBy("size").count().collect()}
-    assert all(found[n * 1000 + m] >= 0.98 for n, m, _ in sizes), found
+            line = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n + more + 9))
+            near[(len(rows), len(rows) + 1)] = n
+            rows += [(len(rows), line[: n + 9]), (len(rows) + 1, line)]
+    signed = line_dedup._signatures(spark.createDataFrame(rows, "h long, line string"))
+    by_band = signed.select("h", F.explode("bands").alias("band")).groupBy("band").agg(F.sort_array(F.collect_set("h")).alias("hs"))
+    met = {(a, b) for row in by_band.filter("size(hs) > 1").collect() for i, b in enumerate(row["hs"]) for a in row["hs"][:i]}
+    found = {n: sum(p in met for p, m in near.items() if m == n) / 300 for n in near.values()}
+    assert all(v >= 0.95 for v in found.values()), found
+    assert len(met) < 1.2 * len(near)
+
+
+def test_line_dedup_of_lines_around_a_passage(spark):
+    """Lines that share half and more, of which few are near, meet in buckets and go through the rare shingles."""
+    r = random.Random(5)
+    base = [f"{r.randrange(10**6)}" for _ in range(40)]
+    texts = []
+    for k in range(70):
+        own = list(base)
+        for at in r.sample(range(40), 4 + k % 5):
+            own[at] = f"{r.randrange(10**6)}"
+        texts.append(" ".join(own))
+        if k % 3 == 0:
+            texts.append(" ".join([*own[:20], "zz", *own[21:]]))
+    got = {x["doc_id"]: x["text"] for x in line_dedup.fuzzy_line_dedup(docs(spark, texts)).collect()}
+    expected = brute_lines(list(enumerate(texts)))
+    assert sum(got[k] == expected[k] for k in expected) >= 0.98 * len(texts)
+
+
+def test_line_dedup_edges(spark):
+    """Null and repeated ids, rows that repeat whole, ties, and columns whose names clash."""
+    rows = [(None, "null id line"), (None, "null id line"), (1, "same line here\nown line of one"), (1, "same line here\nown line of one"), (1, "another row of id one"), (2, "SAME LINE HERE"), (3, "null id line")]
+    df = spark.createDataFrame([(i, t, "a", "b", 0) for i, t in rows], "doc_id long, text string, h string, line string, drop int")
+    got = sorted((str(r["doc_id"]), r["text"], r["n_dropped"]) for r in line_dedup.fuzzy_line_dedup(df, carry=["h", "line", "drop"]).collect())
+    kept = [("None", "null id line", 0)] * 2 + [("1", "same line here\nown line of one", 0)] * 2 + [("1", "another row of id one", 0), ("2", "", 1), ("3", "", 1)]
+    assert got == sorted(kept)
 
 
 def test_components(spark):
