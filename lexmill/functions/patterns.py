@@ -6,6 +6,12 @@ LETTERS_TO = "ااايويه "
 DIACRITICS = "[ً-ٰٟۖ-ۭ]"
 TASHKEEL = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 TOKEN = "[A-Za-z0-9؀-ۿ]+"
+# Marks that citations are compared without.
+MARKS = r"""[.,،؛:؟!()\[\]{}«»"'\-–—٪%/\\]"""
+# Words that may stand between two parts of one quote.
+CONNECTORS = "و|أو|ثم|في|من|إلى|على|عن|مع|بين|بل|لا|لم|هو|هي|أن|إن|كان|كما|حيث|لكن"
+# Letters that tell the direction of a text.
+RIGHT_TO_LEFT = "\u0590-\u06ff\u0750-\u077f\u08a0-\u08ff\ufb50-\ufdff\ufe70-\ufeff"
 
 # Words left out of tokens.
 STOP_WORDS = (
@@ -14,7 +20,7 @@ STOP_WORDS = (
 ).split()
 
 # Lines that end the article, head a section, or are boilerplate.
-PAGE_NUMBER = "^[٠-٩0-9]{1,4}$"
+PAGE_NUMBER = r"^\p{Nd}{1,4}$"
 REFERENCE_TITLES = "المراجع|المصادر|قائمة المراجع|قائمة المصادر|المراجع والمصادر|المصادر والمراجع|قائمة المراجع والمصادر|References|Bibliography|Works Cited"
 REFERENCE_HEADER = rf"^({REFERENCE_TITLES})\s*:?\s*$"
 SECTION_TITLES = (

@@ -37,11 +37,16 @@ def search_tokens(c: Column | str) -> Column:
 
 
 def normalize_citation(c: Column | str, gap: str = " ") -> Column:
-    """Text for grounding: no tashkeel, punctuation replaced by ``gap``, single spaces, lower case."""
-    bare = F.regexp_replace(F.regexp_replace(c, P.TASHKEEL, ""), r"[^\p{L}\p{N}\s_]", gap)
+    """Text for grounding: no tashkeel, marks replaced by ``gap``, single spaces, lower case."""
+    bare = F.regexp_replace(F.regexp_replace(c, P.TASHKEEL, ""), P.MARKS, gap)
     return F.trim(F.regexp_replace(F.lower(bare), r"\s+", " "))
 
 
+def normalize_word(c: Column | str) -> Column:
+    """A word for alignment: no tashkeel, no marks, lower case; empty for a word of marks."""
+    return F.trim(F.lower(F.regexp_replace(F.regexp_replace(c, P.TASHKEEL, ""), P.MARKS, "")))
+
+
 def bucket(token: Column | str) -> Column:
     """Hash bucket of a token."""
     return F.pmod(F.conv(F.substring(F.md5(F.col(token).cast("binary") if isinstance(token, str) else token.cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(P.BUCKETS))
@@ -67,7 +72,7 @@ def cut_at_space(c: Column | str, size: int, least: int, mark: str = "…") -> C
     head = F.substring(c, 1, size)
     space = F.length(head) - F.locate(" ", F.reverse(head)) + 1
     cut = F.when((F.locate(" ", head) > 0) & (space - 1 > least), F.substring(head, F.lit(1), space - 1)).otherwise(head)
-    return F.when(F.length(c) <= size, c).otherwise(F.concat(F.regexp_replace(cut, r"\s+$", ""), F.lit(mark)))
+    return F.when(F.length(c) <= size, c).otherwise(F.concat(cut, F.lit(mark)))
 
 
 def section_bucket(section: Column | str) -> Column:
@@ -92,5 +97,5 @@ def chunk_id(doc: Column | str, index: Column | str) -> Column:
 
 def text_direction(c: Column | str) -> Column:
     """rtl or ltr by the first strong character; rtl without one."""
-    first = F.regexp_extract(c, "[A-Za-zÀ-ɏ֐-ࣿ]", 0)
-    return F.when(first.rlike("^[A-Za-zÀ-ɏ]"), "ltr").otherwise("rtl")
+    first = F.regexp_extract(c, f"[A-Za-z{P.RIGHT_TO_LEFT}]", 0)
+    return F.when(first.rlike("^[A-Za-z]"), "ltr").otherwise("rtl")

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexmill.functions.text import strip
+
 
 def conversation_list(messages: DataFrame) -> DataFrame:
-    """conv_id, n_messages, last_turn, preview (the first user message, 120 characters), latest first."""
+    """conv_id, n_messages, last_turn, preview (the first user message, 120 characters), position: latest first."""
+    text = strip(F.coalesce("first_text", F.lit("")))
     first = messages.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first_text"))
     stats = messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"))
-    return stats.join(first, "conv_id", "left").select("conv_id", "n_messages", "last_turn", F.substring(F.coalesce("first_text", F.lit("")), 1, 120).alias("preview"))
+    preview = F.concat(F.substring(text, 1, 120), F.when(F.length(text) > 120, "…").otherwise(""))
+    return stats.join(first, "conv_id", "left").select("conv_id", "n_messages", "last_turn", preview.alias("preview")).orderBy(F.desc("last_turn"), "conv_id")
 
 
 def history(messages: DataFrame) -> DataFrame:
@@ -23,6 +27,18 @@ def history(messages: DataFrame) -> DataFrame:
     return rows.withColumn("kind", kind).filter("kind IS NOT NULL").select("conv_id", "turn", "role", "kind", "back")
 
 
+def recent(messages: DataFrame, n: int) -> DataFrame:
+    """The last n turns of each conversation: 6 for rewriting a query, 40 for a chat about one document."""
+    back = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))
+    return messages.withColumn("back", back).filter(F.col("back") <= n)
+
+
+def without_open_question(messages: DataFrame) -> DataFrame:
+    """History as regeneration sends it: a user turn that is the last goes, as it is the question asked again."""
+    last = messages.groupBy("conv_id").agg(F.max(F.struct("turn", "role")).alias("l")).filter("l.role = 'user'").select("conv_id", "l.turn")
+    return messages.join(last, ["conv_id", "turn"], "left_anti")
+
+
 def without_last_answer(messages: DataFrame) -> DataFrame:
     """Messages as regeneration finds them: the last assistant turn is gone."""
     last = messages.filter("role = 'assistant'").groupBy("conv_id").agg(F.max("turn").alias("turn"))
@@ -32,9 +48,10 @@ def without_last_answer(messages: DataFrame) -> DataFrame:
 def token_cost(messages: DataFrame) -> DataFrame:
     """Tokens (a third of the characters, rounded up) in and out, and their price."""
     t = F.ceil(F.length("text") / 3)
-    sums = messages.groupBy("conv_id").agg(F.sum(F.when(F.col("role") == "assistant", 0).otherwise(t)).alias("tokens_in"), F.sum(F.when(F.col("role") == "assistant", t).otherwise(0)).alias("tokens_out"))
+    user = F.col("role") == "user"
+    sums = messages.groupBy("conv_id").agg(F.sum(F.when(user, t).otherwise(0)).alias("tokens_in"), F.sum(F.when(user, 0).otherwise(t)).alias("tokens_out"))
     cost = F.round((F.col("tokens_in") * 0.15 + F.col("tokens_out") * 0.60) / 1e6, 8)
-    return sums.withColumn("cost", cost).withColumn("label", F.when(cost < 0.001, "<$0.001").otherwise(F.concat(F.lit("$"), F.format_number(cost, 3))))
+    return sums.withColumn("cost", cost).withColumn("label", F.when(cost < 0.001, "<$0.001").otherwise(F.concat(F.lit("~$"), F.regexp_replace(F.format_number(cost, 3), ",", ""))))
 
 
 def title_filter(conversations: DataFrame, query: str, default: str = "New conversation") -> DataFrame:
@@ -50,11 +67,19 @@ def fallback_query(messages: DataFrame) -> DataFrame:
     return users.select("conv_id", "turn", F.trim(F.concat_ws(" ", before, "text")).alias("query"))
 
 
-def markdown(messages: DataFrame) -> DataFrame:
-    """One markdown text for each conversation."""
-    block = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.trim("text"))
+def markdown(messages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+    """One markdown text for each conversation: its title (conv_id, title), then a head and the text of each message (conv_id, turn, role, text, sources: array of (doc_id, title)),
+    numbered sources below an answer, and a rule."""
+    if "sources" not in messages.columns:
+        messages = messages.withColumn("sources", F.lit(None).cast("array<struct<doc_id: string, title: string>>"))
+    rows = F.transform("sources", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), F.coalesce(F.nullif(x["title"], F.lit("")), x["doc_id"]), F.lit(" — `"), x["doc_id"], F.lit("`")))
+    listed = F.when((F.col("role") == "assistant") & (F.size("sources") > 0), F.concat(F.array(F.lit("**المصادر:**"), F.lit("")), rows, F.array(F.lit("")))).otherwise(F.array().cast("array<string>"))
+    head = F.when(F.col("role") == "user", "### 🧑 المستخدم").otherwise("### 🤖 المساعد")
+    block = F.array_join(F.concat(F.array(head, F.lit(""), strip("text"), F.lit("")), listed, F.array(F.lit("---"), F.lit(""))), "\n")
     parts = messages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("x"))
-    return parts.select("conv_id", F.concat(F.lit("# Conversation "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.array_join(F.transform("x", lambda b: b["block"]), "\n\n---\n\n")).alias("markdown"))
+    parts = parts.withColumn("title", F.lit(None).cast("string")) if titles is None else parts.join(titles.select("conv_id", "title"), "conv_id", "left")
+    name = F.coalesce(F.nullif("title", F.lit("")), F.lit("محادثة"))
+    return parts.select("conv_id", F.concat(F.lit("# "), name, F.lit("\n\n"), F.array_join(F.transform("x", lambda b: b["block"]), "\n")).alias("markdown"))
 
 
 def delete_conversations(conversations: DataFrame, messages: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lexmill.functions import patterns as P
-from lexmill.functions.text import section_bucket
-
-EVIDENCE = T.StructType(
-    [
-        T.StructField("title", T.StringType()), T.StructField("stance", T.StringType()), T.StructField("evidence_quality", T.StringType()),
-        T.StructField("key_findings", T.ArrayType(T.StructType([T.StructField("claim", T.StringType()), T.StructField("evidence", T.StringType())]))),
-        T.StructField("statistics", T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("context", T.StringType())]))),
-        T.StructField("limitations", T.ArrayType(T.StringType())),
-    ]
-)
+from lexmill.functions.text import section_bucket, strip
+
+_REFS = "chunk_refs: array<string>"
+#: Fields of a piece of evidence as a model writes it.
+EVIDENCE = (
+    "doc_index int, doc_id string, title string, research_focus string, methodology string, sample string, "
+    f"key_findings array<struct<claim: string, evidence: string, {_REFS}>>, statistics array<struct<value: string, context: string, {_REFS}>>, "
+    "limitations array<string>, implications array<string>, evidence_quality string, stance string, notes string"
+)
+# Fixed value: what stands for a field that the model left out.
+NOT_TOLD = "غير مذكور"
 STANCES = ("support", "contrast", "mixed", "neutral")
 
 
@@ -71,25 +71,39 @@ def diverse_chunks(results: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("pick", F.row_number().over(order)).filter(F.col("pick") <= limit).drop("preferred_bucket", "in_kind", "grp", "priority")
 
 
+def bare_json(text: Column | str) -> Column:
+    """Model output without the code fence around it."""
+    inner = F.regexp_replace(F.regexp_replace(strip(text), "^`+", ""), "`+$", "")
+    return F.when(strip(text).startswith("```"), strip(F.regexp_replace(inner, "^(?i)json", ""))).otherwise(strip(text))
+
+
 def parse_evidence(raw: DataFrame, text_col: str = "raw") -> DataFrame:
-    """Model output as evidence rows: fences off, broken JSON as defaults, unknown stances as neutral."""
-    bare = F.trim(F.regexp_replace(text_col, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    e = F.from_json(bare, EVIDENCE)
-    rows = raw.withColumn("e", e)
-    empty = F.array()
+    """Model output (with doc_index, doc_id, title of the document it is about) as evidence rows: broken JSON and fields left out as defaults, unknown stances as neutral."""
+    rows = raw.withColumn("e", F.from_json(bare_json(text_col), EVIDENCE))
+    told = ["research_focus", "methodology", "sample"]
+    lists = ["key_findings", "statistics", "limitations", "implications"]
+    kinds = rows.schema["e"].dataType
     return rows.select(
-        *[c for c in raw.columns if c != text_col],
-        F.coalesce("e.title", F.lit("")).alias("title"),
-        F.when(F.lower("e.stance").isin(*STANCES), F.lower("e.stance")).otherwise("neutral").alias("stance"),
-        F.coalesce(F.size(F.coalesce("e.key_findings", empty.cast(EVIDENCE["key_findings"].dataType))), F.lit(0)).alias("n_findings"),
-        F.coalesce(F.size(F.coalesce("e.statistics", empty.cast(EVIDENCE["statistics"].dataType))), F.lit(0)).alias("n_statistics"),
+        *[F.coalesce(f"e.{c}", F.col(c)).alias(c) for c in ("doc_index", "doc_id", "title")],
+        *[F.coalesce(f"e.{c}", F.lit(NOT_TOLD)).alias(c) for c in told],
+        *[F.coalesce(f"e.{c}", F.array().cast(kinds[c].dataType)).alias(c) for c in lists],
+        F.coalesce("e.evidence_quality", F.lit("medium")).alias("evidence_quality"),
+        F.when(F.col("e.stance").isin(*STANCES), F.col("e.stance")).otherwise("neutral").alias("stance"),
+        F.coalesce("e.notes", F.lit("")).alias("notes"),
     )
 
 
+def evidence_totals(evidence: DataFrame) -> DataFrame:
+    """How many documents, findings and statistics the evidence has."""
+    size = lambda c: F.coalesce(F.sum(F.coalesce(F.size(c), F.lit(0))), F.lit(0))
+    return evidence.agg(F.count("*").alias("n_documents"), size("key_findings").alias("n_findings"), size("statistics").alias("n_statistics"))
+
+
 def stance_meter(evidence: DataFrame, by: str) -> DataFrame:
     """Counts of stances and a verdict."""
     stance = F.when(F.col("stance").isin(*STANCES), F.col("stance")).otherwise("neutral")
     counts = evidence.withColumn("stance", stance).groupBy(by).agg(*[F.count_if(F.col("stance") == s).alias(f"n_{s}") for s in STANCES])
     pro, con = F.col("n_support"), F.col("n_contrast")
     verdict = F.when((pro == 0) & (con == 0) & (F.col("n_mixed") == 0), "descriptive").when((pro > 0) & (pro >= 2 * con), "support").when((con > 0) & (con >= 2 * pro), "oppose").otherwise("conflicting")
-    return counts.withColumn("verdict", verdict)
+    total = F.greatest(sum((F.col(f"n_{x}") for x in STANCES[1:]), F.col(f"n_{STANCES[0]}")), F.lit(1))
+    return counts.withColumn("verdict", verdict).withColumns({f"share_{x}": F.round(F.col(f"n_{x}") / total * 100, 4) for x in STANCES})

@@ -14,9 +14,9 @@ def _is(c: Column, pattern: str) -> Column:
 
 
 def split_lines(docs: DataFrame, *carry: str) -> DataFrame:
-    """doc_id, line_no, line (stripped) of every line; no shuffle."""
+    """doc_id, line_no, line (stripped), raw_chars (of the line as it stands) of every line; no shuffle."""
     rows = docs.select("doc_id", *carry, F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    return rows.withColumn("line", strip("raw")).drop("raw")
+    return rows.withColumn("line", strip("raw")).withColumn("raw_chars", F.length("raw")).drop("raw")
 
 
 def is_boilerplate(line: Column) -> Column:
@@ -50,7 +50,7 @@ def classify(docs: DataFrame, *carry: str) -> DataFrame:
     rows = rows.withColumn("in_references", F.max((F.col("class") == "reference_header").cast("int")).over(so_far) == 1)
     label = F.when((F.col("class") == "section_header") & ~F.col("in_references"), F.regexp_replace("line", r"[:\s]+$", ""))
     return rows.withColumn("section", F.coalesce(F.last(label, ignorenulls=True).over(so_far), F.lit(""))).withColumn(
-        "char_offset", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0))
+        "char_offset", F.coalesce(F.sum(F.col("raw_chars") + 1).over(before), F.lit(0))
     )
 
 
@@ -59,18 +59,26 @@ def kept_lines(docs: DataFrame, *carry: str) -> DataFrame:
     return classify(docs, *carry).filter("class = 'text' AND NOT in_references")
 
 
-def titles(docs: DataFrame) -> DataFrame:
-    """doc_id and title: the best of the first 20 lines, the earliest of equals; empty without a candidate."""
-    line = F.col("line")
+def _title_score(line: Column, at: Column) -> Column:
     n = F.length(line)
-    score = (
-        F.when(F.col("line_no") < 5, 1.2).otherwise(0.0)
+    return (
+        F.when(at < 5, 1.2).otherwise(0.0)
         + F.when(n.between(20, 140), 1.4).when(n.between(12, 180), 0.8).otherwise(0.0)
         + F.when(F.size(F.split(line, r"\s+")).between(4, 18), 0.6).otherwise(0.0)
         - F.when(line.rlike("[.:؛،]$"), 0.4).otherwise(0.0)
         - F.when(line.rlike(r"[0-9٠-٩]"), 0.25).otherwise(0.0)
     )
-    own = line_class(line)
-    rows = split_lines(docs).filter("line_no < 20").filter((n >= 10) & own.isin("text", "reference_header") & ~_is(line, P.AUTHOR_LINE))
-    best = rows.groupBy("doc_id").agg(F.max_by("line", F.struct(F.round(score, 4), -F.col("line_no"))).alias("title"))
-    return docs.select("doc_id").join(best, "doc_id", "left").select("doc_id", F.coalesce("title", F.lit("")).alias("title"))
+
+
+def title(text: Column | str) -> Column:
+    """The best of the first 20 lines, the earliest of equals; empty without a candidate. One expression on the row: no shuffle."""
+    first = F.transform(F.slice(F.split(text, "\n"), 1, 20), lambda x: strip(x))
+    rows = F.transform(first, lambda x, i: F.struct(x.alias("line"), i.alias("at")))
+    fit = F.filter(rows, lambda r: (F.length(r["line"]) >= 10) & line_class(r["line"]).isin("text", "reference_header") & ~_is(r["line"], P.AUTHOR_LINE))
+    best = F.array_max(F.transform(fit, lambda r: F.struct(F.round(_title_score(r["line"], r["at"]), 4).alias("score"), (-r["at"]).alias("order"), r["line"].alias("line"))))
+    return F.coalesce(best["line"], F.lit(""))
+
+
+def titles(docs: DataFrame) -> DataFrame:
+    """doc_id and title."""
+    return docs.select("doc_id", title("text").alias("title"))

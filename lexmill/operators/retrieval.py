@@ -5,8 +5,10 @@ Queries are a DataFrame (query_id, query), so any number of them runs in one pla
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from lexmill.functions.text import bigrams, bucket, coverage, cut_at_space, norm
 
 SMALL_ROWS = 500_000
 DIMENSIONS = 64
+QUERIES_MOST = 5000
 
 
 def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
@@ -33,7 +36,9 @@ def metadata_filter(df: DataFrame, **equal: str | None) -> DataFrame:
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """id, bucket, tf: the share of the chunk's tokens in each hash bucket."""
     rows = chunks.select(id_col, tokens(text_col).alias("t")).select(id_col, F.size("t").alias("n"), F.explode("t").alias("token"))
-    return rows.groupBy(id_col, bucket("token").alias("bucket"), "n").agg(F.count("*").alias("k")).select(id_col, "bucket", (F.col("k") / F.col("n")).alias("tf"))
+    # by token first, within the tasks that read: a token of a chunk is hashed once and few rows are shuffled
+    counted = rows.groupBy(id_col, "n", "token").agg(F.count("*").alias("k"))
+    return counted.groupBy(id_col, "n", bucket("token").alias("bucket")).agg(F.sum("k").alias("k")).select(id_col, "bucket", (F.col("k") / F.col("n")).alias("tf"))
 
 
 def document_frequency(posts: DataFrame, n_chunks: Column | int) -> DataFrame:
@@ -44,14 +49,23 @@ def document_frequency(posts: DataFrame, n_chunks: Column | int) -> DataFrame:
 
 def sparse_scores(queries: DataFrame, posts: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """query_id, id, score: sum of query tf, tf and idf over common buckets, rounded so that order doesn't depend on the plan."""
-    q = small(postings(queries, "query_id", "query").withColumnRenamed("tf", "q_tf"))
-    met = posts.join(q, "bucket").join(idf.select("bucket", "idf"), "bucket")
+    return sparse_scores_of(postings(queries, "query_id", "query"), posts, idf, id_col)
+
+
+def sparse_scores_of(query_posts: DataFrame, posts: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """The same for postings of queries."""
+    q = small(query_posts.withColumnRenamed("tf", "q_tf").join(idf.select("bucket", "idf"), "bucket"))
+    met = posts.join(q, "bucket")
     return met.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 6).alias("score"))
 
 
 def hashed_vectors(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", dimensions: int = DIMENSIONS) -> DataFrame:
     """id and a unit vector: signed feature hashing of tokens, the offline stand-in for a model's embedding."""
-    posts = postings(chunks, id_col, text_col)
+    return vectors_of(postings(chunks, id_col, text_col), dimensions, id_col)
+
+
+def vectors_of(posts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "chunk_id") -> DataFrame:
+    """The same from postings."""
     sign = 1 - 2 * F.pmod(F.floor(F.col("bucket") / dimensions), F.lit(2))
     per = posts.groupBy(id_col, F.pmod("bucket", F.lit(dimensions)).alias("d")).agg(F.sum(sign * F.col("tf")).alias("v"))
     found = per.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("d", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
@@ -69,6 +83,48 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id
     return vectors.crossJoin(small(queries.withColumnRenamed("vector", "q"))).select("query_id", id_col, F.round(cosine, 6).alias("score"))
 
 
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", partition: str = "query_id", block: int = 256) -> DataFrame:
+    """The k nearest rows of each query (query_id, vector) by cosine, ties by id: matrix products of blocks in each task, whose k best per query meet in one window.
+
+    Queries are a stated set: they are written as Arrow into each task's closure while they are few, and go through dense_scores() beyond that.
+    """
+    if queries.limit(QUERIES_MOST + 1).count() > QUERIES_MOST:
+        return top_k(dense_scores(queries, vectors, id_col), k, id_col, partition)
+    got = queries.select(partition, F.transform("vector", lambda x: x.cast("double")).alias("vector")).toArrow()
+    ids = got.column(partition)
+    if not len(ids):
+        return top_k(dense_scores(queries, vectors, id_col), k, id_col, partition)
+    q = np.stack([np.asarray(v) for v in got.column("vector").to_pylist()])
+    q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    shared = vectors.sparkSession.sparkContext.broadcast((ids.combine_chunks(), q))
+    rows = vectors.select(id_col, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    kinds = dict(rows.dtypes)
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, m = shared.value
+        best: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None  # of the task so far: query, score, id
+        for batch in batches:
+            for lo in range(0, batch.num_rows, block):
+                part = batch.slice(lo, block)
+                v = part.column("vector")
+                x = np.asarray(v.flatten(), dtype=np.float64).reshape(part.num_rows, -1)
+                scores = np.round((m @ (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).T), 6)
+                own = np.asarray(part.column(id_col).to_pylist(), dtype=object)
+                query, at = np.divmod(np.arange(scores.size), part.num_rows)
+                new = (query, scores.ravel(), own[at])
+                best = new if best is None else tuple(np.concatenate([a, b]) for a, b in zip(best, new))
+                order = np.lexsort((np.argsort(np.argsort(best[2], kind="stable")), -best[1], best[0]))
+                best = tuple(c[order] for c in best)
+                first = np.r_[0, np.flatnonzero(best[0][1:] != best[0][:-1]) + 1]
+                rank = np.arange(len(best[0])) - np.repeat(first, np.diff(np.r_[first, len(best[0])]))
+                best = tuple(c[rank < k] for c in best)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[2].tolist(), type=part.column(id_col).type), pa.array(best[1])], names=[partition, id_col, "score"])
+
+    found = rows.mapInArrow(nearest, f"{partition} {dict(queries.dtypes)[partition]}, {id_col} {kinds[id_col]}, score double")
+    return top_k(found, k, id_col, partition)
+
+
 def top_k(scored: DataFrame, k: int, id_col: str = "chunk_id", partition: str = "query_id") -> DataFrame:
     """The k best of each query with their rank from 1; ties by id."""
     w = Window.partitionBy(partition).orderBy(F.desc("score"), F.asc(id_col))
@@ -143,16 +199,18 @@ def dedup_per_document(ranked: DataFrame, k: int, rank_col: str = "rank") -> Dat
 
 
 def facets(results: DataFrame, names: list[str], rank_col: str = "rank") -> DataFrame:
-    """facet, value, n of the non-empty values of some columns, in the order of count and first appearance."""
-    pairs = results.select(F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), F.trim(F.col(n)).alias("value")) for n in names])).alias("x"), F.col(rank_col).alias("rank"))
-    counts = pairs.filter("x.value IS NOT NULL AND x.value != ''").groupBy("x.facet", "x.value").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
-    order = Window.partitionBy("facet").orderBy(F.desc("n"), F.asc("first_rank"), F.asc("value"))
+    """query_id, facet, value, n of the non-empty values of some columns in each query's results, in the order of count and first appearance."""
+    pairs = results.select("query_id", F.explode(F.array(*[F.struct(F.lit(n).alias("facet"), F.trim(F.col(n)).alias("value")) for n in names])).alias("x"), F.col(rank_col).alias("rank"))
+    counts = pairs.filter("x.value IS NOT NULL AND x.value != ''").groupBy("query_id", "x.facet", "x.value").agg(F.count("*").alias("n"), F.min("rank").alias("first_rank"))
+    order = Window.partitionBy("query_id", "facet").orderBy(F.desc("n"), F.asc("first_rank"), F.asc("value"))
     return counts.withColumn("position", F.row_number().over(order)).drop("first_rank")
 
 
-def suggestions(results: DataFrame, most: int = 3) -> DataFrame:
-    """Distinct title phrases of a query's results, at most 80 characters, first ones first."""
+def suggestions(results: DataFrame, doubtful: DataFrame | None = None, most: int = 3) -> DataFrame:
+    """Distinct title phrases of a query's results, at most 80 characters, first ones first; with ``doubtful`` (query_id, low_confidence) only where these are."""
     phrase = cut_at_space(F.trim("title"), 80, 0)
+    if doubtful is not None:
+        results = results.join(doubtful.filter("low_confidence"), "query_id", "left_semi")
     rows = results.filter("trim(title) != ''").select("query_id", "rank", phrase.alias("suggestion"))
     first = Window.partitionBy("query_id", F.lower("suggestion")).orderBy("rank")
     rows = rows.withColumn("k", F.row_number().over(first)).filter("k = 1")

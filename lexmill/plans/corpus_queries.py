@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexmill.functions import display
 from lexmill.functions import patterns as P
 from lexmill.functions import text as X
 from lexmill.operators import chunking, lines, retrieval
@@ -21,15 +22,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-_STRIPPED = f"SELECT doc_id, line_no, {S.strip('line')} AS line FROM ({S.LINES})"
+_STRIPPED = f"SELECT doc_id, line_no, {S.strip('line')} AS line, length(line) AS raw_chars FROM ({S.LINES})"
 _CLASS = f"""CASE WHEN line = '' THEN 'blank' WHEN regexp_matches(line, {S.lit(P.PAGE_NUMBER)}) THEN 'page_number' WHEN {S.matches('line', P.REFERENCE_HEADER)} THEN 'reference_header'
 WHEN length(line) < 5 OR {S.matches('line', P.BOILERPLATE)} THEN 'boilerplate'
 WHEN {S.matches('line', P.SECTION_HEADER)} OR (length(line) < 60 AND regexp_matches(line, {S.lit(P.HEADING_LIKE)})) THEN 'section_header' ELSE 'text' END"""
-CLASSED_SQL = f"SELECT doc_id, line_no, line, {_CLASS} AS class FROM ({_STRIPPED})"
+CLASSED_SQL = f"SELECT doc_id, line_no, line, raw_chars, {_CLASS} AS class FROM ({_STRIPPED})"
 LINES_SQL = rf"""
 SELECT doc_id, line_no, class, in_references,
   coalesce(last_value(CASE WHEN class = 'section_header' AND NOT in_references THEN regexp_replace(line, '[:\s]+$', '') END IGNORE NULLS) OVER w, '') AS section,
-  coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset
+  coalesce(sum(raw_chars + 1) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS char_offset
 FROM (SELECT *, max(CASE WHEN class = 'reference_header' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) = 1 AS in_references FROM ({CLASSED_SQL}))
 WINDOW w AS (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING)
 """
@@ -172,7 +173,7 @@ def point_ids(spark, sf_dir):
 
 @query(
     "snippets",
-    r"""SELECT doc_id, CASE WHEN length(text) <= 700 THEN text ELSE regexp_replace(CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 350 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END, '\s+$', '') || '…' END AS snippet
+    r"""SELECT doc_id, CASE WHEN length(text) <= 700 THEN text ELSE CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 350 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END || '…' END AS snippet
     FROM (SELECT doc_id, text, substr(text, 1, 700) AS h FROM documents)""",
 )
 def snippets(spark, sf_dir):
@@ -187,11 +188,11 @@ def citation_norms(spark, sf_dir):
 
 @query(
     "reading_stats",
-    r"SELECT doc_id, len(regexp_split_to_array(trim(text), '\s+')) AS n_words, greatest(1, round(len(regexp_split_to_array(trim(text), '\s+')) / 180.0))::BIGINT AS minutes FROM documents",
+    r"SELECT doc_id, len(w) AS n_words, greatest(1, floor(len(w) / 180.0::DOUBLE + 0.5::DOUBLE))::BIGINT AS minutes FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x != '') AS w FROM documents)",
 )
 def reading_stats(spark, sf_dir):
-    n = F.size(F.split(F.trim("text"), r"\s+"))
-    return documents(spark, sf_dir).select("doc_id", n.alias("n_words"), F.greatest(F.lit(1), F.round(n / 180)).cast("long").alias("minutes"))
+    n, minutes = display.reading_stats("text")
+    return documents(spark, sf_dir).select("doc_id", n.alias("n_words"), minutes.alias("minutes"))
 
 
 @query("section_buckets", f"SELECT bucket, count(*) AS n FROM (SELECT {S.section_bucket('line')} AS bucket FROM ({_STRIPPED})) GROUP BY bucket")

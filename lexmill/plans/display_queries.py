@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import display
+from lexmill.functions import patterns as P
 from lexmill.functions import text as X
-from lexmill.operators import citations, conversations
+from lexmill.operators import conversations
+from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import documents, table
 from lexmill.plans.registry import query
 from lexmill.plans.search_queries import _HITS, line_hits
-from lexmill.plans.talk_queries import _PHRASES, _WORDS, phrases
 
 
-@query("text_direction", "SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(text, '[A-Za-zÀ-ɏ֐-ࣿ]'), '^[A-Za-zÀ-ɏ]') THEN 'ltr' ELSE 'rtl' END AS direction FROM documents")
+@query("text_direction", f"SELECT doc_id, CASE WHEN regexp_matches(regexp_extract(text, '[A-Za-z{P.RIGHT_TO_LEFT}]'), '^[A-Za-z]') THEN 'ltr' ELSE 'rtl' END AS direction FROM documents")
 def text_direction(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.text_direction("text").alias("direction"))
 
@@ -23,9 +24,9 @@ def highlight_terms(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(display.highlight("text", "the que und a").cast("binary")).alias("marked"))
 
 
-@query("title_slugs", rf"SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(trim(line)), '[^\p{{L}}\p{{N}}\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM ({_HITS}) WHERE line_no < 2")
+@query("title_slugs", rf"SELECT doc_id, line_no, 'syn-' || regexp_replace(regexp_replace({S.strip('line')}, '\s+', '-', 'g'), '[^\p{{L}}\p{{N}}-]', '', 'g') AS slug FROM ({_HITS})")
 def title_slugs(spark, sf_dir):
-    return line_hits(spark, sf_dir).filter("line_no < 2").select("doc_id", "line_no", display.slug("line").alias("slug"))
+    return line_hits(spark, sf_dir).select("doc_id", "line_no", display.slug("line").alias("slug"))
 
 
 @query("score_bars", f"SELECT query_id, chunk_id, CASE WHEN max(score) OVER w > 0 THEN round(least(100.0, score / max(score) OVER w * 100), 4) ELSE 0 END AS bar FROM ({_HITS}) WINDOW w AS (PARTITION BY query_id)")
@@ -47,10 +48,10 @@ def stacked_cards(spark, sf_dir):
 @query(
     "context_blocks",
     f"""SELECT doc_id, md5(string_agg('[' || k || '] ' || source || CASE WHEN section != '' THEN ' — ' || section ELSE '' END || chr(10) || substr(line, 1, 1800), chr(10) || chr(10) ORDER BY k)) AS context
-    FROM (SELECT *, line_no + 1 AS k FROM ({_HITS})) WHERE line_no < 6 GROUP BY doc_id""",
+    FROM (SELECT *, line_no + 1 AS k FROM ({_HITS})) GROUP BY doc_id""",
 )
 def context_blocks(spark, sf_dir):
-    rows = line_hits(spark, sf_dir).filter("line_no < 6").select("doc_id", (F.col("line_no") + 1).alias("k"), F.col("source").alias("title"), "section", F.col("line").alias("text"))
+    rows = line_hits(spark, sf_dir).select("doc_id", (F.col("line_no") + 1).alias("k"), F.col("source").alias("title"), "section", F.col("line").alias("text"))
     return display.context_blocks(rows, "doc_id", "k").select("doc_id", F.md5(F.col("context").cast("binary")).alias("context"))
 
 
@@ -59,14 +60,3 @@ def conversation_filter(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations")
     title = F.min_by(F.when((F.col("role") == "user") & (F.col("conv_id") % 3 != 0), F.col("text")), F.when((F.col("role") == "user") & (F.col("conv_id") % 3 != 0), F.col("turn"))).alias("title")
     return conversations.title_filter(rows.groupBy("conv_id").agg(title), " ON ").select("conv_id")
-
-
-@query(
-    "align_cluster",
-    f"""WITH k AS (SELECT DISTINCT phrase_id, n_words, word FROM ({_PHRASES}) WHERE length(word) >= 4), c AS (SELECT *, count(*) OVER (PARTITION BY phrase_id) AS n_keys FROM k),
-    h AS (SELECT phrase_id, doc_id, pos, n_keys, ceil(n_words * 1.5) AS width FROM ({_WORDS}) JOIN c USING (word) WHERE n_keys >= 3),
-    d AS (SELECT a.phrase_id, a.doc_id, a.pos, a.n_keys, count(*) AS n_hits, max(b.pos) AS last FROM h a JOIN h b ON a.phrase_id = b.phrase_id AND a.doc_id = b.doc_id AND b.pos >= a.pos AND b.pos < a.pos + a.width GROUP BY ALL)
-    SELECT phrase_id, doc_id, pos AS start, last AS "end", n_hits FROM (SELECT *, row_number() OVER (PARTITION BY phrase_id, doc_id ORDER BY n_hits DESC, pos) AS r FROM d WHERE n_hits >= 3 AND n_hits >= ceil(n_keys * 0.6)) WHERE r = 1""",
-)
-def align_cluster(spark, sf_dir):
-    return citations.align_cluster(phrases(spark, sf_dir), citations.words_of(documents(spark, sf_dir)))

@@ -75,16 +75,15 @@ FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0
 """
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector with an id divisible by 50 as a query against all vectors."""
+def dense_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every vector with an id divisible by 50 as a query, and all vectors."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
-    queries = vectors.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
-    return retrieval.dense_scores(queries, vectors)
+    return vectors.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id"), vectors
 
 
 @query("dense_topk", _top_sql(DENSE_SQL, K, "chunk_id"))
 def dense_topk(spark, sf_dir):
-    return retrieval.top_k(dense(spark, sf_dir), K)
+    return retrieval.dense_top_k(*dense_tables(spark, sf_dir), K)
 
 
 @query(
@@ -94,7 +93,7 @@ def dense_topk(spark, sf_dir):
 )
 def precision_at_k(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    top = retrieval.top_k(dense(spark, sf_dir), K)
+    top = retrieval.dense_top_k(*dense_tables(spark, sf_dir), K)
     rows = top.join(labels.withColumnsRenamed({"vec_id": "query_id", "label": "a"}), "query_id").join(labels.withColumnsRenamed({"vec_id": "chunk_id", "label": "b"}), "chunk_id")
     return rows.groupBy("query_id").agg(F.round(F.avg(F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.0)), 6).alias("precision_at_k"))
 
@@ -110,8 +109,8 @@ RRF_SQL = f"""SELECT query_id, doc_id, round(sum(1.0 / ({P.RRF_K} + rank)), 8) A
 def hybrid_rrf(spark, sf_dir):
     docs = documents(spark, sf_dir)
     queries = retrieval.hashed_vectors(search_queries(spark, sf_dir), "query_id", "query")
-    hashed = retrieval.dense_scores(queries, retrieval.hashed_vectors(docs, "doc_id"), "doc_id")
-    lists = {"sparse": retrieval.top_k(sparse(spark, sf_dir), 3 * K, "doc_id"), "dense": retrieval.top_k(hashed, 3 * K, "doc_id")}
+    hashed = retrieval.dense_top_k(queries, retrieval.hashed_vectors(docs, "doc_id"), 3 * K, "doc_id")
+    lists = {"sparse": retrieval.top_k(sparse(spark, sf_dir), 3 * K, "doc_id"), "dense": hashed}
     return retrieval.fuse(lists, K, "doc_id")
 
 
@@ -161,12 +160,12 @@ def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.split_lines(documents(spark, sf_dir), "source", "lang").filter("line != ''")
     score = F.round((F.length("line") % 97) / 97, 4)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"), F.asc("line_no"))
-    rows = rows.withColumn("score", score).withColumn("query_id", F.pmod("doc_id", F.lit(7))).withColumn("chunk_id", X.chunk_id("doc_id", F.col("line_no")))
+    rows = rows.withColumn("score", score).withColumn("query_id", F.floor(F.col("doc_id") / 100)).withColumn("chunk_id", X.chunk_id("doc_id", F.col("line_no")))
     return rows.withColumn("rank", F.row_number().over(w)).withColumn("section", F.substring("line", 1, 40))
 
 
 _HITS = f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, line_no) AS rank FROM (
-SELECT doc_id, line_no, source, lang, line, round((length(line) % 97) / 97.0::DOUBLE, 4) AS score, doc_id % 7 AS query_id, format('{{}}_chunk_{{:03d}}', doc_id, line_no) AS chunk_id, substr(line, 1, 40) AS section
+SELECT doc_id, line_no, source, lang, line, round((length(line) % 97) / 97.0::DOUBLE, 4) AS score, doc_id // 100 AS query_id, format('{{}}_chunk_{{:03d}}', doc_id, line_no) AS chunk_id, substr(line, 1, 40) AS section
 FROM (SELECT doc_id, source, lang, line_no, {S.strip('line')} AS line FROM ({S.LINES})) WHERE line != '')"""
 
 
@@ -181,8 +180,8 @@ def dedup_per_doc(spark, sf_dir):
 
 @query(
     "facets",
-    f"""SELECT facet, value, n, row_number() OVER (PARTITION BY facet ORDER BY n DESC, first_rank, value) AS position FROM (SELECT facet, value, count(*) AS n, min(rank) AS first_rank FROM (
-    SELECT 'section' AS facet, trim(section) AS value, rank FROM ({RERANK_SQL}) UNION ALL SELECT 'journal_id', trim(journal_id), rank FROM ({RERANK_SQL})) WHERE value != '' GROUP BY facet, value)""",
+    f"""SELECT query_id, facet, value, n, row_number() OVER (PARTITION BY query_id, facet ORDER BY n DESC, first_rank, value) AS position FROM (SELECT query_id, facet, value, count(*) AS n, min(rank) AS first_rank FROM (
+    SELECT query_id, 'section' AS facet, trim(section) AS value, rank FROM ({RERANK_SQL}) UNION ALL SELECT query_id, 'journal_id', trim(journal_id), rank FROM ({RERANK_SQL})) WHERE value != '' GROUP BY query_id, facet, value)""",
 )
 def facets(spark, sf_dir):
     return retrieval.facets(candidates(spark, sf_dir), ["section", "journal_id"])
@@ -192,7 +191,7 @@ def facets(spark, sf_dir):
     "suggestions",
     rf"""SELECT query_id, position, suggestion FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id, lower(suggestion) ORDER BY rank) AS k FROM (SELECT query_id, rank, CASE WHEN length(t) <= 80 THEN t ELSE
-      regexp_replace(CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 0 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END, '\s+$', '') || '…' END AS suggestion
+      CASE WHEN strpos(h, ' ') > 0 AND length(h) - strpos(reverse(h), ' ') > 0 THEN substr(h, 1, length(h) - strpos(reverse(h), ' ')) ELSE h END || '…' END AS suggestion
       FROM (SELECT query_id, rank, trim(title) AS t, substr(trim(title), 1, 80) AS h FROM ({RERANK_SQL})) WHERE t != '')) WHERE k = 1) WHERE position <= 3""",
 )
 def suggestions(spark, sf_dir):

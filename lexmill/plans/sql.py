@@ -33,7 +33,11 @@ def search_tokens(x: str) -> str:
 
 
 def normalize_citation(x: str, gap: str = " ") -> str:
-    return rf"trim(regexp_replace(lower(regexp_replace(regexp_replace({x}, {lit(P.TASHKEEL)}, '', 'g'), '[^\p{{L}}\p{{N}}\s_]', {lit(gap)}, 'g')), '\s+', ' ', 'g'))"
+    return rf"trim(regexp_replace(lower(regexp_replace(regexp_replace({x}, {lit(P.TASHKEEL)}, '', 'g'), {lit(P.MARKS)}, {lit(gap)}, 'g')), '\s+', ' ', 'g'))"
+
+
+def words(x: str) -> str:
+    return rf"list_transform(list_filter(regexp_split_to_array({x}, '\s+'), lambda w: w != ''), lambda w: trim(lower(regexp_replace(regexp_replace(w, {lit(P.TASHKEEL)}, '', 'g'), {lit(P.MARKS)}, '', 'g'))))"
 
 
 def bucket(x: str) -> str:

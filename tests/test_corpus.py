@@ -94,18 +94,70 @@ def test_fusion_ignores_score_scale(spark):
 
 
 def test_evidence_json(spark):
-    raw = [(1, '```json\n{"title": "t", "stance": "Support", "key_findings": [{"claim": "c"}]}\n```'), (2, "broken {"), (3, '{"stance": "unknown", "key_findings": null}')]
-    got = {r["id"]: (r["title"], r["stance"], r["n_findings"]) for r in evidence.parse_evidence(spark.createDataFrame(raw, "id int, raw string")).collect()}
-    assert got == {1: ("t", "support", 1), 2: ("", "neutral", 0), 3: ("", "neutral", 0)}
+    raw = [("1", '```json\n{"title": "t", "stance": "support", "key_findings": [{"claim": "c"}], "doc_index": 9}\n```'), ("2", "broken {"), ("3", '{"stance": "Support", "key_findings": null}'), ("4", "[1, 2]")]
+    df = spark.createDataFrame([(int(d), d, "given", r) for d, r in raw], "doc_index int, doc_id string, title string, raw string")
+    got = {r["doc_id"]: (r["doc_index"], r["title"], r["stance"], len(r["key_findings"]), r["sample"], r["evidence_quality"]) for r in evidence.parse_evidence(df).collect()}
+    told = ("غير مذكور", "medium")
+    # the list of stances is case-sensitive
+    assert got == {"1": (9, "t", "support", 1, *told), "2": (2, "given", "neutral", 0, *told), "3": (3, "given", "neutral", 0, *told), "4": (4, "given", "neutral", 0, *told)}
 
 
 def test_alignment(spark):
-    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "one two THREE, four x six seven eight nine ten")], "doc_id int, text string")
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, "one two THREE, four x six seven eight nine ten"), (3, "the ten three four five six seven eight nine")], "doc_id int, text string")
     phrases = spark.createDataFrame([(7, "three four five six seven eight nine ten")], "phrase_id int, phrase string")
-    words = citations.words_of(docs)
-    assert [(r["doc_id"], r["start"], r["misses"]) for r in citations.align(phrases, words).collect()] == [(1, 2, 0)]
-    assert {(r["doc_id"], r["start"], r["misses"]) for r in citations.align(phrases, words, 0.1).collect()} == {(1, 2, 0), (2, 2, 1)}
-    assert {r["doc_id"] for r in citations.align_cluster(phrases, words).collect()} == {1, 2}
+    assert [(r["doc_id"], r["start"], r["misses"]) for r in citations.align(phrases, docs).collect()] == [(1, 2, 0)]
+    # no window runs past the document's end, so the third has none
+    assert {(r["doc_id"], r["start"], r["misses"]) for r in citations.align(phrases, docs, 0.1).collect()} == {(1, 2, 0), (2, 2, 1)}
+    pairs = docs.crossJoin(phrases)
+    assert {r["doc_id"] for r in citations.align_cluster(pairs).collect()} == {1, 2, 3}
+    # two words and one: no tolerance below three words
+    short = spark.createDataFrame([(1, "two THREE"), (2, "nine"), (3, "ten x")], "phrase_id int, phrase string")
+    assert {(r["phrase_id"], r["doc_id"], r["start"]) for r in citations.align(short, docs, 0.1).collect()} == {(1, 1, 1), (1, 2, 1), (2, 1, 8), (2, 2, 8), (2, 3, 8)}
+
+
+def test_alignment_cascade(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    cases = {1: "gamma delta epsilon", 2: "gamma XX epsilon zeta eta theta", 3: "mma delta eps", 4: "theta epsilon gamma delta", 5: "nothing of that here", 6: "«gamma, delta»"}
+    pairs = spark.createDataFrame([(k, p, k, text) for k, p in cases.items()], "phrase_id int, phrase string, doc_id int, text string")
+    got = {r["phrase_id"]: (r["strategy"], r["start"], r["end"]) for r in citations.align_cascade(pairs).collect()}
+    assert got == {1: (1, 2, 4), 2: (2, 2, 7), 3: (3, 2, 4), 4: (4, 2, 7), 6: (1, 2, 3)}
+    # repeats of a key word count: two of three keys are one word
+    again = spark.createDataFrame([(1, "deltas deltas omegas", 1, "deltas x deltas y deltas")], "phrase_id int, phrase string, doc_id int, text string")
+    assert [(r["start"], r["end"], r["n_hits"]) for r in citations.align_cluster(again).collect()] == [(0, 4, 3)]
+
+
+def test_citation_marks(spark):
+    answer = "قال «نص اول» (المستند 3) ثم «نص [ثان]» ( المستند[12] ) (م  2). بلا اقتباس! «وحده فقط"
+    row = spark.createDataFrame([(answer,)], "t string").select(citations.quotes("t").alias("q"), citations.document_refs("t").alias("r"), citations.source_marks("t").alias("m"), citations.link_refs("t").alias("l")).first()
+    assert (row["q"], row["r"], row["m"]) == (["نص اول", "نص [ثان]"], [3, 12], [2])
+    assert row["l"] == "قال [«نص اول»](#q-0)  [المستند 3](#s-3) ثم [«نص ثان»](#q-1)  [المستند 12](#s-12) (م  2). بلا اقتباس! «وحده فقط"
+    merged = lambda t: one(spark, t, citations.merge_adjacent_quotes)
+    assert merged("«a»، و«b» «c»") == "«a، وb c»" and merged("«x»zzz«y»") == "«x»zzz«y»" and merged("«a» ، حيث «b»") == "«a» ، حيث «b»" and merged("«a»، حيث«b»") == "«a، حيثb»"
+
+
+def test_answer_scores(spark):
+    answer = "قال «السماء، زرقاء». ثم «غير موجود» (المستند 9).\nجملة بلا اقتباس (المستند 1)"
+    df = spark.createDataFrame([(1, answer, ["إن السَّماء زرقاء اليوم"], 5), (2, "لا شيء", [], 5)], "answer_id int, answer string, sources array<string>, n_sources int")
+    got = {r["answer_id"]: r.asDict() for r in citations.score_answers(df).collect()}
+    assert {k: got[1][k] for k in ("n_quotes", "n_grounded", "n_sentences", "n_cited_sentences", "n_docrefs", "n_valid_docrefs")} == {"n_quotes": 2, "n_grounded": 1, "n_sentences": 3, "n_cited_sentences": 2, "n_docrefs": 2, "n_valid_docrefs": 1}
+    assert (got[1]["quote_grounding"], got[1]["sentence_coverage"], got[1]["docref_validity"]) == (0.5, 0.6667, 0.5)
+    assert (got[2]["quote_grounding"], got[2]["docref_validity"]) == (0.0, 1.0)
+
+
+def test_quotes_resolve_by_text_then_snippet_then_rank(spark):
+    sources = spark.createDataFrame([(1, 1, "d1", "", "some snippet words"), (1, 2, "d2", "the whole text", "x")], "answer_id int, source_rank int, doc_id string, text string, snippet string")
+    quoted = spark.createDataFrame([(1, 0, "whole text"), (1, 1, "snippet"), (1, 2, "nowhere"), (1, 3, "!!")], "answer_id int, quote_no int, quote string")
+    assert {r["quote_no"]: (r["doc_id"], r["grounded"]) for r in citations.resolve_quotes(quoted, sources).collect()} == {0: ("d2", True), 1: ("d1", True), 2: ("d1", False), 3: ("d1", False)}
+    assert {r["doc_id"] for r in citations.cited_documents(quoted, sources).collect()} == {"d1", "d2"}
+
+
+def test_direction_knows_presentation_forms(spark):
+    assert one(spark, "É ﺍﺏ", X.text_direction) == "rtl" and one(spark, "É abc", X.text_direction) == "ltr"
+
+
+def test_offsets_are_of_raw_lines(spark):
+    rows = lines.classify(spark.createDataFrame([(1, "  ab  \nnext")], "doc_id int, text string")).collect()
+    assert {r["line_no"]: r["char_offset"] for r in rows} == {0: 0, 1: 7}
 
 
 def test_find_without_overlap(spark):
@@ -114,7 +166,14 @@ def test_find_without_overlap(spark):
 
 
 def test_limiter_denied_requests_do_not_count():
-    assert limiter.fold([0, 1, 2, 59, 60, 61], 2, 60) == ([True, True, False, False, True, True], [60, 61])
+    # a hit exactly as old as the window still counts
+    assert limiter.fold([0, 1, 2, 59, 60, 60.5, 61, 61.5], 2, 60) == ([True, True, False, False, False, True, False, True], [60.5, 61.5])
+
+
+def test_limiter_takes_requests_without_a_client(spark):
+    rows = [(None, k, datetime(2024, 1, 1, 0, 0, k)) for k in range(3)] + [("a", 9, datetime(2024, 1, 1))]
+    got = {r["request_id"]: r["accepted"] for r in limiter.limit_requests(spark.createDataFrame(rows, "client string, request_id int, ts timestamp"), 2, 60).collect()}
+    assert got == {0: True, 1: True, 2: False, 9: True}
 
 
 def test_limiter_batch_equals_stream(spark, tmp_path):
@@ -155,7 +214,8 @@ def test_articles_and_state(spark, tmp_path):
     assert [r["doc_id"] for r in articles.rejected(found).collect()] == ["0001-001-001-002"]
     words = articles.page_words(found)
     assert {(r["left"], r["bottom"]) for r in words.collect()} == {(200.0, 400.0)}
-    assert articles.highlight_regions(words).count() == 2
+    assert articles.highlight_regions(words.withColumn("matched", F.lit(True))).count() == 2
+    assert [(r["unit"], r["angle"], r["raster_width"], len(r["words"])) for r in articles.page_layout(found).collect()] == [("inch", 0.0, 0, 1)] * 2
     old = spark.createDataFrame([("a", 1), ("b", 1)], "point_id string, v int")
     new = spark.createDataFrame([("b", 2)], "point_id string, v int")
     once = articles.upsert(old, new)
@@ -172,3 +232,101 @@ def test_history_windows(spark):
     got = conversations.history(spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")).collect()
     assert sum(r["conv_id"] == 1 and r["kind"] == "summarised" for r in got) == 5
     assert all(r["kind"] == "verbatim" for r in got if r["conv_id"] == 2) and not any(r["conv_id"] == 3 for r in got)
+
+
+def test_layout_is_that_of_the_first_folder(spark, tmp_path):
+    for path in ("a/a.json", "b/b.json", "c/x/x.json", ".h/.h.json"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text('{"content": "t"}')
+    assert {r["doc_id"] for r in articles.read_articles(spark, str(tmp_path)).collect()} == {"a", "b"}
+
+
+def test_highlight_box_grows_with_its_words(spark):
+    def word(k, left, top, bottom, matched=True):
+        return (1, 1, k, float(left), float(top), float(left + 8), float(bottom), matched)
+
+    rows = [word(0, 0, 0, 10), word(1, 10, 3, 13), word(2, 20, 6, 16), word(3, 30, 0, 0.5), word(4, 40, 8, 18), word(5, 50, 0, 10, False), word(6, 60, 0, 10)]
+    df = spark.createDataFrame(rows, "doc_id int, page int, word_index int, left double, top double, right double, bottom double, matched boolean")
+    got = sorted((r["left"], r["top"], r["right"], r["bottom"], r["n_words"]) for r in articles.highlight_regions(df).collect())
+    # the fourth has no area; the fifth's middle is 13, the box's 8, its height 16
+    assert got == [(-3.0, -3.0, 51.0, 21.0, 4), (57.0, -3.0, 71.0, 13.0, 1)]
+
+
+def test_first_of_equal_chunks_by_number(spark):
+    rows = spark.createDataFrame([(f"d_chunk_{k}", "same") for k in (1000, 999)], "chunk_id string, text string")
+    assert [r["chunk_id"] for r in articles.unseen_paragraphs(rows, None).collect()] == ["d_chunk_999"]
+
+
+def test_an_ingest_that_fails_is_done_again(spark, tmp_path, monkeypatch):
+    from lexmill.sources import lifecycle
+
+    text = "A sentence that is long enough to be kept as an article. " * 4
+    files = spark.createDataFrame([("p1", "d1", "h1", text), ("p2", "d2", "h2", "short"), ("p3", "d3", "h3", text + "More of it. " * 20)], "path string, doc_id string, sha1 string, text string")
+    at = lambda name: str(tmp_path / name)
+
+    def broken(write, *_):
+        raise RuntimeError("no space")
+
+    with monkeypatch.context() as m:
+        m.setattr(lifecycle, "write_with_retries", broken)
+        made = lifecycle.run(spark, files, at("v1"), at("state"), 1)
+    assert (made.docs_processed, made.failed_docs) == (0, 3)
+    made = lifecycle.run(spark, files, at("v1"), at("state"), 2)
+    assert (made.docs_processed, made.failed_docs, made.skipped_file_dup) == (2, 1, 0) and made.total_chunks == spark.read.parquet(at("v1")).count() > 0
+    assert {r["doc_id"] for r in lifecycle.failed(lifecycle.read_state(spark, at("state"))).collect()} == {"d2"}
+    made = lifecycle.run(spark, files, at("v2"), at("state"), 3, at("v1"))
+    assert (made.docs_processed, made.skipped_file_dup, made.total_chunks) == (0, 2, 0)
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise RuntimeError("again")
+
+    waits = []
+    lifecycle.write_with_retries(flaky, sleep=waits.append)
+    assert waits == [2.0, 4.0]
+    with pytest.raises(ValueError):
+        lifecycle.write_with_retries(lambda: (_ for _ in ()).throw(ValueError("fatal")), sleep=waits.append)
+    assert lifecycle.progress(50, 100, 10, 100.0) == (0.1, "1.7m") and lifecycle.progress(0, 9, 0, 1.0)[1] == "..."
+
+
+def test_index_is_searched_in_every_mode(spark, tmp_path):
+    from lexmill.operators import search
+
+    rows = [(f"c{k}", f"d{k // 2}", f"word{k} shared text about topic{k % 3}", f"title {k}", "results", k, "j1" if k < 6 else "j2", 30) for k in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, text string, title string, section string, chunk_index int, journal_id string, char_len int")
+    search.write_index(chunks, str(tmp_path / "i"))
+    index = search.read_index(spark, str(tmp_path / "i"))
+    queries = spark.createDataFrame([(1, "word5 topic2"), (2, "xyzzy")], "query_id int, query string")
+    for mode in search.MODES:
+        results, heads = search.search_articles(index, queries, 3, mode)
+        got = [r for r in results.orderBy("query_id", "position").collect() if r["query_id"] == 1]
+        assert got[0]["chunk_id"] == "c5" and len({r["doc_id"] for r in got}) == len(got) <= 3
+        told = {r["query_id"]: r for r in heads.collect()}
+        assert not told[1]["low_confidence"] and told[2]["total"] == 0 and told[2]["low_confidence"] and told[2]["warning"]
+    assert {r["journal_id"] for r in search.search(index, queries, 5, "sparse", journal_id="j2").collect()} <= {"j2"}
+    assert {r["doc_id"] for r in search.passages(index, queries, "d2").collect()} == {"d2"}
+    with pytest.raises(ValueError):
+        search.write_index(chunks, str(tmp_path / "i"), dimensions=32)
+    for bad in (("", "hybrid"), ("x" * 2001, "hybrid"), ("x", "other")):
+        with pytest.raises(ValueError):
+            search.checked_query(*bad)
+    assert search.clamped(0, 1, 25) == 1 and search.clamped(999, 1, 25) == 25
+
+
+def test_questions_of_a_csv(spark, tmp_path):
+    from lexmill.operators import evaluation
+
+    (tmp_path / "q.csv").write_text('user_input,reference\nfirst,a\n"  ",b\n"se, cond",c\nthird,d\n')
+    assert [r["question"] for r in evaluation.read_questions(spark, str(tmp_path / "q.csv"), 2).collect()] == ["first", "se, cond"]
+    (tmp_path / "odd.csv").write_text("x\n1\n")
+    with pytest.raises(ValueError):
+        evaluation.read_questions(spark, str(tmp_path / "odd.csv"))
+
+
+def test_guards_and_clients(spark):
+    rows = spark.createDataFrame([("1.1.1.1, 2.2.2.2", "p"), (None, "p"), ("", "p"), (None, None)], "fwd string, peer string")
+    assert [r[0] for r in rows.select(limiter.client_key("fwd", "peer")).collect()] == ["1.1.1.1", "p", "p", "unknown"]
+    probes = spark.createDataFrame([("ok",), ("slow",), (None,)], "status string")
+    assert [r["state"] for r in limiter.health_state(probes).collect()] == ["online", "degraded", "offline"]
