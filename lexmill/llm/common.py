@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
+from lexmill.session import shared_path
+
 BROADCAST_ROWS = 1_000_000
 
 _MADE: list[tuple[SparkSession, str]] = []
@@ -21,18 +25,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="lexmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; sweep() removes it."""
-    path = f"{shared_dir(spark)}/lexmill/{uuid.uuid4().hex}/{name}"
+    """A fresh path in the shared folder; drop_kept() or remove_all() removes it."""
+    path = shared_path(spark, f"{uuid.uuid4().hex}/{name}")
     _MADE.append((spark, path))
     return path
 
@@ -83,6 +78,55 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> Dat
     return left.join(broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
 
 
+#: Earlier elements that a place carries; where there are more, a pair may be made at several places, and is made distinct.
+BEFORE = 64
+#: Words of a set's bitmap.
+BITS = 8
+
+
+def places(lists: DataFrame) -> DataFrame:
+    """From lists (s, h, root, n, pos): adds before (the elements of h at earlier places, where they are few), w (elements of h on the lists) and bits (a bitmap of them)."""
+    word = F.pmod(F.col("s"), F.lit(BITS))
+    bits = [F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(pmod(shiftright(s, 8), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(BITS)]
+    own = lists.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("e"), F.first("n").alias("n"), F.first("root").alias("root"), F.count("*").alias("w"), *bits)
+    each = own.select("h", "n", "root", "w", F.array(*[f"b{k}" for k in range(BITS)]).alias("bits"), F.transform(F.slice("e", 1, BEFORE), lambda x: x["s"]).alias("xs"), F.posexplode("e").alias("i", "x"))
+    before = F.when(F.col("i") <= BEFORE, F.slice("xs", F.lit(1), F.col("i"))).otherwise(F.array().cast("array<bigint>"))
+    return each.select("h", "n", "root", "w", "bits", "x.s", "x.pos", before.alias("before"))
+
+
+def first_met_pairs(at: DataFrame, num: int, den: int, lengths: Callable[[str], Column]) -> DataFrame:
+    """Pairs (a, b, room; a > b) of sets of different components that may have a Jaccard similarity of num / den, each once, at the first list that they share.
+
+    From places(): the rare elements s of sets h of n elements, of which the lists have the first ``lengths`` by one global order, pos their place there from 0. All pairs that
+    are similar are among them: the smaller set of such a pair meets the other within its rarest ninth (for 0.8); sizes, and what is left from there on, leave room
+    for the overlap; and so do the elements that both have on the lists, of which there are no more than the bitmaps say.
+    """
+    p, q = at.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * num / (num + den))).alias("p"), at.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * num / den)).alias("q")
+    room = F.least(F.col("p.n") - F.col("p.pos"), F.col("q.n") - F.col("q.pos"))
+    needed = F.ceil((F.col("p.n") + F.col("q.n")) * num / (num + den))
+    may = (F.struct("p.n", "p.h") < F.struct("q.n", "q.h")) & (F.col("p.n") * den >= F.col("q.n") * num) & (room >= needed)
+    # the set whose lists end first in the order has there all that they have in common on them
+    common = F.least(*[needed - (F.col(f"{x}.n") - lengths(f"{x}.n")) for x in "pq"])
+    for x, y in ("pq", "qp"):
+        others = [F.bit_count(F.get(f"{x}.bits", F.lit(k)).bitwiseAND(F.bitwise_not(F.get(f"{y}.bits", F.lit(k))))) for k in range(BITS)]
+        may = may & (F.col(f"{x}.w") - sum(others[1:], others[0]) >= common)
+    may = may & (F.col("p.root") != F.col("q.root")) & ~F.arrays_overlap("p.before", "q.before")
+    met = p.join(q, (F.col("p.s") == F.col("q.s")) & may).select(F.greatest("p.h", "q.h").alias("a"), F.least("p.h", "q.h").alias("b"), (room / (F.col("p.n") + F.col("q.n"))).alias("room"))
+    return met.groupBy("a", "b").agg(F.max("room").alias("room"))
+
+
+def sliced(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, each of at most so many bytes of text in the column, or of one row."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 # --- hashing -------------------------------------------------------------------------------------
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, drop_kept, join_small, keep
+from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_small, keep, places
 from lexmill.llm.components import connected_components
 
 SHINGLE = 10
@@ -36,7 +36,8 @@ ROWS, BANDS = 3, 6
 FEW = 64
 NUM, DEN = 4, 5
 STARS = 4
-BEST = 2
+#: One more rare shingle with a list for so many.
+MORE = 20
 
 
 def normal_line(line: Column) -> Column:
@@ -84,6 +85,15 @@ def _rooted(names: DataFrame, links: DataFrame | None, name: str = "h") -> DataF
     return names.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
 
 
+def _near_roots(names: DataFrame, links: DataFrame) -> DataFrame:
+    """Adds ``root``, a node of the component two links away at most: lines with one root are in one component, though not the other way round."""
+    both = links.select(F.col("a").alias("h"), F.least("a", "b").alias("m")).unionByName(links.select(F.col("b").alias("h"), F.least("a", "b").alias("m")))
+    near = both.groupBy("h").agg(F.min("m").alias("m"))
+    far = join_small(near, near.select(F.col("h").alias("m"), F.col("m").alias("far")), ["m"], "left")
+    roots = far.select("h", F.least("m", F.coalesce("far", "m")).alias("root"))
+    return names.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
     both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
@@ -97,48 +107,29 @@ def _pair(x: str, y: str) -> list[Column]:
 
 def _apart(members: DataFrame, links: DataFrame | None) -> DataFrame:
     """The members, with the root of their component, of buckets that hold more than one."""
-    named = _rooted(members, links)
+    named = members.withColumn("root", F.col("h")) if links is None else _near_roots(members, links)
     wide = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
     return keep(join_small(named, keep(wide, "wide"), ["bucket"], "left_semi"), "apart")
 
 
-def _rare_lists(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """Lists (s, h, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the place among them. Shingles on the same lines make one list."""
-    sets = keep(texts.join(names, "h").select("h", F.explode(shingles(F.col("line"))).alias("x")), "shingles")
-    often = sets.groupBy("x").agg(F.count("*").alias("n"), F.xxhash64(F.bit_xor(F.xxhash64("h")), F.count("*")).alias("s"))
-    ranked = sets.join(often, "x").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "s", "x"))).alias("e"))
-    n = F.size("e")
-    first = ranked.select("h", n.alias("n"), F.posexplode(F.slice("e", 1, (n - F.ceil(n * NUM / DEN) + 1).cast("int"))).alias("pos", "e"))
-    return keep(first.filter("e.n > 1").groupBy("h", "e.s").agg(F.first("n").alias("n"), F.min("pos").alias("pos")), "lists")
-
-
-def _wide_lists(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """The lists, with the roots of their lines, that hold several components."""
-    named = _rooted(lists.drop("root"), links)
-    wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    return keep(join_small(named, keep(wide, "wide"), ["s"], "left_semi"), "lists")
-
+def _listed(n: str) -> Column:
+    """How many rare shingles of a set of n have lists: those of which similar sets share one, and some more, of which they share enough."""
+    return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1 + F.floor(F.col(n) / MORE))
 
-def _may_link(root: str, n: str, pos: str, other_root: str, other_n: str, other_pos: str) -> Column:
-    """Whether sizes, and what is left from the first shingle in common on, leave room for the overlap that a link needs."""
-    room = F.least(F.col(n) - F.col(pos), F.col(other_n) - F.col(other_pos))
-    sizes = F.least(n, other_n) * DEN >= F.greatest(n, other_n) * NUM
-    return (F.col(root) != F.col(other_root)) & sizes & (room * (NUM + DEN) >= (F.col(n) + F.col(other_n)) * NUM)
 
-
-def _likeliest(lists: DataFrame, k: int) -> DataFrame:
-    """Pairs (a, b): each line with that one of its lists' hubs that it shares most lists with."""
-    hubs = keep(lists.groupBy("s").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "n", "pos", "root")).alias("hub")).select("s", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("h", "n", "pos", "root")]), "hubs")
-    met = join_small(lists, hubs, ["s"]).filter(_may_link("root", "n", "pos", "hub_root", "hub_n", "hub_pos")).groupBy("h", "hub_h").agg(F.count("*").alias("common"))
-    return met.groupBy("h").agg(F.max(F.struct("common", "hub_h")).alias("best")).select(*_pair("h", "best.hub_h")).distinct()
-
-
-def _all_pairs(lists: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different components that may be similar: all that are similar are among them."""
-    # the smaller set of a pair meets the other within its rarest ninth
-    p, q = lists.filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * 2 * NUM / (NUM + DEN))).alias("p"), lists.alias("q")
-    may = (F.struct("p.n", "p.h") < F.struct("q.n", "q.h")) & _may_link("p.root", "p.n", "p.pos", "q.root", "q.n", "q.pos")
-    return p.join(q, (F.col("p.s") == F.col("q.s")) & may).select(*_pair("p.h", "q.h")).distinct()
+def _rare_lists(names: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
+    """Lists (s, h, root, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the shingle's place in it; none of a single component."""
+    sets = keep(texts.join(names, "h").select("h", F.explode(shingles(F.col("line"))).alias("x")), "shingles")
+    often = sets.groupBy("x").agg(F.count("*").alias("often")).filter("often > 1")
+    sizes = sets.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = sets.join(often, "x").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("e")).join(sizes, "h")
+    # shingles that no other line has come first, as the rarest, so those that are left come after as many
+    alone = F.col("n") - F.size("e")
+    left = F.greatest(_listed("n") - alone, F.lit(0)).cast("int")
+    first = ranked.select("h", "n", alone.alias("alone"), F.posexplode(F.slice("e", F.lit(1), left)).alias("i", "e")).select("h", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("e.x").alias("s"))
+    lists = keep(_rooted(first, links), "lists")
+    wide = lists.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
+    return join_small(lists, keep(wide, "wide"), ["s"], "left_semi")
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
@@ -155,15 +146,9 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         new = _verified(star, texts)
         links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
         members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
-    lists = _rare_lists(keep(_apart(members, links).select("h").distinct(), "rest"), texts)
-    for k in range(BEST + 1):
-        lists = _wide_lists(lists, links)
-        if not lists.limit(1).count():
-            break
-        # each line's likeliest pair first, as each link makes others needless; in the end all that are left
-        pairs = keep((_likeliest(lists, k) if k < BEST else _all_pairs(lists)).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links, tried = links.unionByName(_verified(pairs, texts)), tried.unionByName(pairs)
-    return links
+    rest = keep(_apart(members, links).select("h").distinct(), "rest")
+    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links)), "places"), NUM, DEN, _listed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    return links.unionByName(_verified(pairs, texts))
 
 
 def _lines(docs: DataFrame, seed: int) -> DataFrame:

@@ -9,9 +9,10 @@ Lists are divided by one global order, so both sides of a pair skip the same lis
 input, by an estimate of their frequency, come last, others before them by hash. Only shingles before the division are
 shuffled (about a quarter), so frequent passages meet in no task. Any order gives the same result; the order only saves time.
 
-Links are wanted up to groups, so a list isn't expanded into its pairs: each member is paired with the list's first one, pairs
-that look alike are verified, and components contracted. Lists within one component are then done; on the others, all pairs of different
-components are counted, and those on enough common lists verified, so no link between components is lost. Documents with equal sets are one class throughout.
+Links are wanted up to groups, so a list isn't expanded into its pairs: each member is paired with the list's head, pairs that look
+alike are verified, components contracted, and lists within one component are done; so again, by other heads, for those that are left. On the lists that
+still hold several components, each pair of classes is made once, at the first list that both are on and only where that leaves room for the
+overlap, and verified; so no link between components is lost. Documents with equal sets are one class throughout.
 
 Defined results: a null or blank text has no shingle (n_shingles 0) and is linked with nothing; a text of fewer than five words has
 one shingle; null ids are carried through and never name a group that has another id; repeated rows are in one group; an empty
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_kept, keep, mix64, span_hashes
+from lexmill.llm.common import drop_kept, first_met_pairs, keep, mix64, places, span_hashes
 from lexmill.llm.components import connected_components
 
 WORDS = 5
@@ -37,13 +38,14 @@ HOT_MOST = 400_000
 NEEDED_MOST = 4_000_000
 CHUNK_BYTES = 1 << 20
 COUNT_MOST = 4_000_000
-LIST_BLOCK = 2048
 #: One more short list for so many shingles, so that one shared list isn't enough for a candidate.
 MORE = 20
 #: Share of the short lists that a pair has in common to be worth a look in the first round.
 ALIKE = 0.3
+#: Rounds in which each class tries the likeliest of its lists' heads.
+HEADS = 4
 #: Rounds in which each class tries its likeliest partner, before all that are left are tried.
-ROUNDS = 3
+ROUNDS = 2
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -231,57 +233,9 @@ def _may_link(n: str, pos: str, other_n: str, other_pos: str):
     return (bound * (NUM + DEN) >= (a + b) * NUM) & (F.least(a, b) * DEN >= F.greatest(a, b) * NUM)
 
 
-def _least_overlap(n: str):
-    """T of a set of n shingles."""
-    return F.ceil(F.col(n) * NUM / DEN)
-
-
 def _short(n: str):
     """How many short lists a set has."""
-    return F.least(F.col(n), F.col(n) - _least_overlap(n) + 1 + F.floor(F.col(n) / MORE))
-
-
-def _enough(common: str, a: str, b: str):
-    """Whether sets on so many common short lists can link. The set whose short lists end first in the global order meets there all
-    that they have in common with the other; beyond them it has T - m shingles at most."""
-    needed = F.ceil((F.col(a) + F.col(b)) * NUM / (NUM + DEN))
-    return F.col(common) >= F.least(*[needed - (F.col(n) - _short(n)) for n in (a, b)])
-
-
-def _pairs_across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components on one list (input sorted by list), in blocks."""
-    schema = pa.schema([(k, pa.int64()) for k in ("a", "b", "n_a", "n_b")])
-    names = ("s", "cid", "n", "pos", "root")
-
-    def pairs(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, cid, n, pos, root = rows
-        for i in range(0, len(cid), LIST_BLOCK):
-            for j in range(i, len(cid), LIST_BLOCK):
-                x, y = slice(i, i + LIST_BLOCK), slice(j, j + LIST_BLOCK)
-                a, b, p, q = n[x, None], n[None, y], pos[x, None], pos[None, y]
-                ok = (root[x, None] != root[None, y]) & (np.minimum(a, b) * DEN >= np.maximum(a, b) * NUM)
-                ok &= (np.minimum(p, q) + 1 + np.minimum(a - p - 1, b - q - 1)) * (NUM + DEN) >= (a + b) * NUM
-                if i == j:
-                    ok &= np.arange(ok.shape[0])[:, None] < np.arange(ok.shape[1])
-                u, v = np.nonzero(ok)
-                if len(u):
-                    (u, v), (m, k) = (cid[x][u], cid[y][v]), (n[x][u], n[y][v])
-                    first = u > v
-                    columns = (np.where(first, u, v), np.where(first, v, u), np.where(first, m, k), np.where(first, k, m))
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
-
-    held: np.ndarray | None = None
-    for batch in batches:
-        rows = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names])
-        held = rows if held is None else np.concatenate([held, rows], axis=1)
-        cuts = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
-        at = 0
-        for cut in cuts:
-            yield from pairs(held[:, at:cut])
-            at = cut
-        held = held[:, at:]
-    if held is not None:
-        yield from pairs(held)
+    return F.least(F.col(n), F.col(n) - F.ceil(F.col(n) * NUM / DEN) + 1 + F.floor(F.col(n) / MORE))
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,18 +297,41 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return keep(joined.mapInArrow(_linked, "a long, b long"), "links")
 
 
-def _best_pairs(candidates: DataFrame) -> DataFrame:
-    """For each class its candidate with most lists in common: a row for each class at most."""
-    pair = F.struct("common", "a", "b").alias("pair")
-    ends = candidates.select(F.col("a").alias("cid"), pair).unionByName(candidates.select(F.col("b").alias("cid"), pair))
+def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
+    """Postings (s, cid, n, pos, root) of lists that hold several components."""
+    roots = connected_components(links).select(F.col("node").alias("cid"), "root")
+    named = lists.select("s", "cid", "n", "pos").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
+    return keep(named.join(wide, "s", "left_semi"), "rest")
+
+
+def _likeliest(rest: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b): each class with that one of its lists' heads, by another order each round, that it shares most lists with."""
+    head = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("order"), "cid", "n", "pos", "root")).alias("hub")
+    heads = rest.groupBy("s").agg(head).select("s", *[F.col(f"hub.{c}").alias(f"hub_{c}") for c in ("cid", "n", "pos", "root")])
+    met = rest.join(heads, "s").filter((F.col("root") != F.col("hub_root")) & _may_link("n", "pos", "hub_n", "hub_pos")).groupBy("cid", "hub_cid").agg(F.count("*").alias("common"))
+    best = met.groupBy("cid").agg(F.max(F.struct("common", "hub_cid")).alias("best"))
+    return best.select(F.greatest("cid", "best.hub_cid").alias("a"), F.least("cid", "best.hub_cid").alias("b")).distinct()
+
+
+def _left_pairs(rest: DataFrame) -> DataFrame:
+    """Pairs (a, b, room) of classes of different components that may link: all that do are among them, and have enough short lists in common."""
+    # lists of one component aren't among them: no pair meets there
+    return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h")), "places"), NUM, DEN, _short)
+
+
+def _best_pairs(pairs: DataFrame) -> DataFrame:
+    """For each class its pair with most room for an overlap: a row for each class at most."""
+    pair = F.struct("room", "a", "b").alias("pair")
+    ends = pairs.select(F.col("a").alias("cid"), pair).unionByName(pairs.select(F.col("b").alias("cid"), pair))
     return ends.groupBy("cid").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
 
 
-def _apart(candidates: DataFrame, roots: DataFrame) -> DataFrame:
-    """Candidates whose ends are in different components."""
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
     x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
-    joined = candidates.join(x, "a", "left").join(y, "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "common")
+    joined = pairs.join(x, "a", "left").join(y, "b", "left")
+    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "room")
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -376,25 +353,29 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     drop_kept(index)
     starred = lists.filter((F.col("cid") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos")).groupBy("cid", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
     alike = starred.filter(F.col("common") >= ALIKE * F.least(_short("n"), _short("hub_n")))
-    first = keep(alike.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct(), "pairs")
-    links = _verify(first, _needed_sets(rows, first, words, seed))
-    roots = connected_components(links)
-    named = lists.join(roots.select(F.col("node").alias("cid"), "root"), "cid", "left").select("s", "cid", "n", "pos", F.coalesce("root", "cid").alias("root"))
-    wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    rest = named.join(wide, "s", "left_semi").repartition(parts, "s").sortWithinPartitions("s", "cid")
-    met = rest.mapInArrow(_pairs_across, "a long, b long, n_a long, n_b long").groupBy("a", "b").agg(F.count("*").alias("common"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
-    across = keep(met.filter(_enough("common", "n_a", "n_b")).select("a", "b", "common").join(first, ["a", "b"], "left_anti"), "pairs")
+    tried = keep(alike.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct(), "pairs")
+    links = _verify(tried, _needed_sets(rows, tried, words, seed))
+    rest = _rooted(lists, links)
     drop_kept(lists)
-    sets = _needed_sets(rows, across, words, seed) if across.limit(1).count() else None
+    # the sets of all classes that are still in wide lists: one pass over the documents, however often they are probed
+    sets = keep(_sets(rows, rest.select("cid").distinct(), words, seed), "sets") if rest.limit(1).count() else None
+    for k in range(1, HEADS):
+        if not rest.limit(1).count():
+            break
+        pairs = keep(_likeliest(rest, k).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = links.unionByName(_verify(pairs, sets)), tried.unionByName(pairs)
+        rest = _rooted(rest, links)
+    across = keep(_left_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    roots = connected_components(links)
     for k in range(ROUNDS + 1):
         if not across.limit(1).count():
             break
         # the likeliest pairs first, as each link makes others needless; in the end all that are left
-        tried = keep(_best_pairs(across), "tried") if k < ROUNDS else across.select("a", "b")
-        links = links.unionByName(_verify(tried, sets))
+        now = keep(_best_pairs(across), "tried") if k < ROUNDS else across.select("a", "b")
+        links = links.unionByName(_verify(now, sets))
         roots = connected_components(links)
         if k < ROUNDS:
-            across = keep(_apart(across.join(tried, ["a", "b"], "left_anti"), roots), "pairs")
+            across = keep(_apart(across.join(now, ["a", "b"], "left_anti"), roots), "pairs")
     least = ids.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
     named = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     groups = keep(named.select("cid", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cid", "component_id"), "groups")

@@ -7,6 +7,8 @@
 3. Per-task counts become offsets, so every piece has a rank among those of its length, without one task ever holding a length;
    patterns own intervals of ranks, so that the join from pieces back to patterns is a binary search.
 
+Batches are cut by the size of their texts and the cache of words is bounded, so that a worker's memory doesn't follow the input.
+
 A sequence whose ids come to a power of two needs no padding; any other is padded to ``limit``.
 
 Defined results: a null text counts as empty and is one piece with the end id; repeated rows are packed each by itself; null ids
@@ -27,18 +29,23 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import keep
+from lexmill.llm.common import keep, sliced
 
 LIMIT = 4096
 END_ID = 2
-CACHE_WORDS = 1_000_000
+#: Bounds of what a Python worker holds: words in the cache and characters of each, characters of text split at a time.
+CACHE_WORDS = 150_000
+CACHE_WORD = 64
+SLICE_CHARS = 1 << 20
 
 _LATIN = [chr(c) for c in range(0x250)]
 _LETTERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "L")
 _NUMBERS = "".join(re.escape(c) for c in _LATIN if unicodedata.category(c)[0] == "N")
+_CHUNK = re.compile(r"\S+")
 _WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
-#: Texts with other characters, or with what may be a special token, go to the tokenizer as they are.
-_PLAIN = re.compile("[\t-\r -~ -įı-ɏ]*")
+#: Texts with other characters, or with what may be a special token, go to the tokenizer as they are; so do letters whose lower case is none of these.
+_BASE = {*range(9, 14), *range(32, 127), *range(160, 0x130), *range(0x131, 0x250)}
+_PLAIN = re.compile("[" + "".join(re.escape(chr(c)) for c in sorted(_BASE) if {ord(x) for x in chr(c).lower()} <= _BASE) + "]*")
 
 #: The vocabulary spells bytes as letters: printable Latin-1 as itself, the others by the letters from U+0100 on.
 _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -70,15 +77,25 @@ class WordTokenizer:
             ids += [t.id for t in self.model.tokenize(spelt)]
         return np.array(ids, dtype="<u4").tobytes()
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
+    def ids_of(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. White space always parts words, so what stands between is looked up as a whole."""
-        cache = self.cache
-        if len(cache) > self.cache_words:
-            cache.clear()
-        parts = [t.lower().split() if "<|" not in t and _PLAIN.fullmatch(t) else None for t in texts]
-        for c in {c for p in parts if p for c in p if c not in cache}:
-            cache[c] = self._chunk(c)
-        return [self._whole(t) if p is None else b"".join(map(cache.__getitem__, p)) for t, p in zip(texts, parts)]
+        for text in texts:
+            if "<|" in text or not _PLAIN.fullmatch(text):
+                yield self._whole(text)
+            elif len(text) <= SLICE_CHARS:
+                yield b"".join(map(self._cached, text.lower().split()))
+            else:
+                yield b"".join(map(self._cached, (m[0] for m in _CHUNK.finditer(text.lower()))))
+
+    def _cached(self, chunk: str) -> bytes:
+        found = self.cache.get(chunk)
+        if found is None:
+            found = self._chunk(chunk)
+            if len(chunk) <= CACHE_WORD:
+                if len(self.cache) >= self.cache_words:
+                    self.cache.clear()
+                self.cache[chunk] = found
+        return found
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -96,7 +113,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col:
         task = TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
         end = END_ID.to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, "text", SLICE_CHARS)):
             out: dict[str, list] = {k: [] for k in schema.names}
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for i, found in zip(batch.column("id").to_pylist(), tok.ids_of(texts)):
@@ -199,7 +216,7 @@ class Placement:
 
 
 def pack(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_length, and on demand the ids."""
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on demand the ids."""
     pieces = keep(cut_pieces(docs, tokenizer_path, limit, id_col, text_col, with_ids), "pieces")
     counts = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
