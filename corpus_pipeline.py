@@ -34,16 +34,18 @@ def _stage(fn: Stage) -> Stage:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
-    scored = toxicity.score_toxicity(docs, model, carry=docs.columns)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    # a row goes along as one column, so that none of its names can clash with the score's
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity.score_toxicity(rows, model, carry=["row"]).filter("predicted = 0").select("row.*")
 
 
 @_stage
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat, nearly or exactly, an earlier one go; so do documents of which no line is left."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    cleaned = line_dedup.fuzzy_line_dedup(docs, carry=others)
-    return cleaned.filter("n_dropped = 0 OR trim(text) != ''").withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(F.lit(0), *others).alias("row"))
+    cleaned = line_dedup.fuzzy_line_dedup(rows, carry=["row"]).filter("n_dropped = 0 OR trim(text) != ''").withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(*[F.col(f"row.`{c}`") if c in others else F.col(c) for c in docs.columns])
 
 
 @_stage
@@ -63,8 +65,11 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @_stage
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = decontaminate.find_contaminated(docs, table(spark, sf_dir, "benchmark"))
-    return join_small(docs, keep(found.select("doc_id").distinct(), "found"), "doc_id", "left_anti")
+    benchmark = table(spark, sf_dir, "benchmark")
+    # rows without an id are judged as well, by what they say
+    named = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256))))
+    found = decontaminate.find_contaminated(named, benchmark, id_col="__key")
+    return join_small(named, keep(found.select("__key").distinct(), "found"), "__key", "left_anti").drop("__key")
 
 
 @_stage
