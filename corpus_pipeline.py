@@ -35,8 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.train_toxicity(docs, table(spark, sf_dir, "labels"))
     # a row goes along as one column, so that none of its names can clash with the score's
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return toxicity.score_toxicity(rows, model, carry=["row"]).filter("predicted = 0").select("row.*")
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"))
+    kept = toxicity.score_toxicity(rows, model, carry=["row"]).filter("predicted = 0")
+    return kept.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 @_stage
