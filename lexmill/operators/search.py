@@ -94,6 +94,12 @@ def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "idf", "vectors")}
 
 
+def touched(posts: DataFrame, query_posts: DataFrame) -> DataFrame:
+    """Postings of the queries' buckets: few buckets go to the scan as a list, more go through the join that follows."""
+    own = [r["bucket"] for r in query_posts.select("bucket").distinct().limit(PUSHED + 1).collect()]
+    return posts.filter(F.col("bucket").isin(own)) if len(own) <= PUSHED else posts
+
+
 def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mode: str = "hybrid", prefetch: int | None = None, gated: bool = True, **equal: str | None) -> DataFrame:
     """Results of queries (query_id, query): chunks that fit the equalities, retrieved, re-ranked and gated; position from 1.
 
@@ -107,8 +113,7 @@ def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mod
     found = {}
     q_posts = retrieval.postings(queries, "query_id", "query")
     if mode != "dense":
-        own = [r["bucket"] for r in q_posts.select("bucket").distinct().limit(PUSHED + 1).collect()]
-        posts = index["postings"].filter(F.col("bucket").isin(own)) if len(own) <= PUSHED else index["postings"]
+        posts = touched(index["postings"], q_posts)
         posts = posts.join(within, "chunk_id", "left_semi") if within is not None else posts
         found["sparse"] = retrieval.top_k(retrieval.sparse_scores_of(q_posts, posts, index["idf"]), n)
     if mode != "sparse":

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import patterns as P
 from lexmill.functions import text as X
-from lexmill.operators import evidence, lines, retrieval
+from lexmill.operators import evidence, lines, retrieval, search
 from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import IDF_SQL, POSTINGS_SQL, TITLES_SQL, documents, table
 from lexmill.plans.registry import query
+from lexmill.session import shared_path
 
 K = 10
 
@@ -24,17 +27,29 @@ def search_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(lines.titles(docs), "doc_id").select(F.col("doc_id").alias("chunk_id"), "doc_id", "text", "title", F.col("lang").alias("section"), F.col("source").alias("journal_id"))
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The index of documents as chunks: built at the first use in an application, and read by all queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        path = shared_path(spark, f"index-{uuid.uuid4().hex}")
+        search.write_index(search_chunks(spark, sf_dir).withColumn("chunk_index", F.lit(0)).withColumn("char_len", F.length("text")), path)
+        _indexes[key] = path
+    return search.read_index(spark, _indexes[key])
+
+
 def sparse(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
-    every = documents(spark, sf_dir)
-    posts = retrieval.postings(every, "doc_id")
-    idf = retrieval.document_frequency(posts, every.count())
-    own = posts if docs is None else retrieval.postings(docs, "doc_id")
-    return retrieval.sparse_scores(search_queries(spark, sf_dir), own, idf, "doc_id")
+    index = index_of(spark, sf_dir)
+    posts = index["postings"] if docs is None else index["postings"].join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
+    q = retrieval.postings(search_queries(spark, sf_dir), "query_id", "query")
+    return retrieval.sparse_scores_of(q, search.touched(posts, q), index["idf"]).withColumnRenamed("chunk_id", "doc_id")
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 3 * K) -> DataFrame:
     top = retrieval.top_k(sparse(spark, sf_dir), k, "doc_id")
-    rows = top.join(search_chunks(spark, sf_dir), "doc_id").join(F.broadcast(search_queries(spark, sf_dir)), "query_id")
+    rows = retrieval.small(top).join(index_of(spark, sf_dir)["chunks"], "doc_id").join(retrieval.small(search_queries(spark, sf_dir)), "query_id")
     return rows.select("query_id", "query", "chunk_id", "doc_id", "title", "section", "journal_id", "text", F.col("score").alias("raw_score"), "rank")
 
 
@@ -107,9 +122,8 @@ RRF_SQL = f"""SELECT query_id, doc_id, round(sum(1.0 / ({P.RRF_K} + rank)), 8) A
 
 @query("hybrid_rrf", _top_sql(RRF_SQL, K))
 def hybrid_rrf(spark, sf_dir):
-    docs = documents(spark, sf_dir)
     queries = retrieval.hashed_vectors(search_queries(spark, sf_dir), "query_id", "query")
-    hashed = retrieval.dense_top_k(queries, retrieval.hashed_vectors(docs, "doc_id"), 3 * K, "doc_id")
+    hashed = retrieval.dense_top_k(queries, index_of(spark, sf_dir)["vectors"].withColumnRenamed("chunk_id", "doc_id"), 3 * K, "doc_id")
     lists = {"sparse": retrieval.top_k(sparse(spark, sf_dir), 3 * K, "doc_id"), "dense": hashed}
     return retrieval.fuse(lists, K, "doc_id")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,24 +11,10 @@ from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import CLASSED_SQL, TITLES_SQL, documents, table
 from lexmill.plans.registry import query
 from lexmill.plans.talk_queries import messages
-from lexmill.session import shared_path
 from lexmill.sources import articles, lifecycle
 from lexmill.streaming import limiter
 
-_indexes: dict[tuple[str, str], str] = {}
-
-
-def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The index of documents as chunks, built at the first use in an application and read by all later queries."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        path = shared_path(spark, f"index-{uuid.uuid4().hex}")
-        chunks = Q.search_chunks(spark, sf_dir).withColumn("chunk_index", F.lit(0)).withColumn("char_len", F.length("text"))
-        search.write_index(chunks, path)
-        _indexes[key] = path
-    return search.read_index(spark, _indexes[key])
-
-
+index_of = Q.index_of
 _COLUMNS = ["query_id", "doc_id", "position", "score", "lexical_score"]
 
 
