@@ -9,7 +9,8 @@ The trees learn on the driver from at most ``sample`` pages of which the article
 made from a rule (``made_pages``) that have what the sample may lack: sidebars, notices, forms, comments. Extraction is one narrow
 pass in Arrow batches over whole pages.
 
-Defined results: a null or empty html gives an empty text; unclosed and stray tags are repaired; scripts, styles, templates and the
+Defined results: a null or empty html gives an empty text; unclosed and stray tags are repaired, a head without an end tag too; elements more than DEEPEST deep are
+taken for siblings at that depth, with all their text; very long pages are read whole; scripts, styles, templates and the
 head have no text; repeated rows give equal texts; null ids and urls are carried through; an empty table gives an empty result; other
 columns are ignored.
 """
@@ -27,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import first_by_hash
 from lexmill.llm.gbt import BoostedTrees
 
 SAMPLE = 400
@@ -40,6 +42,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 SCOPES = frozenset("html body table ul ol dl div article section main aside nav header footer form td th li blockquote".split())
+IN_HEAD = frozenset("base link meta noscript script style template title".split())
 GROUPS = ["nav", "header", "footer", "aside", "article", "main", "section", "div", "p", "ul", "ol", "li", "form", "table", "blockquote"]
 
 _TOKEN = re.compile(r"[a-z]+")
@@ -77,7 +80,14 @@ class Page(HTMLParser):
         except AssertionError:
             return self.parse_bogus_comment(i)
 
+    def _leave_head(self) -> None:
+        """What can't stand in the head ends it, as its end tag may be left out."""
+        if self.tag[self.open[-1]] == "head":
+            self._pop(len(self.open) - 1)
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in IN_HEAD:
+            self._leave_head()
         if tag in INLINE:
             if tag == "a":
                 self.linked = any(name == "href" for name, _ in attrs)
@@ -127,6 +137,8 @@ class Page(HTMLParser):
         del self.open[k:]
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._leave_head()
         if not self.silent:
             self.pieces.append((self.open[-1], data, self.edge, self.linked))
             self.edge = False
@@ -305,9 +317,12 @@ def sample_articles(pages: DataFrame, docs: DataFrame, sample: int = SAMPLE) ->
     """At most ``sample`` (html, article) pairs: pages whose url ends in the id of a document that holds their article."""
     key = F.regexp_extract("url", r"://[^/?#]*/[a-z]*/?(\d+)", 1)
     # the sample has a size bound, so it is broadcast
-    picked = pages.filter("html IS NOT NULL AND url IS NOT NULL").select(key.alias("key"), "url", "html").filter("key != ''").orderBy(F.xxhash64("url"), "url").limit(sample)
+    picked = pages.filter("html IS NOT NULL AND url IS NOT NULL").select(key.alias("key"), "url", "html").filter("key != ''")
+    picked = first_by_hash(picked, "url", sample)
     found = docs.filter("text IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), "text").join(F.broadcast(picked), "key")
-    rows = sorted((r["url"], r["html"], r["text"]) for r in found.collect())
+    # ids may repeat: one document a page, so that no more rows than pages go to the driver
+    one = found.groupBy("url").agg(F.min(F.struct("html", "text")).alias("x")).select("url", "x.html", "x.text")
+    rows = sorted((r["url"], r["html"], r["text"]) for r in one.collect())
     return [(h, t) for _, h, t in rows]
 
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, toxicity, url_filter, warc
 from lexmill.llm.common import table
 
@@ -101,7 +100,8 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_warc": op1_warc, "op9_exact_dedup": op9_exact_dedup, "op10_url_filter": op10_url_filter, "op8_packing": op8_packing, "op6_toxicity": op6_toxicity, "op4_ngram_join": op4_ngram_join, "op3_line_dedup": op3_line_dedup, "op7_decontamination": op7_decontamination, "op2_html_text": op2_html_text, "op5_license_scan": op5_license_scan, "pipeline": corpus_pipeline.run}
+    made = [op1_warc, op2_html_text, op3_line_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_decontamination, op8_packing, op9_exact_dedup, op10_url_filter]
+    return {fn.__name__: fn for fn in made}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import first_by_hash
 from lexmill.llm.gbt import BoostedTrees
 
 # Words that mark a labelled host as unwanted.
@@ -110,7 +111,7 @@ class UrlModel:
 def train_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "label", sample: int = SAMPLE) -> UrlModel:
     """Fit on at most ``sample`` labelled urls, those with the smallest hashes."""
     picked = labelled.filter(F.col(label_col).isNotNull()).select(F.col(url_col).alias("u"), F.col(label_col).alias("y"))
-    rows = picked.orderBy(F.xxhash64("u"), "u").limit(sample).toPandas()
+    rows = first_by_hash(picked, "u", sample).toPandas()
     return UrlModel().fit([u if isinstance(u, str) else None for u in rows["u"]], [int(v) for v in rows["y"]])
 
 
