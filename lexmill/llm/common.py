@@ -84,11 +84,15 @@ BEFORE = 64
 BITS = 8
 
 
-def places(lists: DataFrame) -> DataFrame:
-    """From lists (s, h, root, n, pos): adds before (the elements of h at earlier places, where they are few), w (elements of h on the lists) and bits (a bitmap of them)."""
+def places(lists: DataFrame, more: int) -> DataFrame:
+    """From lists (s, h, root, n, pos): adds before (the elements of h at earlier places, where they are few), w (elements of h on the lists) and bits (a bitmap of them).
+
+    Sets that are on too few of the lists to be similar to any, one and one more for ``more`` elements, are left out.
+    """
     word = F.pmod(F.col("s"), F.lit(BITS))
     bits = [F.bit_or(F.when(word == k, F.expr("shiftleft(1L, cast(pmod(shiftright(s, 8), 64) as int))")).otherwise(F.lit(0).cast("long"))).alias(f"b{k}") for k in range(BITS)]
     own = lists.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("pos", "s"))).alias("e"), F.first("n").alias("n"), F.first("root").alias("root"), F.count("*").alias("w"), *bits)
+    own = own.filter(F.col("w") >= 1 + F.floor(F.col("n") / more))
     each = own.select("h", "n", "root", "w", F.array(*[f"b{k}" for k in range(BITS)]).alias("bits"), F.transform(F.slice("e", 1, BEFORE), lambda x: x["s"]).alias("xs"), F.posexplode("e").alias("i", "x"))
     before = F.when(F.col("i") <= BEFORE, F.slice("xs", F.lit(1), F.col("i"))).otherwise(F.array().cast("array<bigint>"))
     return each.select("h", "n", "root", "w", "bits", "x.s", "x.pos", before.alias("before"))

@@ -147,7 +147,7 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
         members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
     rest = keep(_apart(members, links).select("h").distinct(), "rest")
-    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links)), "places"), NUM, DEN, _listed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
+    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links), MORE), "places"), NUM, DEN, _listed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
     return links.unionByName(_verified(pairs, texts))
 
 

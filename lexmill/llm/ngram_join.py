@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_kept, first_met_pairs, keep, mix64, places, span_hashes
+from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, span_hashes
 from lexmill.llm.components import connected_components
 
 WORDS = 5
@@ -298,11 +298,13 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
-    """Postings (s, cid, n, pos, root) of lists that hold several components."""
+    """Postings (s, cid, n, pos, root) of lists that hold several components, of classes that are on enough of them to link at all (m of T-occurrence)."""
     roots = connected_components(links).select(F.col("node").alias("cid"), "root")
     named = lists.select("s", "cid", "n", "pos").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
-    return keep(named.join(wide, "s", "left_semi"), "rest")
+    some = named.join(wide, "s", "left_semi")
+    enough = some.groupBy("cid").agg(F.count("*").alias("w"), F.first("n").alias("n")).filter(F.col("w") >= 1 + F.floor(F.col("n") / MORE)).select("cid")
+    return keep(join_small(some, keep(enough, "enough"), ["cid"], "left_semi"), "rest")
 
 
 def _likeliest(rest: DataFrame, k: int) -> DataFrame:
@@ -317,7 +319,7 @@ def _likeliest(rest: DataFrame, k: int) -> DataFrame:
 def _left_pairs(rest: DataFrame) -> DataFrame:
     """Pairs (a, b, room) of classes of different components that may link: all that do are among them, and have enough short lists in common."""
     # lists of one component aren't among them: no pair meets there
-    return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h")), "places"), NUM, DEN, _short)
+    return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h"), MORE), "places"), NUM, DEN, _short)
 
 
 def _best_pairs(pairs: DataFrame) -> DataFrame:
@@ -364,7 +366,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             break
         pairs = keep(_likeliest(rest, k).join(tried, ["a", "b"], "left_anti"), "pairs")
         links, tried = links.unionByName(_verify(pairs, sets)), tried.unionByName(pairs)
-        rest = _rooted(rest, links)
+        before, rest = rest, _rooted(rest, links)
+        drop_kept(before)
     across = keep(_left_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
     roots = connected_components(links)
     for k in range(ROUNDS + 1):
