@@ -66,6 +66,17 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_url_filter says that SQL can say as well: host, path and rule."""
+    return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
+
+
+URL_RULES_SQL = r"""
+WITH r AS (SELECT *, split_part(rule, '/', 1) AS rh, substr(rule, strpos(rule, '/')) AS rp FROM (VALUES ('com/en/'), ('example.com/en/7'), ('net/de/'), ('example.net/de/8'), ('org/es/')) v(rule)),
+     p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages)
+SELECT page_id, host, path, (SELECT arg_max(rule, length(rule)) FROM r WHERE (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(p.path, rp)) AS rule FROM p
+"""
+
 OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
      d AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, h FROM p),
@@ -100,9 +111,9 @@ FROM d JOIN g ON d.t = g.t
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_warc, op2_html_text, op3_line_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_decontamination, op8_packing, op9_exact_dedup, op10_url_filter]
+    made = [op1_warc, op2_html_text, op3_line_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_decontamination, op8_packing, op9_exact_dedup, op10_url_filter, url_rules]
     return {fn.__name__: fn for fn in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_ngram_join": OP4_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op4_ngram_join": OP4_SQL, "op9_exact_dedup": OP9_SQL, "url_rules": URL_RULES_SQL}
