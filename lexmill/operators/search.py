@@ -6,6 +6,10 @@ An index is a folder of tables: ``chunks`` (by journal), ``postings`` (sorted by
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -149,6 +153,32 @@ def heads(queries: DataFrame, results: DataFrame) -> DataFrame:
     return rows.select("query_id", F.coalesce("total", F.lit(0)).cast("long").alias("total"), "low_confidence", F.when(F.col("low_confidence"), F.lit(WARNING)).alias("warning"), F.coalesce(F.transform("s", lambda x: x["suggestion"]), none).alias("suggestions"))
 
 
+def with_hypotheses(queries: DataFrame, written: DataFrame, one_document: bool = False) -> DataFrame:
+    """Queries with the paragraph that a model wrote for them (query_id, hypothesis) in their place, for retrieval and re-ranking alike; as they are without
+    one, and in a search within one document."""
+    if one_document:
+        return queries
+    rows = queries.join(written.select("query_id", "hypothesis"), "query_id", "left")
+    return rows.withColumn("query", F.coalesce(F.nullif(F.trim("hypothesis"), F.lit("")), F.col("query"))).select(*queries.columns)
+
+
+def scroll(index: dict[str, DataFrame], n: int, **equal: str | None) -> DataFrame:
+    """The first n chunks by id that fit the equalities, without vectors or scores: a page of the table."""
+    return retrieval.metadata_filter(index["chunks"], **equal).orderBy("chunk_id").limit(n)
+
+
+def stored_result(spark: SparkSession, folder: str, request: dict, make: Callable[[], DataFrame]) -> DataFrame:
+    """The result of a request, kept in the folder under a hash of the request: made at the first call, read by later ones."""
+    path = f"{folder}/{hashlib.md5(json.dumps(request, sort_keys=True, ensure_ascii=False).encode()).hexdigest()}"
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+    make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def passages(index: dict[str, DataFrame], queries: DataFrame, doc_id, top_k: int = 5, mode: str = "hybrid") -> DataFrame:
     """Results within one document, whole texts, several of it."""
     own = dict(index, chunks=index["chunks"].filter(F.col("doc_id") == F.lit(doc_id)))

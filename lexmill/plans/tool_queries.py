@@ -74,6 +74,19 @@ def search_preview(spark, sf_dir):
     return search.search_articles(index_of(spark, sf_dir), queries, 5, "sparse")[0].filter("position <= 5").select(*_COLUMNS)
 
 
+@query("hyde_queries", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'a paragraph for ' || item_id ELSE text END AS query FROM benchmark")
+def hyde_queries(spark, sf_dir):
+    queries = Q.search_queries(spark, sf_dir)
+    written = queries.select("query_id", F.when(F.col("query_id") % 2 == 0, F.concat(F.lit(" a paragraph for "), F.col("query_id").cast("string"))).otherwise(" ").alias("hypothesis"))
+    return search.with_hypotheses(queries, written)
+
+
+@query("index_scroll", "SELECT doc_id AS chunk_id, source AS journal_id FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 20")
+def index_scroll(spark, sf_dir):
+    """A page of the table: the first 20 of a journal."""
+    return search.scroll(index_of(spark, sf_dir), 20, journal_id="src1").select("chunk_id", "journal_id")
+
+
 @query("passage_search", f"SELECT query_id, d.doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d.doc_id) AS position FROM ({Q.SPARSE_SQL}) s JOIN documents d USING (doc_id) WHERE d.doc_id = 7")
 def passage_search(spark, sf_dir):
     found = search.passages(index_of(spark, sf_dir), Q.search_queries(spark, sf_dir), 7, 5, "sparse")

@@ -308,6 +308,15 @@ def test_index_is_searched_in_every_mode(spark, tmp_path):
         assert (told[2]["total"] == 0) == (mode == "sparse")  # the nearest vectors are results, though doubtful ones
     assert {r["journal_id"] for r in search.search(index, queries, 5, "sparse", journal_id="j2").collect()} <= {"j2"}
     assert {r["doc_id"] for r in search.passages(index, queries, "d2").collect()} == {"d2"}
+    written = spark.createDataFrame([(2, "word7 topic1"), (1, " ")], "query_id int, hypothesis string")
+    assert {r["query_id"]: r["query"] for r in search.with_hypotheses(queries, written).collect()} == {1: "word5 topic2", 2: "word7 topic1"}
+    assert search.with_hypotheses(queries, written, True) is queries
+    assert [r["chunk_id"] for r in search.scroll(index, 2, journal_id="j2").collect()] == ["c10", "c11"]
+    made = []
+    for _ in range(2):
+        kept = search.stored_result(spark, str(tmp_path / "kept"), {"q": "x", "k": 3}, lambda: made.append(1) or queries)
+        assert kept.count() == 2
+    assert made == [1]
     with pytest.raises(ValueError):
         search.write_index(chunks, str(tmp_path / "i"), dimensions=32)
     for bad in (("", "hybrid"), ("x" * 2001, "hybrid"), ("x", "other")):
