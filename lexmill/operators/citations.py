@@ -171,10 +171,11 @@ def align_substring(pairs: DataFrame) -> DataFrame:
 
 def align_cluster(pairs: DataFrame) -> DataFrame:
     """The densest stretch of a phrase's key words (four letters and more, three of them, repeats counted) in its document: 60 % of them within 1.5 lengths."""
-    rows = _pair_hits(pairs).withColumn("keys", F.filter("t", lambda w: F.length(w) >= 4)).filter("size(keys) >= 3")
-    at = F.filter(F.transform("w", lambda w, i: F.when(F.array_contains("keys", w), i)), lambda i: i.isNotNull())
-    hits = rows.select("phrase_id", "doc_id", F.size("keys").alias("n_keys"), F.ceil(F.size("t") * 1.5).alias("width"), at.alias("at")).filter("size(at) >= 3")
-    hits = hits.select("phrase_id", "doc_id", "n_keys", "width", F.explode("at").alias("pos")).withColumn("x", F.col("pos") / F.col("width"))
+    rows = _pair_hits(pairs)
+    keys = rows.select("phrase_id", "doc_id", F.filter("t", lambda w: F.length(w) >= 4).alias("keys"), F.size("t").alias("n")).filter("size(keys) >= 3")
+    keys = keys.select("phrase_id", "doc_id", F.size("keys").alias("n_keys"), F.ceil(F.col("n") * 1.5).alias("width"), F.explode(F.array_distinct("keys")).alias("word"))
+    hits = rows.select("phrase_id", "doc_id", F.posexplode("w").alias("pos", "word")).join(keys, ["phrase_id", "doc_id", "word"])
+    hits = hits.withColumn("total", F.count("*").over(Window.partitionBy("phrase_id", "doc_id"))).filter("total >= 3").withColumn("x", F.col("pos") / F.col("width"))
     # places are scaled by the phrase's width, so that one range frame of just under 1 serves all phrases
     frame = "OVER (PARTITION BY phrase_id, doc_id ORDER BY x RANGE BETWEEN CURRENT ROW AND 0.9999999D FOLLOWING)"
     rows = hits.withColumn("n_hits", F.expr(f"count(*) {frame}")).withColumn("last", F.expr(f"max(pos) {frame}"))
