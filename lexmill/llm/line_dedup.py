@@ -1,10 +1,11 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 A line (trimmed, lower-cased) is the set of its character shingles: ``SHINGLE`` characters from each character on, the whole line where
-it is shorter. Its signature is made where lines are read, in one aggregate over exploded shingles: each of ROWS * BANDS values is the
+it is shorter. Its signature is made where lines are read, in one aggregate over exploded shingles: each of VALUES values is the
 least shingle hash after a mask has been xored in, which picks the shingle nearest to a point of the hash space; lines of at most FEW
-shingles, for which such picks depend on each other, have a second signature of as many hash functions. BANDS bands of ROWS rows
-find a pair at 0.8 with probability 0.986. Candidates are verified by exact Jaccard similarity (>= 0.8) of the whole sets, links are
+shingles, for which such picks depend on each other, have a second signature of as many hash functions. The twelve bands of three
+values are the lines of a plane of three by three points, so any two values are together in one band: they find a pair at 0.8 with
+probability 0.990. Candidates are verified by exact Jaccard similarity (>= 0.8) of the whole sets, links are
 closed to components by distributed union-find, and the first line (least id, then line number) of each component stays. Equal
 lines are one from the start, whatever their number.
 
@@ -32,7 +33,9 @@ from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_
 from lexmill.llm.components import connected_components
 
 SHINGLE = 10
-ROWS, BANDS = 3, 6
+VALUES = 9
+#: Bands: y = a x + b, and x = c, over the integers modulo 3; value 3 x + y is at the point (x, y).
+BANDS = [[3 * x + (a * x + b) % 3 for x in range(3)] for a in range(3) for b in range(3)] + [[3 * c + y for y in range(3)] for c in range(3)]
 FEW = 64
 NUM, DEN = 4, 5
 STARS = 4
@@ -69,11 +72,10 @@ def _signatures(lines: DataFrame) -> DataFrame:
     few = F.length("points") <= 4 * (FEW + SHINGLE - 1)
     kinds = points.select("h", "points", F.explode(F.when(few, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("kind"))
     each = kinds.select("h", "kind", "points", F.explode(_starts(F.col("points"))).alias("at")).select("h", "kind", "at", _hash_at(F.col("points"), F.col("at")).alias("x"))
-    size = ROWS * BANDS
-    masks = [-(1 << 63) + k * ((1 << 64) // size) for k in range(size)]
+    masks = [-(1 << 63) + k * ((1 << 64) // VALUES) for k in range(VALUES)]
     values = [F.min(F.when(F.col("kind") == 0, F.col("x").bitwiseXOR(F.lit(m))).otherwise(F.xxhash64("x", F.lit(m)))).alias(f"v{k}") for k, m in enumerate(masks)]
     found = each.groupBy("h", "kind").agg(F.count(F.when(F.col("at") == 1, 1)).alias("n"), *values)
-    bands = [F.xxhash64(F.col("kind"), F.lit(b), *[F.col(f"v{b + BANDS * r}") for r in range(ROWS)]) for b in range(BANDS)]
+    bands = [F.xxhash64(F.col("kind"), F.lit(b), *[F.col(f"v{k}") for k in of]) for b, of in enumerate(BANDS)]
     return found.select("h", "kind", "n", F.array(*bands).alias("bands"))
 
 
