@@ -37,7 +37,7 @@ NUM, DEN = 4, 5
 HOT_MOST = 400_000
 NEEDED_MOST = 4_000_000
 CHUNK_BYTES = 1 << 20
-COUNT_MOST = 4_000_000
+COUNT_MOST = 1_000_000
 #: One more short list for so many shingles, so that one shared list isn't enough for a candidate.
 MORE = 20
 #: Share of the short lists that a pair has in common to be worth a look in the first round.

@@ -31,13 +31,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.common import sliced
+
 PER_CLASS = 2000
 DECAY = 0.6
 SPAN = 7
 LONGEST = 24
 STEP = 16
 LANDMARKS = 200
-CACHE_CHUNKS = 1_000_000
+#: What a Python worker holds: chunks in its cache, bytes of text at a time.
+CACHE_CHUNKS = 200_000
+SLICE_BYTES = 1 << 22
 FOLDS, HELD_OUT = 5, 0
 
 _KNOWN = string.ascii_lowercase + "äöüßéèêëàâçñíóúáîïôûœæ"
@@ -271,7 +275,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache: dict[str, float] = {}
-        for batch in batches:
+        for batch in (b for whole in batches for b in sliced(whole, "__text", SLICE_BYTES)):
             texts = batch.column("__text").to_pylist()
             top = np.full(len(texts), m.floor)
             for lo in range(0, len(texts), 512):
