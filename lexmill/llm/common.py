@@ -73,9 +73,9 @@ def remove_all(paths: list[tuple[SparkSession, str]]) -> None:
         remove(*entry)
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """A join that broadcasts the right side only if it has few rows, and is left to Spark beyond that."""
-    return left.join(broadcast(right) if right.count() <= BROADCAST_ROWS else right, on, how)
+    return left.join(broadcast(right) if right.count() <= most else right, on, how)
 
 
 #: Earlier elements that a place carries; where there are more, a pair may be made at several places, and is made distinct.

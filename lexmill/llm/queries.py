@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, toxicity, url_filter, warc
+from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, merkle, ngram_join, packing, secret_scan, toxicity, url_filter, vector_codes, warc
 from lexmill.llm.common import table
 
 # The rules of op10.
@@ -66,6 +68,36 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+
+    def leaf(text: Column) -> Column:
+        return merkle.row_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+
+    lower = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, leaf(lower))
+    proofs = merkle.manifest(docs, "doc_id", "source", leaf(F.col("text")), {"tampered": tampered})
+    folded = merkle.fold_up(F.coalesce("tampered", "leaf"), F.col("way"))
+    rows = proofs.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("way")).alias("proof_sha256"), folded.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = vector_codes.compress_vectors(table(spark, sf_dir, "embeddings"))
+    digest = F.lit(vector_codes.codebooks_digest(made.codebooks))
+    return made.vectors.select("vec_id", vector_codes.code_string(F.col("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    def of(kinds: list[str]) -> Column:
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in secret_scan.LEAST]
+    base = secret_scan.span_list(of(list(secret_scan.LEAST)))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), secret_scan.span_list(F.col("spans")).alias("spans"))
+
+
 def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What op10_url_filter says that SQL can say as well: host, path and rule."""
     return op10_url_filter(spark, sf_dir).select("page_id", "host", "path", "rule")
@@ -110,10 +142,83 @@ FROM d JOIN g ON d.t = g.t
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT row_number() OVER () AS r, *, CASE WHEN text IS NULL THEN NULL ELSE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS low FROM documents),
+f AS (
+  SELECT r, doc_id, source, text IS DISTINCT FROM low AS differs,
+         concat(CASE WHEN doc_id IS NULL THEN '-' ELSE concat(strlen(doc_id::VARCHAR), ':', doc_id) END, CASE WHEN source IS NULL THEN '-' ELSE concat(strlen(source), ':', source) END,
+                CASE WHEN lang IS NULL THEN '-' ELSE concat(strlen(lang), ':', lang) END, CASE WHEN n_chars IS NULL THEN '-' ELSE concat(strlen(n_chars::VARCHAR), ':', n_chars) END) AS head,
+         CASE WHEN text IS NULL THEN '-' ELSE concat(strlen(text), ':', text) END AS own, CASE WHEN low IS NULL THEN '-' ELSE concat(strlen(low), ':', low) END AS low,
+         list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)), lambda acc, c:
+           list_reduce(list_concat([xor(acc, c)], list_transform(range(8), lambda k: k::UBIGINT)), lambda x, k: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))) AS crc FROM d),
+l AS (
+  SELECT r, doc_id, concat(CASE WHEN source IS NULL THEN '' ELSE ':' END, coalesce(source, '')) AS g, sha256(head || own) AS leaf,
+         CASE WHEN xor(crc, 4294967295::UBIGINT) % 5 = 0 THEN sha256(head || low) ELSE sha256(head || own) END AS shown FROM f),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l),
+t AS (
+  SELECT 0 AS level, g, i, leaf AS h, n FROM p
+  UNION ALL SELECT level + 1, g, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM t WHERE n > 1 GROUP BY level, g, i // 16, n),
+s AS (SELECT g, h AS subroot, level AS depth, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (
+  SELECT 0 AS level, i, subroot AS h, n FROM s
+  UNION ALL SELECT level + 1, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM u WHERE n > 1 GROUP BY level, i // 16, n),
+-- all levels on one scale: a leaf's way goes through its group's tree, then through the tree of the groups
+node AS (
+  SELECT t.g, t.level AS lv, t.i, t.h, t.n FROM t WHERE t.n > 1
+  UNION ALL SELECT s.g, s.depth + u.level, u.i, u.h, u.n FROM s, u WHERE u.n > 1),
+way AS (
+  SELECT p.r, x.lv, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i < w), '') AS lft, coalesce(string_agg(x.h, '' ORDER BY x.i) FILTER (x.i > w), '') AS rgt
+  FROM (SELECT p.r, p.g, k.lv, CASE WHEN k.lv < s.depth THEN p.i // (16 ** k.lv)::BIGINT ELSE s.i // (16 ** (k.lv - s.depth))::BIGINT END AS w
+        FROM p JOIN s ON s.g = p.g JOIN (SELECT DISTINCT g, lv FROM node) k ON k.g = p.g) p
+  JOIN node x ON x.g = p.g AND x.lv = p.lv AND x.i // 16 = w // 16 GROUP BY p.r, x.lv),
+fold AS (
+  SELECT r, 0 AS lv, shown AS h FROM p
+  UNION ALL SELECT fold.r, fold.lv + 1, sha256(way.lft || fold.h || way.rgt) FROM fold JOIN way ON way.r = fold.r AND way.lv = fold.lv),
+proof AS (SELECT r, sha256(string_agg(lft || rgt, '' ORDER BY lv)) AS proof FROM way GROUP BY r),
+root AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT p.doc_id, p.leaf, s.subroot, root.root, coalesce(proof.proof, sha256('')) AS proof_sha256, f.h AS folded_root, f.h = root.root AS verified
+FROM p JOIN s ON s.g = p.g CROSS JOIN root LEFT JOIN proof ON proof.r = p.r JOIN (SELECT r, arg_max(h, lv) AS h FROM fold GROUP BY r) f ON f.r = p.r
+"""
+
+
+def _op12_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Plain Lloyd rounds over all parts, a pair of tables each."""
+    steps = [
+        f"""
+v AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+      WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+r AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r FROM v),
+x AS (SELECT r, pos, v[pos * len(v) // {parts} + 1:(pos + 1) * len(v) // {parts}] AS part FROM r, range({parts}) t(pos)),
+c0 AS (SELECT pos, r AS entry, part AS e FROM x WHERE r < {entries})"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(
+            f"""
+a{k} AS (SELECT r, pos, any_value(part) AS part, min(d) AS error, arg_min(entry, (d, entry)) AS entry FROM (
+  SELECT r, x.pos, part, entry, list_sum(list_transform(range(1, len(part) + 1), lambda i: (part[i] - e[i]) * (part[i] - e[i])))::BIGINT AS d FROM x JOIN c{k} c ON c.pos = x.pos) GROUP BY r, pos)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""
+m{k} AS (SELECT pos, entry, list(floor(s / n)::BIGINT ORDER BY i) AS e FROM (SELECT pos, entry, i, sum(part[i]) AS s, count(*) AS n FROM a{k}, unnest(range(1, len(part) + 1)) t(i) GROUP BY pos, entry, i) GROUP BY pos, entry),
+c{k + 1} AS (SELECT c.pos, c.entry, coalesce(m.e, c.e) AS e FROM c{k} c LEFT JOIN m{k} m ON m.pos = c.pos AND m.entry = c.entry)"""
+            )
+    return f"""
+WITH {",".join(steps)},
+b AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY pos, entry)) AS h FROM c{rounds}),
+o AS (SELECT r, string_agg(lpad(lower(hex(entry)), 2, '0'), '' ORDER BY pos) AS code, sum(error)::BIGINT AS error FROM a{rounds} GROUP BY r)
+SELECT r.vec_id, o.code, o.error, (sum(o.error) OVER (PARTITION BY r.label))::BIGINT AS label_error, b.h AS codebooks_sha256 FROM r JOIN o ON o.r = r.r CROSS JOIN b
+"""
+
+
+OP12_SQL = _op12_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_warc, op2_html_text, op3_line_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_decontamination, op8_packing, op9_exact_dedup, op10_url_filter, url_rules]
+    made = [op1_warc, op2_html_text, op3_line_dedup, op4_ngram_join, op5_license_scan, op6_toxicity, op7_decontamination, op8_packing, op9_exact_dedup, op10_url_filter, op11_merkle_manifest, op12_vector_codes, op13_secret_scan, url_rules]
     return {fn.__name__: fn for fn in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op4_ngram_join": OP4_SQL, "op9_exact_dedup": OP9_SQL, "url_rules": URL_RULES_SQL}
+    return {"op1_warc": OP1_SQL, "op4_ngram_join": OP4_SQL, "op9_exact_dedup": OP9_SQL, "op11_merkle_manifest": OP11_SQL, "op12_vector_codes": OP12_SQL, "url_rules": URL_RULES_SQL}
