@@ -43,8 +43,13 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text"
 
 def document_frequency(posts: DataFrame, n_chunks: Column | int) -> DataFrame:
     """bucket, n, idf = ln(1 + (N - n + 0.5) / (n + 0.5))."""
+    return idf_of(posts.groupBy("bucket").agg(F.count("*").alias("n")), n_chunks)
+
+
+def idf_of(counts: DataFrame, n_chunks: Column | int) -> DataFrame:
+    """The same from counts (bucket, n)."""
     total = F.lit(n_chunks) if isinstance(n_chunks, int) else n_chunks
-    return posts.groupBy("bucket").agg(F.count("*").alias("n")).withColumn("idf", F.log(1 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    return counts.select("bucket", "n", F.log(1 + (total - F.col("n") + 0.5) / (F.col("n") + 0.5)).alias("idf"))
 
 
 def sparse_scores(queries: DataFrame, posts: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
@@ -86,10 +91,11 @@ def dense_scores(queries: DataFrame, vectors: DataFrame, id_col: str = "chunk_id
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "chunk_id", partition: str = "query_id", block: int = 256) -> DataFrame:
     """The k nearest rows of each query (query_id, vector) by cosine, ties by id: matrix products of blocks in each task, whose k best per query meet in one window.
 
-    Queries are a stated set: they are written as Arrow into each task's closure while they are few, and go through dense_scores() beyond that.
+    Rows and queries without a vector, or with one of another length, have no neighbours. Queries are a stated set: they are written as Arrow into each task's closure while they are few, and go through dense_scores() beyond that.
     """
     if queries.limit(QUERIES_MOST + 1).count() > QUERIES_MOST:
         return top_k(dense_scores(queries, vectors, id_col), k, id_col, partition)
+    queries = queries.filter("size(vector) > 0")
     got = queries.select(partition, F.transform("vector", lambda x: x.cast("double")).alias("vector")).toArrow()
     ids = got.column(partition)
     if not len(ids):
@@ -97,7 +103,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "c
     q = np.stack([np.asarray(v) for v in got.column("vector").to_pylist()])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
     shared = vectors.sparkSession.sparkContext.broadcast((ids.combine_chunks(), q))
-    rows = vectors.select(id_col, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    rows = vectors.filter(F.size("vector") == q.shape[1]).select(id_col, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     kinds = dict(rows.dtypes)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

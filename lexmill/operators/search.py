@@ -1,7 +1,8 @@
 """Search from an index that is built once: modes, over-fetch, re-ranking, gate, one result a document, doubts, and the article tools.
 
-An index is a folder of tables: ``chunks`` (by journal), ``postings`` (sorted by bucket, so that a query's buckets prune row groups), ``idf`` and
-``vectors``. A search reads the postings of the buckets its queries touch and nothing else of the corpus, then the candidates' chunks.
+An index is a folder of tables: ``chunks`` (by journal), ``postings`` (sorted by bucket, so that a query's buckets prune row groups), ``idf``,
+``vectors``, and ``titles`` and ``keywords`` for filters. A search reads the postings of the buckets its queries touch and nothing else of the corpus, then the candidates' chunks.
+With ``ann`` an index has cells of vectors as well (see vector_index), and dense results come from the nearest ones.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import cut_at_space
-from lexmill.operators import retrieval
+from lexmill.operators import keyword_index, retrieval, vector_index
+from lexmill.session import missing
 
 MODES = ("hybrid", "dense", "sparse")
 LONGEST_QUERY = 2000
@@ -65,13 +67,18 @@ def clamped(value: Column | int, least: int, most: int):
     return max(least, min(most, value)) if isinstance(value, int) else F.greatest(F.lit(least), F.least(F.lit(most), value))
 
 
-def write_index(chunks: DataFrame, path: str, dimensions: int = retrieval.DIMENSIONS, recreate: bool = False) -> None:
-    """Build an index of chunks (see CHUNK_COLUMNS). One that is there must have vectors as long; ``recreate`` replaces it."""
+def write_index(chunks: DataFrame, path: str, dimensions: int = retrieval.DIMENSIONS, recreate: bool = False, ann: bool = False) -> bool:
+    """Build an index of chunks (see CHUNK_COLUMNS); whether it was built. One that is there and whole is kept as it is, points and all, and must have vectors as long; ``recreate`` replaces it.
+
+    ``ann`` adds cells of vectors. To add chunks to an index, see increments.
+    """
     spark = chunks.sparkSession
     if not recreate:
         have = index_dimensions(spark, path)
         if have is not None and have != dimensions:
             raise ValueError(f"the index has vectors of {have} dimensions, not {dimensions}; recreate it")
+        if have is not None:
+            return False
     mode = "overwrite"
     with_defaults(chunks).drop("score").write.mode(mode).parquet(f"{path}/chunks")
     rows = spark.read.parquet(f"{path}/chunks")
@@ -80,7 +87,13 @@ def write_index(chunks: DataFrame, path: str, dimensions: int = retrieval.DIMENS
     posts.repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode(mode).parquet(f"{path}/postings")
     stored = spark.read.parquet(f"{path}/postings")
     retrieval.document_frequency(stored, rows.count()).coalesce(1).write.mode(mode).parquet(f"{path}/idf")  # one row a bucket
-    retrieval.vectors_of(stored, dimensions).write.mode(mode).parquet(f"{path}/vectors")
+    keyword_index.write_keyword_index(rows, path)
+    vectors = retrieval.vectors_of(stored, dimensions)
+    if ann:
+        vector_index.write_vectors(vectors, f"{path}/ann")
+    # these come last: an index that has them is whole
+    vectors.write.mode(mode).parquet(f"{path}/vectors")
+    return True
 
 
 def index_dimensions(spark: SparkSession, path: str) -> int | None:
@@ -88,14 +101,29 @@ def index_dimensions(spark: SparkSession, path: str) -> int | None:
     try:
         first = spark.read.parquet(f"{path}/vectors").select(F.size("vector").alias("n")).first()
     except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
+        if missing(e):
             return None
         raise
     return first["n"] if first else None
 
 
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "idf", "vectors")}
+def read_index(spark: SparkSession, path: str, ann: bool = False) -> dict[str, DataFrame | str]:
+    index: dict[str, DataFrame | str] = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "idf", "vectors", "titles", "keywords")}
+    return index | {"ann": f"{path}/ann"} if ann else index
+
+
+def held_to(index: dict, title: str | None = None, phrase: bool = False, **equal: str | None) -> DataFrame | None:
+    """chunk_id of the chunks that fit the equalities and whose title has the words; None without a condition. By the index of fields where there is one."""
+    fields = {k: v for k, v in equal.items() if v}
+    if not fields and not title:
+        return None
+    indexed = "keywords" in index and all(k in keyword_index.KEYWORDS for k in fields)
+    found = keyword_index.chunks_with_values(index["keywords"], **fields) if fields and indexed else retrieval.metadata_filter(index["chunks"], **fields).select("chunk_id")
+    if title:
+        titles = index["titles"] if "titles" in index else index["chunks"].select("doc_id", F.posexplode(keyword_index.title_words("title")).alias("place", "word"))
+        documents = keyword_index.documents_with_title(titles, title, phrase)
+        found = found.join(index["chunks"].join(documents, "doc_id", "left_semi").select("chunk_id"), "chunk_id", "left_semi")
+    return found
 
 
 def touched(posts: DataFrame, query_posts: DataFrame) -> DataFrame:
@@ -104,15 +132,15 @@ def touched(posts: DataFrame, query_posts: DataFrame) -> DataFrame:
     return posts.filter(F.col("bucket").isin(own)) if len(own) <= PUSHED else posts
 
 
-def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mode: str = "hybrid", prefetch: int | None = None, gated: bool = True, **equal: str | None) -> DataFrame:
-    """Results of queries (query_id, query): chunks that fit the equalities, retrieved, re-ranked and gated; position from 1.
+def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mode: str = "hybrid", prefetch: int | None = None, gated: bool = True, title: str | None = None, phrase: bool = False, **equal: str | None) -> DataFrame:
+    """Results of queries (query_id, query): chunks that fit the equalities and whose title has the words of ``title``, retrieved, re-ranked and gated; position from 1.
 
-    Hybrid search fuses the first ``prefetch`` (three times top_k) sparse and dense results of each query. Filters act below the ranking.
+    Hybrid search fuses the first ``prefetch`` (three times top_k) sparse and dense results of each query. Filters act below the ranking; filtered dense search reads all vectors that are left.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    chunks = retrieval.metadata_filter(index["chunks"], **equal)
-    within = chunks.select("chunk_id") if any(equal.values()) else None
+    chunks = index["chunks"]
+    within = held_to(index, title, phrase, **equal)
     n = (prefetch or 3 * top_k) if mode == "hybrid" else top_k
     found = {}
     q_posts = retrieval.postings(queries, "query_id", "query")
@@ -121,9 +149,11 @@ def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mod
         posts = posts.join(within, "chunk_id", "left_semi") if within is not None else posts
         found["sparse"] = retrieval.top_k(retrieval.sparse_scores_of(q_posts, posts, index["idf"]), n)
     if mode != "sparse":
-        vectors = index["vectors"].join(within, "chunk_id", "left_semi") if within is not None else index["vectors"]
         q = retrieval.vectors_of(q_posts, retrieval.DIMENSIONS, "query_id")
-        found["dense"] = retrieval.dense_top_k(q, vectors, n)
+        if within is None and "ann" in index:
+            found["dense"] = vector_index.nearest(queries.sparkSession, index["ann"], q, n)
+        else:
+            found["dense"] = retrieval.dense_top_k(q, index["vectors"] if within is None else index["vectors"].join(within, "chunk_id", "left_semi"), n)
     best = retrieval.fuse(found, top_k) if mode == "hybrid" else next(iter(found.values()))
     rows = retrieval.small(best).join(chunks, "chunk_id").join(retrieval.small(queries), "query_id")
     ranked = retrieval.rerank(rows.withColumnRenamed("score", "raw_score"))
@@ -173,7 +203,7 @@ def stored_result(spark: SparkSession, folder: str, request: dict, make: Callabl
     try:
         return spark.read.parquet(path)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        if not missing(e):
             raise
     make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
@@ -182,6 +212,7 @@ def stored_result(spark: SparkSession, folder: str, request: dict, make: Callabl
 def passages(index: dict[str, DataFrame], queries: DataFrame, doc_id, top_k: int = 5, mode: str = "hybrid") -> DataFrame:
     """Results within one document, whole texts, several of it."""
     own = dict(index, chunks=index["chunks"].filter(F.col("doc_id") == F.lit(doc_id)))
+    own.pop("ann", None)
     ids = own["chunks"].select("chunk_id")
     own["postings"], own["vectors"] = (index[n].join(retrieval.small(ids), "chunk_id", "left_semi") for n in ("postings", "vectors"))
     return search(own, queries, clamped(top_k, 1, 10), mode)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import patterns as P
 from lexmill.functions import text as X
-from lexmill.operators import evidence, lines, retrieval, search
+from lexmill.operators import chunking, evidence, increments, lines, retrieval, search, vector_index
 from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import IDF_SQL, POSTINGS_SQL, TITLES_SQL, documents, table
 from lexmill.plans.registry import query
@@ -101,6 +101,28 @@ def dense_topk(spark, sf_dir):
     return retrieval.dense_top_k(*dense_tables(spark, sf_dir), K)
 
 
+def vectors_of(spark: SparkSession, sf_dir: str) -> str:
+    """The index of all vectors: built at the first use in an application."""
+    key = (spark.sparkContext.applicationId, f"vectors of {sf_dir}")
+    if key not in _indexes:
+        path = shared_path(spark, f"vectors-{uuid.uuid4().hex}")
+        vector_index.write_vectors(dense_tables(spark, sf_dir)[1], path)
+        _indexes[key] = path
+    return _indexes[key]
+
+
+@query("dense_topk_quantised", _top_sql(DENSE_SQL, K, "chunk_id"))
+def dense_topk_quantised(spark, sf_dir):
+    """From codes of a byte a component of all cells: what is left is scored exactly."""
+    return vector_index.nearest(spark, vectors_of(spark, sf_dir), dense_tables(spark, sf_dir)[0], K, probes=0)
+
+
+@query("ann_topk")
+def ann_topk(spark, sf_dir):
+    """From the nearest cells: approximate, with the recall that the index was built for."""
+    return vector_index.nearest(spark, vectors_of(spark, sf_dir), dense_tables(spark, sf_dir)[0], K)
+
+
 @query(
     "precision_at_k",
     f"""SELECT t.query_id, round(avg(CASE WHEN a.label = b.label THEN 1.0 ELSE 0.0 END), 6) AS precision_at_k FROM ({_top_sql(DENSE_SQL, K, 'chunk_id')}) t
@@ -169,6 +191,86 @@ def low_confidence(spark, sf_dir):
     return retrieval.low_confidence(search_queries(spark, sf_dir), retrieval.confidence_gate(reranked(spark, sf_dir)))
 
 
+_TITLE_WORDS = rf"regexp_extract_all(lower(title), '[\p{{L}}\p{{M}}\p{{N}}]+')"
+
+
+@query("title_filter_search", _top_sql(_sparse_sql(f"doc_id IN (SELECT doc_id FROM ({TITLES_SQL}) WHERE list_has_all({_TITLE_WORDS}, ['the', 'and']))"), K))
+def title_filter_search(spark, sf_dir):
+    """Sparse search among the documents whose title has two words, by the index of titles."""
+    return title_search(spark, sf_dir, "And THE", phrase=False)
+
+
+@query("title_phrase_search", _top_sql(_sparse_sql(f"doc_id IN (SELECT doc_id FROM ({TITLES_SQL}) WHERE contains(' ' || array_to_string({_TITLE_WORDS}, ' ') || ' ', ' of the '))"), K))
+def title_phrase_search(spark, sf_dir):
+    return title_search(spark, sf_dir, "of the", phrase=True)
+
+
+def title_search(spark: SparkSession, sf_dir: str, words: str, phrase: bool) -> DataFrame:
+    within = search.held_to(index_of(spark, sf_dir), words, phrase).withColumnRenamed("chunk_id", "doc_id")
+    return retrieval.top_k(sparse(spark, sf_dir, within), K, "doc_id")
+
+
+@query("incremental_search", _top_sql(SPARSE_SQL, K))
+def incremental_search(spark, sf_dir):
+    """Search in an index of three writes, the later ones with what the earlier ones had wrong or too much: the same as in one built at once."""
+    key = (spark.sparkContext.applicationId, f"increments of {sf_dir}")
+    if key not in _indexes:
+        path = shared_path(spark, f"increments-{uuid.uuid4().hex}")
+        final = search_chunks(spark, sf_dir).withColumn("chunk_index", F.lit(0)).withColumn("char_len", F.length("text"))
+        early = final.withColumn("text", F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("an earlier state "), "text")).otherwise(F.col("text")))
+        extra = early.filter("doc_id % 10 = 0").withColumn("chunk_id", F.concat(F.lit("old "), F.col("chunk_id").cast("string")))
+        increments.upsert(spark, path, early.filter("doc_id % 3 = 0").withColumn("chunk_id", F.col("chunk_id").cast("string")).unionByName(extra))
+        increments.upsert(spark, path, early.filter("doc_id % 3 = 1"))
+        increments.upsert(spark, path, final.filter("doc_id % 3 = 2 OR doc_id % 4 = 0"), removed=extra.select("chunk_id"))
+        _indexes[key] = path
+    index = increments.read_index(spark, _indexes[key])
+    q = retrieval.postings(search_queries(spark, sf_dir), "query_id", "query")
+    scored = retrieval.sparse_scores_of(q, search.touched(index["postings"], q), index["idf"])
+    return retrieval.top_k(scored.select("query_id", F.col("chunk_id").cast("long").alias("doc_id"), "score"), K, "doc_id")
+
+
+@query(
+    "incremental_documents",
+    "SELECT source AS journal_id, count(DISTINCT doc_id) AS documents, true AS estimate_is_close FROM documents GROUP BY source",
+)
+def incremental_documents(spark, sf_dir):
+    """Documents of each journal, exactly from the chunks, and whether the estimate from the writes' sketches, which read no chunk, is within two per cent (or one) of it."""
+    incremental_search(spark, sf_dir)
+    path = _indexes[(spark.sparkContext.applicationId, f"increments of {sf_dir}")]
+    exact = increments.read_index(spark, path)["chunks"].groupBy("journal_id").agg(F.count_distinct("doc_id").alias("documents"))
+    about = increments.document_estimates(spark, path).withColumnRenamed("documents", "estimate")
+    close = F.abs(F.col("estimate") - F.col("documents")) <= F.greatest(F.lit(1.0), F.col("documents") * 0.02)
+    return exact.join(about, "journal_id", "left").select("journal_id", "documents", F.coalesce(close, F.lit(False)).alias("estimate_is_close"))
+
+
+def chunk_index(spark: SparkSession, sf_dir: str) -> dict:
+    """The index of the documents' chunks, with cells of vectors: what the ingest makes of them, built at the first use in an application."""
+    key = (spark.sparkContext.applicationId, f"chunks of {sf_dir}")
+    if key not in _indexes:
+        path = shared_path(spark, f"chunks-{uuid.uuid4().hex}")
+        docs = documents(spark, sf_dir)
+        chunks = chunking.chunk_documents(docs).drop("embed_text").join(docs.select("doc_id", F.col("source").alias("journal_id")), "doc_id")
+        search.write_index(chunks, path, ann=True)
+        _indexes[key] = path
+    return search.read_index(spark, _indexes[key], ann=True)
+
+
+@query("chunk_search")
+def chunk_search(spark, sf_dir):
+    """Hybrid search of chunks, one result a document; whole documents are chunked, indexed and searched."""
+    found, _ = search.search_articles(chunk_index(spark, sf_dir), search_queries(spark, sf_dir), 5, "hybrid")
+    return found.select("query_id", "position", "doc_id", "chunk_id", "section", "chunk_index", "score")
+
+
+@query("chunk_passages")
+def chunk_passages(spark, sf_dir):
+    """The best passages of the document with the most chunks."""
+    index = chunk_index(spark, sf_dir)
+    longest = index["chunks"].groupBy("doc_id").count().orderBy(F.desc("count"), "doc_id").first()
+    found = search.passages(index, search_queries(spark, sf_dir), longest["doc_id"], 5, "sparse")
+    return found.select("query_id", "position", "doc_id", "chunk_id", "score")
+
+
 def line_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as chunks with a made-up score that ties often: many chunks per document."""
     rows = lines.split_lines(documents(spark, sf_dir), "source", "lang").filter("line != ''")

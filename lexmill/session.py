@@ -36,3 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lexmill/{name}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a folder or file of any file system that Spark reads; nothing happens if it isn't there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def missing(error: Exception) -> bool:
+    """Whether a read failed because there is nothing yet."""
+    return "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error)
