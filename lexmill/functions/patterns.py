@@ -6,6 +6,10 @@ LETTERS_TO = "ااايويه "
 DIACRITICS = "[ً-ٰٟۖ-ۭ]"
 TASHKEEL = "[ؐ-ًؚ-ٰٟۖ-ۭ]"
 TOKEN = "[A-Za-z0-9؀-ۿ]+"
+# White space of a text, for a class of characters; \\s has that of ASCII only.
+SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# What counts as a digit, for a class of characters: decimal digits of all scripts, and signs that stand for one digit.
+DIGIT = r"\p{Nd}" + "".join(c for c in map(chr, range(0x80, 0x20000)) if c.isdigit() and not c.isdecimal())
 # Marks that citations are compared without.
 MARKS = r"""[.,،؛:؟!()\[\]{}«»"'\-–—٪%/\\]"""
 # Words that may stand between two parts of one quote.

@@ -10,7 +10,7 @@ from lexmill.functions import patterns as P
 
 def strip(c: Column | str) -> Column:
     """Without white space at either end (trim() takes spaces only)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{P.SPACE}]+|[{P.SPACE}]+$", "")
 
 
 def normalize_arabic(c: Column | str) -> Column:
@@ -88,7 +88,7 @@ def section_bucket(section: Column | str) -> Column:
 
 def sentences(c: Column | str) -> Column:
     """Split after a terminator and white space; the terminator stays."""
-    return F.filter(F.split(c, r"(?<=[.!?؟。])\s+"), lambda s: s != "")
+    return F.filter(F.split(c, f"(?<=[.!?؟。])[{P.SPACE}]+"), lambda s: s != "")
 
 
 def chunk_id(doc: Column | str, index: Column | str) -> Column:

@@ -201,16 +201,21 @@ def align_cascade(pairs: DataFrame, tolerance: float = 0.1) -> DataFrame:
 
 
 def find_in_document(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Matches of consecutive words that contain the terms, left to right without overlap: doc_id, starts."""
-    n = len(terms)
-    words = F.filter(F.split(normalize_citation("text", ""), " "), lambda w: w != "")
-    rows = docs.select("doc_id", words.alias("w"))
+    """Matches of consecutive words that contain the terms, left to right without overlap: doc_id, starts.
+
+    Words and terms are compared as alignment sees them; a word of marks contains nothing and keeps its place, a term of marks is left out.
+    """
+    asked = docs.sparkSession.range(1).select(phrase_words(F.lit(" ".join(terms))).alias("t")).first()["t"]
+    n, none = len(asked), F.array().cast("array<int>")
+    rows = docs.select("doc_id", document_words("text").alias("w"))
+    if not n:
+        return rows.select("doc_id", none.alias("starts"))
     # places where the first term fits, then all of them
     index = F.sequence(F.lit(0), F.size("w") - n)
-    fits = F.filter(index, lambda i: _all(F.get("w", i + k).contains(t) for k, t in enumerate(terms)))
-    rows = rows.withColumn("fits", F.when(F.size("w") >= n, fits).otherwise(F.array().cast("array<int>")))
-    greedy = F.aggregate("fits", F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + n), F.array_append(acc, i)).otherwise(acc))
-    return rows.select("doc_id", F.when(F.size("fits") > 0, greedy).otherwise(F.array().cast("array<int>")).alias("starts"))
+    fits = F.filter(index, lambda i: _all(F.get("w", i + k).contains(t) for k, t in enumerate(asked)))
+    rows = rows.withColumn("fits", F.when(F.size("w") >= n, fits).otherwise(none))
+    greedy = F.aggregate("fits", none, lambda acc, i: F.when((F.size(acc) == 0) | (i >= F.element_at(acc, -1) + n), F.array_append(acc, i)).otherwise(acc))
+    return rows.select("doc_id", F.when(F.size("fits") > 0, greedy).otherwise(none).alias("starts"))
 
 
 def _all(conditions) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import sys
+import uuid
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions.text import strip
+from lexmill.session import shared_path
 
 METRICS = ("context_recall", "context_precision", "faithfulness")
 
@@ -80,3 +85,46 @@ def chunk_errors(chunks: DataFrame) -> DataFrame:
     rows = chunks.withColumn("place", place)
     error = F.when(strip("text") == "", "empty").when(F.col("char_len") != F.length("text"), "length").when(F.col("chunk_index") != F.col("place"), "index")
     return rows.select("doc_id", "chunk_id", error.alias("error")).filter("error IS NOT NULL")
+
+
+#: Bins of a range of values in one pass, and passes, which together tell any two doubles apart.
+BINS = 1024
+PASSES = 12
+
+
+def order_statistics(rows: DataFrame, group: str, value: str, at: Mapping[str, Column], bins: int = BINS) -> DataFrame:
+    """The values at given ranks (from 1, by the group's size n; below 1 and beyond n they are the first and last) of each group, exactly, as columns named as in ``at``.
+
+    Counts by bin narrow each rank's range until all in it are equal: a pass keeps the bin that holds the rank, with the least and greatest value in it. A pass shuffles sums by bin and
+    never the rows, so a group of any size, however it is distributed, is never sorted nor in one task. Null and NaN values have no rank; groups of these only aren't in the result. Infinite values
+    count as the largest and least double.
+    """
+    spark = rows.sparkSession
+    rows = rows.select(F.col(f"`{group}`").alias("g"), F.col(f"`{value}`").cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    rows = rows.withColumn("v", F.greatest(F.lit(-sys.float_info.max), F.least(F.lit(sys.float_info.max), F.col("v"))))
+    whole = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.least(F.col("n"), rank.cast("long"))).alias("rank")) for name, rank in at.items()]))
+    state = whole.select("g", "lo", "hi", ranks.alias("r")).select("g", "r.name", "r.rank", "lo", "hi")
+    schema = state.schema
+    for _ in range(PASSES):
+        # a row a group and rank: kept in the shared folder, so that each pass starts from what the last one found
+        path = shared_path(spark, f"ranks-{uuid.uuid4().hex}")
+        state.write.parquet(path)
+        state = spark.read.schema(schema).parquet(path)
+        left = state.filter("lo < hi")
+        n = left.count()
+        if not n:
+            break
+        ranges = left.select("g", "lo", "hi").distinct()  # ranks in one bin share its counts
+        own = ranges.withColumnRenamed("g", "g2")
+        met = rows.join(F.broadcast(own) if n <= 100_000 else own, F.col("g").eqNullSafe(F.col("g2")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        wide = F.col("hi") - F.col("lo") == float("inf")  # more than a double holds: by halves
+        share = F.when(wide, F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)).otherwise(F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo")))
+        bin_ = F.least(F.lit(bins - 1).cast("long"), F.floor(share * bins))
+        counts = met.groupBy("g", "lo", "hi", bin_.alias("bin")).agg(F.count("*").alias("k"), F.min("v").alias("least"), F.max("v").alias("most"))
+        placed = counts.withColumn("upto", F.sum("k").over(Window.partitionBy("g", "lo", "hi").orderBy("bin")))  # over the bins
+        new = left.alias("s").join(placed.alias("c"), F.col("s.g").eqNullSafe(F.col("c.g")) & (F.col("s.lo") == F.col("c.lo")) & (F.col("s.hi") == F.col("c.hi")))
+        new = new.filter((F.col("rank") <= F.col("upto")) & (F.col("rank") > F.col("upto") - F.col("k")))
+        new = new.select("s.g", "name", (F.col("rank") - F.col("upto") + F.col("k")).alias("rank"), F.col("least").alias("lo"), F.col("most").alias("hi"))
+        state = state.filter("lo = hi").unionByName(new)
+    return state.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("name") == name, F.col("lo"))).alias(name) for name in at])

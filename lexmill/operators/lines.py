@@ -64,9 +64,9 @@ def _title_score(line: Column, at: Column) -> Column:
     return (
         F.when(at < 5, 1.2).otherwise(0.0)
         + F.when(n.between(20, 140), 1.4).when(n.between(12, 180), 0.8).otherwise(0.0)
-        + F.when(F.size(F.split(line, r"\s+")).between(4, 18), 0.6).otherwise(0.0)
+        + F.when(F.size(F.split(line, f"[{P.SPACE}]+")).between(4, 18), 0.6).otherwise(0.0)
         - F.when(line.rlike("[.:؛،]$"), 0.4).otherwise(0.0)
-        - F.when(line.rlike(r"[0-9٠-٩]"), 0.25).otherwise(0.0)
+        - F.when(line.rlike(f"[{P.DIGIT}]"), 0.25).otherwise(0.0)
     )
 
 

@@ -52,8 +52,8 @@ SELECT d.doc_id, coalesce(t.line, '') AS title FROM documents d LEFT JOIN (
   SELECT doc_id, line FROM (
     SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY round(
       CASE WHEN line_no < 5 THEN 1.2 ELSE 0 END + CASE WHEN length(line) BETWEEN 20 AND 140 THEN 1.4 WHEN length(line) BETWEEN 12 AND 180 THEN 0.8 ELSE 0 END
-      + CASE WHEN len(regexp_split_to_array(line, '\s+')) BETWEEN 4 AND 18 THEN 0.6 ELSE 0 END - CASE WHEN regexp_matches(line, '[.:؛،]$') THEN 0.4 ELSE 0 END
-      - CASE WHEN regexp_matches(line, '[0-9٠-٩]') THEN 0.25 ELSE 0 END, 4) DESC, line_no) AS k
+      + CASE WHEN len(regexp_split_to_array(line, {S.lit(f'[{P.SPACE}]+')})) BETWEEN 4 AND 18 THEN 0.6 ELSE 0 END - CASE WHEN regexp_matches(line, '[.:؛،]$') THEN 0.4 ELSE 0 END
+      - CASE WHEN regexp_matches(line, {S.lit(f'[{P.DIGIT}]')}) THEN 0.25 ELSE 0 END, 4) DESC, line_no) AS k
     FROM ({CLASSED_SQL}) WHERE line_no < 20 AND length(line) >= 10 AND class IN ('text', 'reference_header') AND NOT {S.matches('line', P.AUTHOR_LINE)})
   WHERE k = 1) t ON t.doc_id = d.doc_id
 """
@@ -71,8 +71,8 @@ def short_doc_rejects(spark, sf_dir):
 
 @query(
     "sentence_stats",
-    r"""SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (
-    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?؟。])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') AS s FROM documents)""",
+    rf"""SELECT doc_id, len(s) AS n_sentences, list_max(list_transform(s, lambda x: length(x))) AS longest FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?؟。])[{P.SPACE}]+', '\1' || chr(1), 'g'), chr(1)), lambda x: x != '') AS s FROM documents)""",
 )
 def sentence_stats(spark, sf_dir):
     rows = documents(spark, sf_dir).select("doc_id", X.sentences("text").alias("s"))

@@ -13,7 +13,7 @@ STOP = "[" + ", ".join(lit(w) for w in P.STOP_WORDS) + "]"
 
 
 def strip(x: str) -> str:
-    return rf"regexp_replace({x}, '^\s+|\s+$', '', 'g')"
+    return f"regexp_replace({x}, {lit(f'^[{P.SPACE}]+|[{P.SPACE}]+$')}, '', 'g')"
 
 
 def norm(x: str) -> str:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.functions import patterns as P
-from lexmill.operators import citations, conversations, evidence
+from lexmill.operators import citations, conversations, evaluation, evidence
 from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import documents, table
 from lexmill.plans.registry import query
@@ -249,7 +249,11 @@ def align_cascade(spark, sf_dir):
     return citations.align_cascade(citations_of_documents(spark, sf_dir))
 
 
-@query("find_in_document")
+@query(
+    "find_in_document",
+    f"""SELECT doc_id, list_reduce(list_concat([[]::BIGINT[]], list_transform(fits, lambda i: [i])), lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] >= acc[-1] + 2 THEN list_concat(acc, x) ELSE acc END) AS starts
+    FROM (SELECT doc_id, list_filter(range(0, greatest(len(w) - 1, 0)), lambda i: contains(w[i + 1], 'th') AND contains(w[i + 2], 'on')) AS fits FROM (SELECT doc_id, {S.words('text')} AS w FROM documents))""",
+)
 def find_in_document(spark, sf_dir):
     return citations.find_in_document(documents(spark, sf_dir), ["th", "on"])
 
@@ -288,11 +292,12 @@ def rate_limit_exact(spark, sf_dir):
     "SELECT event_type, round(median(value), 6) AS p50, list_sort(list(value))[CAST(floor(0.95::DOUBLE * count(*)) AS INT) + 1] AS p95 FROM events GROUP BY event_type",
 )
 def latency_percentiles(spark, sf_dir):
-    """The median, and the element at index int(0.95 n) of the sorted values, by rank and without gathering a group in one array."""
+    """The median, and the element at index int(0.95 n) of the sorted values, from counts alone: no task sorts a group."""
     events = table(spark, sf_dir, "events").select("event_type", "value")
-    w = Window.partitionBy("event_type")
-    ranked = events.select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.groupBy("event_type").agg(F.round(F.median("value"), 6).alias("p50"), F.max(F.when(F.col("k") == F.floor(F.col("n") * 0.95) + 1, F.col("value"))).alias("p95"))
+    n = F.col("n")
+    at = {"low": F.floor((n + 1) / 2), "high": F.floor(n / 2) + 1, "p95": F.floor(n * 0.95) + 1}
+    found = evaluation.order_statistics(events, "event_type", "value", at)
+    return found.select("event_type", F.round((F.col("low") + F.col("high")) / 2, 6).alias("p50"), "p95")
 
 
 @query("role_summary", """SELECT role, count(*) AS n, round(avg(length(text)), 4) AS mean_chars, min(length(text)) AS least FROM conversations GROUP BY role""")

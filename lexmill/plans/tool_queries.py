@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.operators import chat, evaluation, evidence, retrieval, search, store, synthesis
+from lexmill.operators import chat, evaluation, evidence, lines, retrieval, search, store, synthesis
 from lexmill.plans import search_queries as Q
 from lexmill.plans import sql as S
 from lexmill.plans.corpus_queries import CLASSED_SQL, TITLES_SQL, documents, table
 from lexmill.plans.registry import query
 from lexmill.plans.talk_queries import messages
+from lexmill.session import shared_path
 from lexmill.sources import articles, lifecycle
 from lexmill.streaming import limiter
 
@@ -67,11 +70,13 @@ def search_one(spark, sf_dir):
     return search.search_articles(index_of(spark, sf_dir), one, 10, "hybrid")[0].select(*_COLUMNS)
 
 
-@query("search_preview", f"SELECT {', '.join(_COLUMNS)} FROM ({_mode_sql(_SPARSE)}) WHERE position <= 5 AND query_id % 50 = 0")
+@query("search_preview", f"SELECT {', '.join(_COLUMNS)} FROM ({_mode_sql(Q._top_sql(Q.SPARSE_SQL, 100))}) WHERE position <= 5")
 def search_preview(spark, sf_dir):
-    """The first five of a larger search, as the landing page shows them."""
-    queries = Q.search_queries(spark, sf_dir).filter("query_id % 50 = 0")
-    return search.search_articles(index_of(spark, sf_dir), queries, 5, "sparse")[0].filter("position <= 5").select(*_COLUMNS)
+    """The first five of a search for twenty, as the landing page shows them; the whole result is kept for the page of results."""
+    folder = shared_path(spark, f"results-{hashlib.md5(sf_dir.encode()).hexdigest()}-{spark.sparkContext.applicationId}")
+    request = {"queries": "benchmark", "top_k": 20, "mode": "sparse"}
+    found = search.stored_result(spark, folder, request, lambda: search.search_articles(index_of(spark, sf_dir), Q.search_queries(spark, sf_dir), 20, "sparse")[0].select(*_COLUMNS))
+    return found.filter("position <= 5")
 
 
 @query("hyde_queries", "SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'a paragraph for ' || item_id ELSE text END AS query FROM benchmark")
@@ -314,6 +319,24 @@ def ingest_failed(spark, sf_dir):
     return lifecycle.failed(files(spark, sf_dir)[1])
 
 
+_BATCH = 60
+_BATCHES_SQL = f"""
+WITH RECURSIVE c AS (SELECT doc_id // 40 AS part, doc_id, count(*) AS n FROM ({S.LINES}) WHERE {S.strip('line')} != '' GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id) AS r FROM c),
+b AS (SELECT part, doc_id, n, r, 0 AS k, n AS held FROM o WHERE r = 1
+  UNION ALL SELECT o.part, o.doc_id, o.n, o.r, CASE WHEN b.held >= {_BATCH} THEN b.k + 1 ELSE b.k END, CASE WHEN b.held >= {_BATCH} THEN o.n ELSE b.held + o.n END FROM b JOIN o ON o.part = b.part AND o.r = b.r + 1)
+SELECT part, k, count(*) AS documents, sum(n)::BIGINT AS chunks, min(doc_id) AS first_id, max(doc_id) AS last_id FROM b GROUP BY part, k
+"""
+
+
+@query("ingest_batches", _BATCHES_SQL)
+def ingest_batches(spark, sf_dir):
+    """The batches of an ingest, with lines as chunks: each ends with the document that fills it."""
+    chunks = lines.split_lines(documents(spark, sf_dir)).filter("line != ''").withColumn("part", F.floor(F.col("doc_id") / 40))
+    rows = lifecycle.document_batches(chunks.select("part", "doc_id"), _BATCH, "part").groupBy("batch.part", "batch.k", "doc_id").agg(F.count("*").alias("n"))
+    return rows.groupBy("part", "k").agg(F.count("*").alias("documents"), F.sum("n").alias("chunks"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+
+
 @query("ingest_dry_run")
 def ingest_dry_run(spark, sf_dir):
     rows, state = files(spark, sf_dir)

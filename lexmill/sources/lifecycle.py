@@ -6,9 +6,12 @@ only taken for unchanged if its chunks are there: a run that fails between is do
 
 from __future__ import annotations
 
+import logging
 import time
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from lexmill.sources.articles import accepted, path_metadata, point_id, rejected
 STATE = "path string, doc_id string, sha1 string, status string, run long"
 FATAL = (PermissionError, ValueError)
 
+logger = logging.getLogger(__name__)
+
 
 @dataclass
 class Manifest:
@@ -91,14 +96,18 @@ def run(spark: SparkSession, files: DataFrame, index: str, state_path: str, numb
     ok = True
     try:
         write_with_retries(lambda: upsert(old, kept).write.mode("overwrite").parquet(index), attempts, delay)
+    except FATAL:
+        raise
     except Exception:
+        logger.exception("run %d: the index could not be written; its documents are failed", number)
         ok = False
     status = F.when(F.col("chunked") & F.lit(ok), "processed").otherwise("failed")
     rows = p["todo"].select("path", "doc_id", "sha1").join(chunked.withColumn("chunked", F.lit(True)), "doc_id", "left").withColumn("chunked", F.coalesce("chunked", F.lit(False)))
     rows.select("path", "doc_id", "sha1", status.alias("status"), F.lit(number).cast("long").alias("run")).write.mode("overwrite").parquet(f"{state_path}/run={number}")
     now = spark.read.parquet(f"{state_path}/run={number}")
     n = {r["status"]: r["n"] for r in now.groupBy("status").agg(F.count("*").alias("n")).collect()}
-    written = spark.read.parquet(index).count() - (old.count() if old is not None else 0) if ok else 0
+    # the run's own rows, whether they are new or replace others
+    written = spark.read.parquet(index).join(p["good"].select("doc_id"), "doc_id", "left_semi").join(kept.select("point_id"), "point_id", "left_semi").count() if ok else 0
     total, chunks = files.count(), p["chunks"].count()
     tail = skipped_characters(p["good"]).agg(F.coalesce(F.sum("skipped"), F.lit(0))).first()[0]
     made = Manifest(number, n.get("processed", 0), n.get("failed", 0), written, total - sum(n.values()), chunks - written if ok else 0, tail, round(time.time() - began, 1), False)
@@ -139,14 +148,32 @@ def progress(done: int, total: int, chunks: int, elapsed: float) -> tuple[float,
     return rate, f"{left:.0f}s" if left < 60 else f"{left / 60:.1f}m" if left < 3600 else f"{left / 3600:.1f}h"
 
 
-def document_batches(chunks: DataFrame, size: int) -> DataFrame:
-    """Adds batch: documents of a part of the input in a row, as many as it takes to have ``size`` chunks; a batch ends with a document, so it may have more.
+def document_batches(chunks: DataFrame, size: int, part: str | None = None) -> DataFrame:
+    """Adds batch (part, k): documents of a part of the input in the order of their ids, gathered until they have ``size`` chunks or more; then the next batch starts.
 
-    Numbers are by part (spark_partition_id) and by documents in order within it; the running sum is over a part's documents, not over the table.
+    A part is what has one value of ``part`` (constant within a document), or one range of ids where there is none. Where a batch ends depends on where the last one did, so it is a fold over the counts of a part's
+    documents, which stream by in order; no part is held in memory.
     """
-    from pyspark.sql import Window
-
-    sizes = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("part", F.spark_partition_id())
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = sizes.select("doc_id", F.struct("part", F.floor(before / size).alias("k")).alias("batch"))
+    sizes = chunks.groupBy(*([F.col(part).alias("part")] if part else []), "doc_id").agg(F.count("*").alias("n"))
+    if part:
+        rows = sizes.repartition("part").sortWithinPartitions("part", "doc_id")
+    else:
+        rows = sizes.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(F.spark_partition_id().alias("part"), "doc_id", "n")
+    kinds = dict(rows.dtypes)
+
+    def flush(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, k, held, first = None, 0, 0, True
+        for batch in batches:
+            numbers = []
+            for p, n in zip(batch.column("part").to_pylist(), batch.column("n").to_pylist()):
+                if first or p != now:
+                    now, k, held, first = p, 0, 0, False
+                numbers.append(k)
+                held += n
+                if held >= size:
+                    k, held = k + 1, 0
+            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), pa.array(numbers, pa.int64())], names=["part", "doc_id", "k"])
+
+    # written down by the shuffle that the join needs, so that parts by range are made once
+    numbered = rows.mapInArrow(flush, f"part {kinds['part']}, doc_id {kinds['doc_id']}, k long").select("doc_id", F.struct("part", "k").alias("batch"))
     return chunks.join(numbered, "doc_id")

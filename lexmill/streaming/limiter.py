@@ -87,16 +87,32 @@ def health_state(probes: DataFrame) -> DataFrame:
     return probes.withColumn("state", F.when(F.col("status").isNull(), "offline").when(F.col("status") == "ok", "online").otherwise("degraded"))
 
 
-def limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0) -> DataFrame:
-    """The same on a stream of (client, request_id, ts), with the accepted times as state."""
+def limit_stream(requests: DataFrame, limit: int = 60, window: float = 60.0, delay: float | None = None, prefixes: tuple[str, ...] | None = None) -> DataFrame:
+    """The same on a stream of (client, request_id, ts), with the accepted times as state; with ``prefixes`` of the requests (method, path) in scope only.
+
+    The state of a client goes when the watermark, ``delay`` seconds (the window) behind the latest request, is past all that still counts, so there is state for the clients of
+    the last while only. Requests older than the watermark are left out.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    if prefixes is not None:
+        requests = in_scope(requests, prefixes)
+    kinds = dict(requests.dtypes)
+    rows = requests.select("client", "request_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", f"{window if delay is None else delay} seconds")
+
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="stable")
-        ok, held = fold(rows["ts"].astype("int64") / 1e9 if str(rows["ts"].dtype).endswith("ns]") else rows["ts"].map(lambda t: t.timestamp()), limit, window, held)
-        state.update((held,))
-        yield pd.DataFrame({"client": rows["client"], "request_id": rows["request_id"], "accepted": ok})
-
-    kinds = dict(requests.dtypes)
-    return requests.groupBy("client").applyInPandasWithState(update, f"client {kinds['client']}, request_id {kinds['request_id']}, accepted boolean", "held array<double>", "append", GroupStateTimeout.NoTimeout)
+        part = pd.concat(list(frames)).sort_values(["ts", "request_id"], kind="stable")
+        ok, held = fold(part["ts"].map(lambda t: t.timestamp()), limit, window, held)
+        ends = int((held[-1] + window) * 1000) + 1 if held else 0
+        if ends > state.getCurrentWatermarkMs():
+            state.update((held,))
+            state.setTimeoutTimestamp(ends)
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame({"client": part["client"], "request_id": part["request_id"], "accepted": ok})
+
+    return rows.groupBy("client").applyInPandasWithState(update, f"client {kinds['client']}, request_id {kinds['request_id']}, accepted boolean", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
