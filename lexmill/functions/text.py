@@ -19,10 +19,14 @@ def normalize_arabic(c: Column | str) -> Column:
 
 
 
+def token_runs(c: Column | str) -> Column:
+    """Runs of letters and digits of a normalised text, as they are."""
+    return F.regexp_extract_all(normalize_arabic(c), F.lit(P.TOKEN), F.lit(0))
+
+
 def tokens(c: Column | str) -> Column:
     """Index tokens: lower-cased runs of letters and digits without stop words; the list is compared after normalisation."""
-    found = F.regexp_extract_all(normalize_arabic(c), F.lit(P.TOKEN), F.lit(0))
-    return F.filter(F.transform(found, lambda t: F.lower(t)), lambda t: ~t.isin(P.STOP_WORDS))
+    return F.filter(F.transform(token_runs(c), lambda t: F.lower(t)), lambda t: ~t.isin(P.STOP_WORDS))
 
 
 def normalize_search(c: Column | str) -> Column:

@@ -9,11 +9,12 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import patterns as P
-from lexmill.functions.text import bigrams, bucket, coverage, cut_at_space, normalize_search, search_tokens, tokens
+from lexmill.functions.text import bigrams, bucket, coverage, cut_at_space, normalize_search, search_tokens, token_runs
 
 SMALL_ROWS = 500_000
 DIMENSIONS = 64
@@ -25,6 +26,12 @@ def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def on_driver(df: DataFrame, rows: int) -> tuple[DataFrame, pa.Table | None]:
+    """The frame as a local table, made once, and the table itself, if it has at most so many rows; else the frame as it is and None."""
+    got = df.limit(rows + 1).toArrow()
+    return (df.sparkSession.createDataFrame(got, schema=df.schema), got) if len(got) <= rows else (df, None)
+
+
 def metadata_filter(df: DataFrame, **equal: str | None) -> DataFrame:
     """Conjunction of equalities; empty values are no condition. Applied below the ranking, so it reaches the scan."""
     for name, value in equal.items():
@@ -35,10 +42,12 @@ def metadata_filter(df: DataFrame, **equal: str | None) -> DataFrame:
 
 def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
     """id, bucket, tf: the share of the chunk's tokens in each hash bucket."""
-    rows = chunks.select(id_col, tokens(text_col).alias("t")).select(id_col, F.size("t").alias("n"), F.explode("t").alias("token"))
-    # by token first, within the tasks that read: a token of a chunk is hashed once and few rows are shuffled
-    counted = rows.groupBy(id_col, "n", "token").agg(F.count("*").alias("k"))
-    return counted.groupBy(id_col, "n", bucket("token").alias("bucket")).agg(F.sum("k").alias("k")).select(id_col, "bucket", (F.col("k") / F.col("n")).alias("tf"))
+    # texts are dealt by id once; all that follows is by id as well, so nothing else is shuffled
+    found = chunks.select(id_col, F.col(text_col).alias("text")).repartition(id_col).select(id_col, F.explode(token_runs("text")).alias("token"))
+    kept = found.select(id_col, F.lower("token").alias("token")).filter(~F.col("token").isin(P.STOP_WORDS))
+    counted = kept.groupBy(id_col, "token").agg(F.count("*").alias("k"))  # a token of a chunk is hashed once
+    counted = counted.groupBy(id_col, bucket("token").alias("bucket")).agg(F.sum("k").alias("k"))
+    return counted.select(id_col, "bucket", (F.col("k") / F.sum("k").over(Window.partitionBy(id_col))).alias("tf"))
 
 
 def document_frequency(posts: DataFrame, n_chunks: Column | int) -> DataFrame:
@@ -57,9 +66,10 @@ def sparse_scores(queries: DataFrame, posts: DataFrame, idf: DataFrame, id_col:
     return sparse_scores_of(postings(queries, "query_id", "query"), posts, idf, id_col)
 
 
-def sparse_scores_of(query_posts: DataFrame, posts: DataFrame, idf: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """The same for postings of queries."""
-    q = small(query_posts.withColumnRenamed("tf", "q_tf").join(idf.select("bucket", "idf"), "bucket"))
+def sparse_scores_of(query_posts: DataFrame, posts: DataFrame, idf: DataFrame, id_col: str = "chunk_id", few: bool = False) -> DataFrame:
+    """The same for postings of queries; ``few`` says that they are known to be few, so that nothing is counted."""
+    q = query_posts.withColumnRenamed("tf", "q_tf").join(F.broadcast(idf.select("bucket", "idf")), "bucket")  # one row a bucket
+    q = F.broadcast(q) if few else small(q)
     met = posts.join(q, "bucket")
     return met.groupBy("query_id", id_col).agg(F.round(F.sum(F.col("q_tf") * F.col("tf") * F.col("idf")), 6).alias("score"))
 
@@ -78,6 +88,17 @@ def vectors_of(posts: DataFrame, dimensions: int = DIMENSIONS, id_col: str = "ch
     return found.filter("norm > 0").select(id_col, vector.alias("vector"))
 
 
+def unit_vectors_of(posts: pa.Table, dimensions: int = DIMENSIONS, id_col: str = "query_id") -> tuple[pa.Array, np.ndarray]:
+    """The same for the few postings of queries, on the driver: ids and their unit vectors."""
+    ids = pc.unique(posts.column(id_col).combine_chunks())
+    at = pc.index_in(posts.column(id_col).combine_chunks(), ids).to_numpy(zero_copy_only=False)
+    bucket_ = posts.column("bucket").to_numpy()
+    v = np.zeros((len(ids), dimensions))
+    np.add.at(v, (at, bucket_ % dimensions), (1 - 2 * (bucket_ // dimensions % 2)) * posts.column("tf").to_numpy())
+    norm = np.linalg.norm(v, axis=1)
+    return ids.filter(pa.array(norm > 0)), v[norm > 0] / norm[norm > 0][:, None]
+
+
 def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -102,7 +123,12 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "c
         return top_k(dense_scores(queries, vectors, id_col), k, id_col, partition)
     q = np.stack([np.asarray(v) for v in got.column("vector").to_pylist()])
     q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids.combine_chunks(), q))
+    return nearest_to(ids.combine_chunks(), q, dict(queries.dtypes)[partition], vectors, k, id_col, partition, block)
+
+
+def nearest_to(ids: pa.Array, q: np.ndarray, id_kind: str, vectors: DataFrame, k: int, id_col: str = "chunk_id", partition: str = "query_id", block: int = 256) -> DataFrame:
+    """The same for queries that the driver has: their ids (of a kind that Spark names so) and unit vectors."""
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
     rows = vectors.filter(F.size("vector") == q.shape[1]).select(id_col, F.transform("vector", lambda x: x.cast("double")).alias("vector"))
     kinds = dict(rows.dtypes)
 
@@ -127,7 +153,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, id_col: str = "c
         if best is not None:
             yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), pa.array(best[2].tolist(), type=part.column(id_col).type), pa.array(best[1])], names=[partition, id_col, "score"])
 
-    found = rows.mapInArrow(nearest, f"{partition} {dict(queries.dtypes)[partition]}, {id_col} {kinds[id_col]}, score double")
+    found = rows.mapInArrow(nearest, f"{partition} {id_kind}, {id_col} {kinds[id_col]}, score double")
     return top_k(found, k, id_col, partition)
 
 
@@ -147,22 +173,31 @@ def fuse(ranked: Mapping[str, DataFrame], k: int, id_col: str = "chunk_id", rrf_
     return top_k(scored, k, id_col)
 
 
-def rerank(candidates: DataFrame) -> DataFrame:
-    """Adds lexical, title_score and final score to (query_id, query, chunk_id, title, section, text, raw_score, rank), and the new order.
+#: What re-ranking needs to know of a chunk by itself; an index keeps it with its chunks.
+TERM_COLUMNS = ("t_tokens", "s_tokens", "b_tokens", "x_pairs", "x_norm", "t_norm")
 
-    Windows run within a query's candidates, whose number the caller has bound.
-    """
+
+def with_terms(chunks: DataFrame) -> DataFrame:
+    """Chunks (title, section, text) with TERM_COLUMNS."""
     body = F.substring("text", 1, 1800)
-    q, title, section = F.col("q_tokens"), F.col("t_tokens"), F.col("s_tokens")
-    rows = candidates.select("*", search_tokens("query").alias("q_tokens"), search_tokens("title").alias("t_tokens"), search_tokens("section").alias("s_tokens"), search_tokens(body).alias("b_tokens"))
-    rows = rows.select(
+    rows = chunks.select("*", search_tokens("title").alias("t_tokens"), search_tokens("section").alias("s_tokens"), search_tokens(body).alias("b_tokens"))
+    return rows.select(
         "*",
-        bigrams(q).alias("q_pairs"),
         bigrams(F.concat(F.slice("t_tokens", 1, 24), F.slice("b_tokens", 1, 48))).alias("x_pairs"),
-        normalize_search("query").alias("q_norm"),
         normalize_search(F.concat_ws(" ", "title", "section", body)).alias("x_norm"),
         normalize_search("title").alias("t_norm"),
     )
+
+
+def rerank(candidates: DataFrame) -> DataFrame:
+    """Adds lexical, title_score and final score to (query_id, query, chunk_id, title, section, text, raw_score, rank), and the new order.
+
+    TERM_COLUMNS are taken from the candidates where they have them, and aren't in the result. Windows run within a query's candidates, whose number the caller has bound.
+    """
+    out = [c for c in candidates.columns if c not in TERM_COLUMNS]
+    q, title, section = F.col("q_tokens"), F.col("t_tokens"), F.col("s_tokens")
+    rows = candidates if set(TERM_COLUMNS) <= set(candidates.columns) else with_terms(candidates)
+    rows = rows.withColumn("q_tokens", search_tokens("query")).withColumn("q_pairs", bigrams(q)).withColumn("q_norm", normalize_search("query"))
     rows = rows.withColumn("c_title", coverage(q, title)).withColumn("c_body", coverage(q, F.col("b_tokens"))).withColumn("c_section", coverage(q, section))
     rows = rows.withColumn("c_pairs", coverage(F.col("q_pairs"), F.col("x_pairs")))
     lexical = F.least(
@@ -181,7 +216,7 @@ def rerank(candidates: DataFrame) -> DataFrame:
     score = 0.45 * F.col("raw_norm") * damp + 0.25 * F.col("prior") * damp + 0.30 * F.col("lexical") - author
     rows = rows.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("rank"))
-    return rows.select(*candidates.columns, F.round("lexical", 4).alias("lexical_score"), F.round("c_title", 4).alias("title_score"), "score", F.row_number().over(order).alias("new_rank"))
+    return rows.select(*out, F.round("lexical", 4).alias("lexical_score"), F.round("c_title", 4).alias("title_score"), "score", F.row_number().over(order).alias("new_rank"))
 
 
 def confidence_gate(ranked: DataFrame) -> DataFrame:

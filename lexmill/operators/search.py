@@ -11,6 +11,8 @@ import hashlib
 import json
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ LONGEST_QUERY = 2000
 FETCH_MOST = 100
 #: Distinct buckets of a set of queries up to which they are pushed down to the scan as a list.
 PUSHED = 2000
+#: Results of a set of queries up to which the driver holds their ids and scores.
+RESULTS_MOST = 200_000
 # What a chunk row has, and what stands for a value left out.
 CHUNK_COLUMNS = {"chunk_id": "", "doc_id": "", "text": "", "title": "", "section": "", "chunk_index": 0, "journal_id": "", "char_len": 0}
 WARNING = "هذه النتائج أولية وقد تحتوي على تطابقات موضوعية عامة. جرّب إيقاف HyDE أو تضييق الاستعلام أو استخدام كلمات أكثر تحديداً."
@@ -80,8 +84,10 @@ def write_index(chunks: DataFrame, path: str, dimensions: int = retrieval.DIMENS
         if have is not None:
             return False
     mode = "overwrite"
-    with_defaults(chunks).drop("score").write.mode(mode).parquet(f"{path}/chunks")
-    rows = spark.read.parquet(f"{path}/chunks")
+    # sorted by id, by which results are looked up; with what re-ranking needs, so that no search reads words out of texts again
+    whole = with_defaults(chunks).drop("score").repartitionByRange("chunk_id").sortWithinPartitions("chunk_id")
+    retrieval.with_terms(whole).write.mode(mode).parquet(f"{path}/chunks")
+    rows = spark.read.parquet(f"{path}/chunks").drop(*retrieval.TERM_COLUMNS)
     posts = retrieval.postings(rows)
     # the stages below read postings, so texts are tokenised once
     posts.repartitionByRange("bucket").sortWithinPartitions("bucket").write.mode(mode).parquet(f"{path}/postings")
@@ -109,6 +115,7 @@ def index_dimensions(spark: SparkSession, path: str) -> int | None:
 
 def read_index(spark: SparkSession, path: str, ann: bool = False) -> dict[str, DataFrame | str]:
     index: dict[str, DataFrame | str] = {name: spark.read.parquet(f"{path}/{name}") for name in ("chunks", "postings", "idf", "vectors", "titles", "keywords")}
+    index["ranked"], index["chunks"] = index["chunks"], index["chunks"].drop(*retrieval.TERM_COLUMNS)
     return index | {"ann": f"{path}/ann"} if ann else index
 
 
@@ -126,9 +133,9 @@ def held_to(index: dict, title: str | None = None, phrase: bool = False, **equal
     return found
 
 
-def touched(posts: DataFrame, query_posts: DataFrame) -> DataFrame:
-    """Postings of the queries' buckets: few buckets go to the scan as a list, more go through the join that follows."""
-    own = [r["bucket"] for r in query_posts.select("bucket").distinct().limit(PUSHED + 1).collect()]
+def touched(posts: DataFrame, query_posts: DataFrame, known: pa.Table | None = None) -> DataFrame:
+    """Postings of the queries' buckets (``known``, if the driver has them): few buckets go to the scan as a list, more go through the join that follows."""
+    own = pc.unique(known.column("bucket")).to_pylist() if known is not None else [r["bucket"] for r in query_posts.select("bucket").distinct().limit(PUSHED + 1).collect()]
     return posts.filter(F.col("bucket").isin(own)) if len(own) <= PUSHED else posts
 
 
@@ -139,23 +146,40 @@ def search(index: dict[str, DataFrame], queries: DataFrame, top_k: int = 10, mod
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode: {mode}")
-    chunks = index["chunks"]
+    spark = queries.sparkSession
     within = held_to(index, title, phrase, **equal)
     n = (prefetch or 3 * top_k) if mode == "hybrid" else top_k
+    # queries are a stated set: while they are few, the driver holds them and what they come to, and nothing is counted or made twice
+    queries, asked = retrieval.on_driver(queries, retrieval.QUERIES_MOST)
+    q_posts, own = retrieval.postings(queries, "query_id", "query"), None
+    if asked is not None:
+        q_posts, own = retrieval.on_driver(q_posts, retrieval.SMALL_ROWS)
+    few = own is not None
     found = {}
-    q_posts = retrieval.postings(queries, "query_id", "query")
     if mode != "dense":
-        posts = touched(index["postings"], q_posts)
+        posts = touched(index["postings"], q_posts, own)
         posts = posts.join(within, "chunk_id", "left_semi") if within is not None else posts
-        found["sparse"] = retrieval.top_k(retrieval.sparse_scores_of(q_posts, posts, index["idf"]), n)
+        found["sparse"] = retrieval.top_k(retrieval.sparse_scores_of(q_posts, posts, index["idf"], few=few), n)
     if mode != "sparse":
-        q = retrieval.vectors_of(q_posts, retrieval.DIMENSIONS, "query_id")
+        vectors = index["vectors"] if within is None else index["vectors"].join(within, "chunk_id", "left_semi")
         if within is None and "ann" in index:
-            found["dense"] = vector_index.nearest(queries.sparkSession, index["ann"], q, n)
+            found["dense"] = vector_index.nearest(spark, index["ann"], retrieval.vectors_of(q_posts, retrieval.DIMENSIONS, "query_id"), n)
+        elif few:
+            ids, unit = retrieval.unit_vectors_of(own)
+            found["dense"] = retrieval.nearest_to(ids, unit, dict(queries.dtypes)["query_id"], vectors, n)
         else:
-            found["dense"] = retrieval.dense_top_k(q, index["vectors"] if within is None else index["vectors"].join(within, "chunk_id", "left_semi"), n)
+            found["dense"] = retrieval.dense_top_k(retrieval.vectors_of(q_posts, retrieval.DIMENSIONS, "query_id"), vectors, n)
     best = retrieval.fuse(found, top_k) if mode == "hybrid" else next(iter(found.values()))
-    rows = retrieval.small(best).join(chunks, "chunk_id").join(retrieval.small(queries), "query_id")
+    chunks = index.get("ranked", index["chunks"])
+    if few and len(asked) * top_k <= RESULTS_MOST:
+        # the results' chunks are looked up by id, which prunes what is read of them
+        got = best.toArrow()
+        best = F.broadcast(spark.createDataFrame(got, schema=best.schema))
+        ids = pc.unique(got.column("chunk_id"))
+        chunks = chunks.filter(F.col("chunk_id").isin(ids.to_pylist())) if len(ids) <= PUSHED else chunks
+    else:
+        best = retrieval.small(best)
+    rows = best.join(chunks, "chunk_id").join(F.broadcast(queries) if few else queries, "query_id")
     ranked = retrieval.rerank(rows.withColumnRenamed("score", "raw_score"))
     kept = retrieval.confidence_gate(ranked) if gated else ranked
     order = Window.partitionBy("query_id").orderBy("new_rank")

@@ -43,14 +43,14 @@ def index_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 def sparse(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
     index = index_of(spark, sf_dir)
     posts = index["postings"] if docs is None else index["postings"].join(docs.select(F.col("doc_id").alias("chunk_id")), "chunk_id", "left_semi")
-    q = retrieval.postings(search_queries(spark, sf_dir), "query_id", "query")
-    return retrieval.sparse_scores_of(q, search.touched(posts, q), index["idf"]).withColumnRenamed("chunk_id", "doc_id")
+    q, known = retrieval.on_driver(retrieval.postings(search_queries(spark, sf_dir), "query_id", "query"), retrieval.SMALL_ROWS)
+    return retrieval.sparse_scores_of(q, search.touched(posts, q, known), index["idf"], few=known is not None).withColumnRenamed("chunk_id", "doc_id")
 
 
 def candidates(spark: SparkSession, sf_dir: str, k: int = 3 * K) -> DataFrame:
-    top = retrieval.top_k(sparse(spark, sf_dir), k, "doc_id")
-    rows = retrieval.small(top).join(index_of(spark, sf_dir)["chunks"], "doc_id").join(retrieval.small(search_queries(spark, sf_dir)), "query_id")
-    return rows.select("query_id", "query", "chunk_id", "doc_id", "title", "section", "journal_id", "text", F.col("score").alias("raw_score"), "rank")
+    top, known = retrieval.on_driver(retrieval.top_k(sparse(spark, sf_dir), k, "doc_id"), search.RESULTS_MOST)
+    rows = (F.broadcast(top) if known is not None else top).join(index_of(spark, sf_dir)["ranked"], "doc_id").join(retrieval.small(search_queries(spark, sf_dir)), "query_id")
+    return rows.select("query_id", "query", "chunk_id", "doc_id", "title", "section", "journal_id", "text", F.col("score").alias("raw_score"), "rank", *retrieval.TERM_COLUMNS)
 
 
 def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
