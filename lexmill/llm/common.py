@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import hashlib
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -173,8 +174,42 @@ def _grow(n: int) -> None:
         _powers, _inverses = np.cumprod(a), np.cumprod(b)
 
 
+# The key of word hashes.
+_WORD_KEYS = (np.uint64(0x8F1BBCDC2F6A4C15), np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1))
+#: Bytes of a word up to which it is hashed in numpy, eight at a time with all others.
+LONG_WORD = 2048
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Keyed 64-bit hashes of words, the byte spans [start, end) of data: eight bytes at a time go through a mixer, so that no sums of bytes cancel out, whatever the words.
+
+    Words of up to eight bytes and one length have different hashes. Long words are hashed by BLAKE2b, one by one.
+    """
+    if not len(starts):
+        return np.zeros(0, dtype=np.uint64)
+    sizes = (ends - starts).astype(np.uint64)
+    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))  # the eight bytes from each place on
+    h = mix64(sizes ^ _WORD_KEYS[0])
+    at = np.flatnonzero(sizes <= LONG_WORD)
+    block = 0
+    while len(at):
+        left = sizes[at] - np.uint64(8 * block)
+        unused = np.uint64(8) - np.minimum(left, np.uint64(8))
+        v = eights[starts[at] + 8 * block] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * unused))
+        h[at] = mix64((h[at] ^ mix64(v + _WORD_KEYS[1])) * _WORD_KEYS[2])
+        block += 1
+        at = at[left > 8]
+    for k in np.flatnonzero(sizes > LONG_WORD):
+        h[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=_WORD_KEYS[1].tobytes()).digest(), "little")
+    return h
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans [start, end) of data, one pass over the bytes for any number of spans."""
+    """64-bit hashes of the byte spans [start, end) of data, one pass over the bytes for any number of spans.
+
+    A polynomial modulo 2^64, for spans of a few dozen bytes: longer ones can be made that have the same hash (see word_hashes).
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     _grow(len(data) + 1)

@@ -38,6 +38,7 @@ DEEPEST = 400
 # Fixed values of HTML: elements without content, without text, in running text, and what an opening tag closes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style head title template noscript svg math iframe object audio video canvas select textarea".split())
+FOREIGN = frozenset("svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES = {t: frozenset(["p"]) for t in "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 CLOSES |= {"li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
@@ -47,6 +48,7 @@ GROUPS = ["nav", "header", "footer", "aside", "article", "main", "section", "div
 
 _TOKEN = re.compile(r"[a-z]+")
 _BUCKETS = 24
+_LONG_NUMBER = re.compile("&#([0-9]{8,})")
 _PUNCTUATION = re.compile(r"[.,;:!?]")
 
 
@@ -64,11 +66,9 @@ class Page(HTMLParser):
         self.silent = 0
         self.edge = True
         self.linked = False
-        try:
-            self.feed(html)
-            self.close()
-        except (AssertionError, ValueError):  # what the parser gives up on ends the page
-            pass
+        # a number that no character has stands for one, as in HTML; longer ones are more than int() reads
+        self.feed(_LONG_NUMBER.sub(lambda m: f"&#{digits}" if len(digits := m[1].lstrip("0") or "0") < 8 else "&#1114112", html))
+        self.close()
         self.weight = [0] * len(self.tag)
         for k, t, _, _ in self.pieces:
             self.weight[k] += len(t.strip())
@@ -118,7 +118,9 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in SILENT and tag not in INLINE and self.tag[self.open[-1]] == tag:
+        # an element of SVG or MathML ends where it says so, those without text in HTML don't
+        ends = tag not in SILENT or tag in FOREIGN or self.silent and any(self.tag[k] in FOREIGN for k in self.open)
+        if tag not in VOID and tag not in INLINE and ends and self.tag[self.open[-1]] == tag:
             self._pop(len(self.open) - 1)
 
     def handle_endtag(self, tag: str) -> None:

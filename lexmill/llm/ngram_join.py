@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, span_hashes
+from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, word_hashes
 from lexmill.llm.components import connected_components
 
 WORDS = 5
@@ -76,7 +76,7 @@ def _chunk_sets(parts: list[bytes], words: int) -> list[np.ndarray]:
     inside = np.concatenate([[False], ~gap, [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    word = span_hashes(data, starts, ends)
+    word = word_hashes(data, starts, ends)
     begins = np.concatenate([[0], np.cumsum([len(p) + 1 for p in parts])])
     first = np.searchsorted(starts, begins)  # of each text's words
     n = len(word)

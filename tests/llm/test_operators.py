@@ -490,3 +490,58 @@ def test_pack_histogram_is_complete_and_tight():
     assert sum(packing.padding([sum(p)]) * n for p, n in patterns) < 0.005 * lengths.sum()
     sequence, offset = packing.Placement(patterns).find(lengths, np.zeros(len(lengths), dtype=np.int64))
     assert len(sequence) == len(lengths)
+
+
+# --- what the last changes mend ------------------------------------------------------------------------------
+
+
+def test_words_without_one_in_common_are_not_linked(spark):
+    """Words made so that sums of their bytes by any odd base are equal modulo 2^64."""
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    other = one.translate(str.maketrans("ab", "ba"))
+    texts = [" ".join(f"{'x' * (k % 2)}{word}{k}" for k in range(20)) for word in (one, other)]
+    assert not set(texts[0].split()) & set(texts[1].split())
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(docs(spark, texts + texts[:1])).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
+def test_word_hashes_are_of_the_word_alone():
+    from lexmill.llm.common import LONG_WORD, word_hashes
+
+    words_ = [b"a" * n for n in (1, 7, 8, 9, 16, 17, LONG_WORD, LONG_WORD + 1)] + [b"\0", b"\0\0", b"abcdefgh", b"abcdefgi", b"bacdefgh"]
+
+    def hashes(rows):
+        ends = np.cumsum([len(w) + 1 for w in rows]) - 1
+        return word_hashes(np.frombuffer(b" ".join(rows), dtype=np.uint8), ends - [len(w) for w in rows], ends).tolist()
+
+    found = hashes(words_)
+    assert len(set(found)) == len(words_)
+    assert hashes(words_[::-1]) == found[::-1] and hashes([b"other", *words_])[1:] == found
+    assert hashes([]) == []
+
+
+def page_text(html):
+    return " ".join(t.strip() for _, t, _, _ in html_text.Page(html).pieces if t.strip())
+
+
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<body><p>first</p><svg viewBox="0 0 1 1"/><p>second</p><div>third</div></body>', "first second third"),
+        ("<p>first</p><math/><svg><path/><style/><title>t</title></svg><p>second</p>", "first second"),
+        ("<p>a &#" + "1" * 5000 + "; b</p><p>c &#000000065; d</p>", "a � b c A d"),
+        ("<p>first</p><![foo[x]]><p>second &#99999999999;</p>", "first second �"),
+    ],
+)
+def test_nothing_after_odd_markup_is_lost(html, text):
+    assert page_text(html) == text
+
+
+def test_pages_of_articles_give_the_articles(spark):
+    """Pages that are written around texts of ``documents``, which the model hasn't seen, give these texts."""
+    articles = [" ".join(r["text"].split()) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) BETWEEN 300 AND 4000 AND text NOT LIKE '%<%' AND text NOT LIKE '%&%'").orderBy("doc_id").limit(40).collect()]
+    shell = "<html><head><title>t</title></head><body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><article><p>{}</p></article><div class='comments'><p>nice</p></div><footer><p>Copyright <a href='/c'>us</a></p></footer></body></html>"
+    model = html_text.train_extractor(html_text.made_pages())
+    pages = spark.createDataFrame([(k, "u", shell.format(a)) for k, a in enumerate(articles)], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, model).collect()}
+    assert sum(got[k] == a for k, a in enumerate(articles)) >= 0.9 * len(articles)
