@@ -12,8 +12,8 @@ Documents are read once for the windows; each word's hash is taken once, and win
 broadcast only while they are few (BROADCAST_ROWS); beyond that the join shuffles the documents' windows. Matches are aggregated by
 document and item, so a passage that a third of all documents share spreads over as many keys.
 
-Defined results: null and blank texts match nothing; null ids are carried through; rows that repeat an id are one document; repeated
-items each match by themselves; empty tables give empty results; columns other than id and text are ignored.
+Defined results: null and blank texts match nothing; very long texts are read whole; rows that repeat an id are one document; rows without an id are each judged by
+their own text, and those of equal text are one document; repeated items each match by themselves; empty tables give empty results; columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -123,7 +123,9 @@ def find_contaminated(
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).filter("text IS NOT NULL").withColumn("id", F.monotonically_increasing_id())
     items = keep(_hashed(items, "item", "text").filter(F.size("words") > 0).withColumn("size", F.least(F.size("words"), F.lit(window))), "items")
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # WINDOW values at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # a row is known by its id, or where it has none by its text, so that no join loses it and no two of them mix
+    id_, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    rows = docs.select(F.struct(id_.alias("id"), F.when(id_.isNull(), F.sha2(text, 256)).alias("text")).alias("id"), text.alias("text"))
     if not sizes:
         sizes = [window]
     own = items.select("id", "item", "size", F.explode(_windows(sizes)).alias("x"))
@@ -160,7 +162,7 @@ def find_contaminated(
         judged = covered.join(told, ["id", "key"], "left").fillna(0, ["n_slots", "n_contradicted", "n_changed"])
         judged = judged.join(apart, ["id", "key"], "left_anti").unionByName(judged.join(apart, ["id", "key"], "left_semi").filter("n_slots > 0"))
     return judged.filter(F.col("n_contradicted") <= CONTRADICTED * F.col("n_slots")).select(
-        F.col("id").alias(id_col),
+        F.col("id.id").alias(id_col),
         F.col("item").alias(item_col),
         "n_windows",
         "n_matched",

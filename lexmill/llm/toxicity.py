@@ -1,7 +1,9 @@
 """Toxicity by a subsequence string kernel: a support vector machine on Nyström landmarks, learned from labelled sentences.
 
-The unit that the kernel compares is what stands between white space in a sentence, lower-cased and without outer punctuation; runs
-of single letters are one unit, as are long units cut with an overlap. The kernel counts shared subsequences of three characters,
+The unit that the kernel compares is what stands between white space in a sentence, in compatibility form (so that mathematical, full-width and
+circled letters are plain ones), lower-cased and without outer punctuation; runs of single letters are one unit. What stands apart by as many gap
+characters as no subsequence spans makes units of its own. Longer units are taken in windows of ``LONGEST`` characters, one from every ``STEP``
+on, so that a stretch of up to ``LONGEST - STEP + 1`` characters lies whole in one wherever it stands. The kernel counts shared subsequences of three characters,
 each worth ``DECAY`` to the power of the characters that it skips, normalised; characters that are neither letters nor digits only
 widen gaps. So an insult with letters put in or taken apart stays near the insult.
 
@@ -11,9 +13,10 @@ machine on the landmarks' features K_mm^(-1/2) k(x) is then folded into one weig
 unit takes its own triples and no landmark; the largest unit score of a document becomes a probability by a logistic curve.
 
 Training runs on the driver on at most ``per_class`` labelled documents of either label, those first by a hash of the id; the
-sample is joined by broadcast, as its size has that bound. Scoring is one narrow pass over whole texts, without a shuffle.
+sample is joined by broadcast, as its size has that bound; of rows that repeat an id the greatest text is learned from. Scoring is one narrow pass over whole texts, without a shuffle.
 
-Defined results: a null or empty text has no unit and scores as the least toxic unit seen; null labels are not learned
+Defined results: a null or empty text has no unit and scores as the least toxic unit seen; very long texts are scored whole, as are very long words; a null id
+stays and is judged by its text; null labels are not learned
 from; without both labels nothing is toxic (score 0); repeated rows score alike; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -22,6 +25,7 @@ from __future__ import annotations
 import itertools
 import re
 import string
+import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -37,26 +41,30 @@ PER_CLASS = 2000
 DECAY = 0.6
 SPAN = 7
 LONGEST = 24
-STEP = 16
+STEP = 4
 LANDMARKS = 200
-#: What a Python worker holds: chunks in its cache, bytes of text at a time.
-CACHE_CHUNKS = 200_000
+#: What a Python worker holds: chunks in its cache and their characters, bytes of text at a time.
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 1 << 23
 SLICE_BYTES = 1 << 22
 FOLDS, HELD_OUT = 5, 0
 
-_KNOWN = string.ascii_lowercase + "äöüßéèêëàâçñíóúáîïôûœæ"
-_SIZE = 64
-_START, _END = 62, 63
+#: Letters with a code each: Latin, Arabic without the stretching mark, and Cyrillic.
+_ARABIC = "".join(map(chr, [*range(0x621, 0x63B), *range(0x641, 0x64B)]))
+_KNOWN = string.ascii_lowercase + "äöüßéèêëàâçñíóúáîïôûœæ" + _ARABIC + "".join(map(chr, range(0x430, 0x450)))
+_SHARED = 9
+_SIZE = 128
+_START, _END = 126, 127
 _CODE = {c: i + 1 for i, c in enumerate(_KNOWN)}
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
+_WIDE = re.compile(r"[\W_]{%d,}" % (SPAN - 1))
 
 
 def _code(c: str) -> int:
     """0: only a gap. Digits and letters outside the list share codes."""
     if c in _CODE:
         return _CODE[c]
-    return 50 + ord(c) % 11 if c.isalnum() else 0
+    return len(_KNOWN) + 1 + ord(c) % _SHARED if c.isalnum() and c != "\u0640" else 0
 
 
 _CODES = np.array([_code(chr(c)) for c in range(0x10000)], dtype=np.int32)
@@ -69,11 +77,14 @@ def sentences(text: str) -> list[str]:
 
 
 def chunk_units(chunk: str) -> list[str]:
-    """The units of what stands between white space: the word without outer punctuation, cut with an overlap where long; none for a single character."""
-    w = chunk if chunk.isalnum() else _OUTER.sub("", chunk)
-    if len(w) <= LONGEST:
-        return [w] if len(w) > 1 else []
-    return [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST + STEP, STEP)]
+    """The units of what stands between white space: the word without outer punctuation, parted at wide gaps, in windows where long; none for a single character."""
+    found = []
+    for w in [chunk] if chunk.isalnum() else _WIDE.split(_OUTER.sub("", chunk)):
+        if len(w) > LONGEST:
+            found += [w[i : i + LONGEST] for i in range(0, len(w) - LONGEST + STEP, STEP)]
+        elif len(w) > 1:
+            found.append(w)
+    return found
 
 
 def runs(text: str) -> list[str]:
@@ -87,7 +98,7 @@ def runs(text: str) -> list[str]:
 
 def chunks(text: str) -> set[str]:
     """What the units of a text come from, each once."""
-    text = text.lower()
+    text = (text if text.isascii() else unicodedata.normalize("NFKC", text)).lower()
     return {*text.split(), *runs(text)}
 
 
@@ -117,6 +128,9 @@ def features(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
             codes = np.empty((len(own), n + 2), dtype=np.int32)
             codes[:, 0], codes[:, -1] = _START, _END
             codes[:, 1:-1] = _CODES[np.minimum(points, 0xFFFF)]
+            far = points > 0xFFFF
+            if far.any():
+                codes[:, 1:-1][far] = [_code(chr(p)) for p in points[far].tolist()]
             triple = (codes[:, i] * _SIZE + codes[:, j]) * _SIZE + codes[:, k]
             if codes.all():
                 weight = np.broadcast_to(place / max(np.sqrt(place @ place), 1e-6), triple.shape)
@@ -261,7 +275,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     usable = usable.groupBy("k").agg(F.max("y").alias("y"))
     parts = [usable.filter(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(per_class) for v in (0, 1)]
     sample = parts[0].unionByName(parts[1])
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k").toPandas()
+    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
+    rows = rows.groupBy("k", "y").agg(F.max("t").alias("t")).toPandas()
     rows = rows.assign(t=rows["t"].fillna("")).sort_values(["k", "t"], kind="stable")
     return ToxicityModel().fit(rows["t"].tolist(), rows["y"].tolist())
 
@@ -275,14 +290,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         cache: dict[str, float] = {}
+        held = 0
         for batch in (b for whole in batches for b in sliced(whole, "__text", SLICE_BYTES)):
             texts = batch.column("__text").to_pylist()
             top = np.full(len(texts), m.floor)
             for lo in range(0, len(texts), 512):
                 bags = [chunks(t or "") for t in texts[lo : lo + 512]]
-                if len(cache) > CACHE_CHUNKS:
+                if len(cache) > CACHE_CHUNKS or held > CACHE_CHARS:
                     cache.clear()
+                    held = 0
                 new = [c for c in set().union(*bags) if c not in cache]
+                held += sum(map(len, new))
                 parts = [chunk_units(c) for c in new]
                 found = iter(decide([u for p in parts for u in p], m.theta, m.bias).tolist())
                 cache.update((c, max((next(found) for _ in p), default=m.floor)) for c, p in zip(new, parts))

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -425,6 +426,45 @@ def test_decontamination(spark):
     assert decontaminate.find_contaminated(docs(spark, texts).limit(0), bench).count() == 0
 
 
+def test_toxicity_units_of_any_length_and_script(spark):
+    assert toxicity.units("𝒷𝓁𝑜𝓇𝑔 ｂｌｏｒｇ ⓑⓛⓞⓡⓖ") == ["blorg"]
+    assert set(toxicity.units("x" * 3 + "-" * 9 + "b-l-o-r-g" + "_" * 40 + "yy")) == {"xxx", "b-l-o-r-g", "yy"}
+    part = "b-l-o-r-g-f-a-c-e"
+    for before, after in itertools.product(range(0, 60, 7), repeat=2):
+        assert any(part in u and len(u) <= toxicity.LONGEST for u in toxicity.units("q" * before + part + "q" * after))
+    codes = [toxicity._code(c) for c in toxicity._KNOWN]
+    assert len(set(codes)) == len(codes) and max(toxicity._code(chr(c)) for c in range(0x3000)) < toxicity._START
+    assert toxicity._code("\u0640") == toxicity._code("-") == 0
+    # letters beyond the basic plane are no gaps
+    a, b = (toxicity._kernel([w], [w])[0, 0] for w in ("\U00010330\U00010331\U00010332", "abc"))
+    assert abs(a - 1) < 1e-5 and abs(b - 1) < 1e-5
+
+
+def test_toxicity_takes_odd_rows(spark):
+    clean, toxic = "the garden was green and quiet", "you blorgface you"
+    texts = [clean, toxic] * 40
+    labels = spark.createDataFrame([(k, k % 2) for k in range(80)] + [(3, 1), (7, None)], "doc_id long, toxic int")
+    rows = docs(spark, [*texts, toxic, clean, toxic, "s" * 50_000 + " " + toxic, None], [*range(80), None, None, 1, 81, 82])
+    model = toxicity.train_toxicity(rows, labels)
+    got = [(r["doc_id"], r["predicted"]) for r in toxicity.score_toxicity(rows, model).collect()]
+    assert got[80:] == [(None, 1), (None, 0), (1, 1), (81, 1), (82, 0)]
+    assert [p for _, p in got[:80]] == [0, 1] * 40
+
+
+def test_decontamination_of_rows_without_id(spark):
+    item = "A farmer named Jones has 24 cows and 310 sheep in 5 wide green fields near the old stone mill"
+    changed = "A farmer named Smith has 81 cows and 977 sheep in 9 wide green fields near the old stone mill"
+    other = "A farmer named Jones has 24 cows and " + words(4)
+    texts = [item, changed, changed, other, None, words(6)]
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    columns = ("item_id", "n_windows", "n_matched", "n_slots", "n_contradicted", "kind")
+    with_ids = {r["doc_id"]: tuple(r[c] for c in columns) for r in decontaminate.find_contaminated(docs(spark, texts), bench).collect()}
+    without = [(r["doc_id"], *(r[c] for c in columns)) for r in decontaminate.find_contaminated(docs(spark, texts, [None] * len(texts)), bench).collect()]
+    assert set(with_ids) == {0, 1, 2} and with_ids[1][-1] == "reparameterised"
+    # each text by itself, for each of the two items; equal texts are one
+    assert sorted(without) == sorted((None, *with_ids[k]) for k in (0, 1) for _ in range(2))
+
+
 def test_decontamination_judges_each_occurrence(spark):
     item = "Alice has 12 apples and gives 5 apples to the boy Robert, so how many apples out of 12 does she keep after walking 3 km today?"
     series = "Find the next number in the series 2, 3, 5, 7, 11, 13, 17, 19, 23, 29, 31, 37 please."
