@@ -207,7 +207,8 @@ def find_in_document(docs: DataFrame, terms: list[str]) -> DataFrame:
     """
     asked = docs.sparkSession.range(1).select(phrase_words(F.lit(" ".join(terms))).alias("t")).first()["t"]
     n, none = len(asked), F.array().cast("array<int>")
-    rows = docs.select("doc_id", document_words("text").alias("w"))
+    # generated: a filter on the result, as explode() brings one, would put the words' making into the lambda, once a place
+    rows = docs.select("doc_id", F.explode(F.array(document_words("text"))).alias("w"))
     if not n:
         return rows.select("doc_id", none.alias("starts"))
     # places where the first term fits, then all of them

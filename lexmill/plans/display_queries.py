@@ -29,6 +29,23 @@ def title_slugs(spark, sf_dir):
     return line_hits(spark, sf_dir).select("doc_id", "line_no", display.slug("line").alias("slug"))
 
 
+_HEADING = r"^[\p{L}\p{N}][^\r\n]{0,59}$"
+
+
+@query(
+    "outline",
+    rf"""SELECT doc_id, list(slug ORDER BY line_no) AS ids, list(title ORDER BY line_no) AS titles FROM (
+    SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY line_no) AS k FROM (
+      SELECT doc_id, line_no, {S.strip('line')} AS title, 'syn-' || regexp_replace(regexp_replace({S.strip('line')}, '\s+', '-', 'g'), '[^\p{{L}}\p{{N}}-]', '', 'g') AS slug FROM ({S.LINES}) WHERE regexp_matches(line, '{_HEADING}')))
+    WHERE k = 1 GROUP BY doc_id""",
+)
+def outline(spark, sf_dir):
+    """Short lines as headings of a markdown text in a fence; headings with one id are one."""
+    made = F.concat(F.lit("```markdown\n"), F.regexp_replace("text", f"(?m){_HEADING}", "### $0"), F.lit("\n```"))
+    found = documents(spark, sf_dir).select("doc_id", display.outline(display.without_fence(made)).alias("o")).filter("size(o) > 0")
+    return found.select("doc_id", F.col("o.id").alias("ids"), F.col("o.title").alias("titles"))
+
+
 @query("score_bars", f"SELECT query_id, chunk_id, CASE WHEN max(score) OVER w > 0 THEN round(least(100.0, score / max(score) OVER w * 100), 4) ELSE 0 END AS bar FROM ({_HITS}) WINDOW w AS (PARTITION BY query_id)")
 def score_bars(spark, sf_dir):
     return display.score_bar(line_hits(spark, sf_dir)).select("query_id", "chunk_id", "bar")

@@ -43,4 +43,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from lexmill.plans import corpus_queries, display_queries, search_queries, talk_queries, tool_queries  # noqa: F401
+    from lexmill.plans import corpus_queries, display_queries, page_queries, search_queries, talk_queries, tool_queries  # noqa: F401

@@ -42,6 +42,21 @@ def last_assistant(spark, sf_dir):
     return conversations.without_last_answer(messages(spark, sf_dir)).select("conv_id", "turn", "role")
 
 
+@query(
+    "recent_turns",
+    """SELECT conv_id, turn, role, back, CASE WHEN back <= 6 THEN 'query' ELSE 'document' END AS goes_into FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC)::INT AS back FROM conversations) WHERE back <= 40""",
+)
+def recent_turns(spark, sf_dir):
+    """The last six turns rewrite a query, the last forty go into a chat about one document."""
+    return conversations.recent(messages(spark, sf_dir), 40).select("conv_id", "turn", "role", "back", F.when(F.col("back") <= 6, "query").otherwise("document").alias("goes_into"))
+
+
+@query("without_open_question", "SELECT conv_id, turn FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) WHERE NOT (turn = last AND role = 'user')")
+def without_open_question(spark, sf_dir):
+    return conversations.without_open_question(messages(spark, sf_dir)).select("conv_id", "turn")
+
+
 @query(
     "token_cost",
     """SELECT conv_id, tokens_in, tokens_out, round((tokens_in * 0.15::DOUBLE + tokens_out * 0.60::DOUBLE) / 1e6, 8) AS cost,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexmill.operators import chat, evaluation, evidence, lines, retrieval, search, store, synthesis
@@ -86,6 +86,18 @@ def hyde_queries(spark, sf_dir):
     return search.with_hypotheses(queries, written)
 
 
+_WRITTEN = "WITH hypothetical AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN coalesce(lead(text) OVER (ORDER BY item_id), text) ELSE text END AS text FROM benchmark) "
+
+
+@query("hypothesis_search", _WRITTEN + f"SELECT {', '.join(_COLUMNS)} FROM ({_mode_sql(_SPARSE)}) WHERE position <= 5".replace("benchmark", "hypothetical"))
+def hypothesis_search(spark, sf_dir):
+    """A search with hypotheses: for every other query another passage stands for what a model would write, and is searched and ranked by."""
+    queries = Q.search_queries(spark, sf_dir)
+    following = F.lead("query").over(Window.orderBy("query_id"))  # of the benchmark, a table of fixed size
+    written = queries.select("query_id", F.when(F.col("query_id") % 2 == 0, following).alias("hypothesis"))
+    return search.search_articles(index_of(spark, sf_dir), search.with_hypotheses(queries, written), 5, "sparse")[0].select(*_COLUMNS)
+
+
 @query("index_scroll", "SELECT doc_id AS chunk_id, source AS journal_id FROM documents WHERE source = 'src1' ORDER BY doc_id LIMIT 20")
 def index_scroll(spark, sf_dir):
     """A page of the table: the first 20 of a journal."""

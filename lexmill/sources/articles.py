@@ -119,7 +119,8 @@ def matched_words(*found: DataFrame) -> DataFrame:
 def page_lines(articles: DataFrame, dpi: float = 200.0) -> DataFrame:
     """doc_id, page, content, left, top of the lines of each page that have an area, numbered from top to bottom."""
     rows = articles.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.pageNumber").alias("page"), F.posexplode("p.lines").alias("i", "line")).filter("size(line.polygon) >= 8")
-    xs, ys = (F.filter(F.slice("line.polygon", 1, 8), lambda v, i, k=k: i % 2 == k) for k in (0, 1))
+    corners = F.slice("line.polygon", 1, 8)
+    xs, ys = F.filter(corners, lambda v, i: i % 2 == 0), F.filter(corners, lambda v, i: i % 2 == 1)
     box = {"left": F.array_min(xs), "top": F.array_min(ys), "right": F.array_max(xs), "bottom": F.array_max(ys)}
     rows = rows.select("doc_id", "page", "i", F.col("line.content").alias("content"), *[(c * dpi).alias(n) for n, c in box.items()])
     rows = rows.filter("right - left >= 1 AND bottom - top >= 1")
@@ -141,7 +142,7 @@ def page_layout(articles: DataFrame, raster: DataFrame | None = None) -> DataFra
 
 
 def read_files(spark: SparkSession, root: str, pattern: str = "*.pdf") -> DataFrame:
-    """path, length, sha1 and etag (MD5 of the first 1024 bytes) of files, with their content; the hashes leave a scan's other columns unread."""
+    """path, length, sha1 and etag (MD5 of the first 1024 bytes) of files, with their content; the hashes leave a scan's other columns unread. Empty files are passed over, as Spark's scans do."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
     return rows.select("path", "length", F.sha1("content").alias("sha1"), F.md5(F.substring("content", 1, 1024)).alias("etag"), "content")
 

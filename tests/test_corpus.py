@@ -2,9 +2,11 @@ from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lexmill.functions import display
 from lexmill.functions import text as X
-from lexmill.operators import chunking, citations, conversations, evidence, lines, retrieval
+from lexmill.operators import chat, chunking, citations, conversations, evaluation, evidence, lines, retrieval, search, store, synthesis
 from lexmill.sources import articles
 from lexmill.streaming import limiter
 
@@ -343,3 +345,86 @@ def test_guards_and_clients(spark):
     assert [r[0] for r in rows.select(limiter.client_key("fwd", "peer")).collect()] == ["1.1.1.1", "p", "p", "unknown"]
     probes = spark.createDataFrame([("ok",), ("slow",), (None,)], "status string")
     assert [r["state"] for r in limiter.health_state(probes).collect()] == ["online", "degraded", "offline"]
+
+
+def test_lines_of_a_page_from_top_to_bottom(spark):
+    def line(content, top, height=0.5):
+        return {"content": content, "polygon": [1.0, top, 3.0, top, 3.0, top + height, 1.0, top + height]}
+
+    page = {"pageNumber": 2, "lines": [line("c", 3.0), line("a", 1.0), line("flat", 1.5, 0.001), line("b", 1.0), {"content": "no box", "polygon": [1.0]}, {"content": "none"}]}
+    found = spark.createDataFrame([("d", "", [page]), ("e", "", None)], T.StructType([T.StructField("doc_id", T.StringType()), *articles.ARTICLE.fields]))
+    got = sorted((r["doc_id"], r["page"], r["line_no"], r["content"], r["left"], r["top"]) for r in articles.page_lines(found).collect())
+    assert got == [("d", 2, 1, "a", 200.0, 200.0), ("d", 2, 2, "b", 200.0, 200.0), ("d", 2, 3, "c", 200.0, 600.0)]
+
+
+def test_pages_with_a_match_or_all(spark):
+    words = spark.createDataFrame([("a", 1, 0), ("a", 2, 1), ("a", 2, 2), ("b", 1, 0), ("b", 2, 1)], "doc_id string, page int, word_index int")
+    pages = words.select("doc_id", "page").distinct()
+    one_, two = (spark.createDataFrame(x, "doc_id string, word_index int") for x in ([("a", 1)], [("a", 1), ("a", 2)]))
+    matches = articles.matched_words(one_, two)
+    assert sorted(map(tuple, matches.collect())) == [("a", 1), ("a", 2)]
+    assert sorted(map(tuple, articles.pages_to_show(pages, words, matches).collect())) == [("a", 2), ("b", 1), ("b", 2)]
+    assert sorted(map(tuple, articles.pages_to_show(pages, words, matches.limit(0)).collect())) == [("a", 1), ("a", 2), ("b", 1), ("b", 2)]
+
+
+def test_files_by_their_hashes(spark, tmp_path):
+    import hashlib
+
+    (tmp_path / "x").mkdir()
+    held = {"a.pdf": b"p" * 5000, "x/b.pdf": b"", "x/c.txt": b"t"}
+    for name, content in held.items():
+        (tmp_path / name).write_bytes(content)
+    got = {r["path"].rsplit("/", 1)[1]: (r["length"], r["sha1"], r["etag"]) for r in articles.read_files(spark, str(tmp_path)).collect()}
+    assert got == {n.split("/")[-1]: (len(c), hashlib.sha1(c).hexdigest(), hashlib.md5(c[:1024]).hexdigest()) for n, c in held.items() if n.endswith("pdf") and c}
+
+
+def test_messages_of_older_files(spark, tmp_path):
+    old = spark.createDataFrame([("m1", "c", "user", "hi")], "msg_id string, conv_id string, role string, text string")
+    new = spark.createDataFrame([("m2", "c", "assistant", "yo", "{}")], "msg_id string, conv_id string, role string, text string, meta_json string")
+    for df in (old, new):
+        df.write.mode("append").parquet(str(tmp_path / "m"))
+    got = {r["msg_id"]: (r["text"], r["meta_json"], r["created_at"]) for r in store.read_messages(spark, str(tmp_path / "m")).collect()}
+    assert got == {"m1": ("hi", None, None), "m2": ("yo", "{}", None)}
+
+
+def test_analyses_come_from_the_cache(spark):
+    raw = spark.createDataFrame([("a", '```json\n{"x": 1}\n```'), ("b", "{broken"), ("c", '{"x": 3}'), ("d", None)], "doc_id string, raw string")
+    cache = spark.createDataFrame([("c", '{"x":9}'), ("z", '{"x":0}')], "doc_id string, analysis string")
+    shown, kept = chat.analysis(raw, cache)
+    assert {tuple(r) for r in shown.collect()} == {("a", '{"x":1}'), ("c", '{"x":9}')}
+    assert {r["doc_id"] for r in kept.collect()} == {"a", "c", "z"}
+    assert {tuple(r) for r in chat.analysis(raw)[0].collect()} == {("a", '{"x":1}'), ("c", '{"x":3}')}
+
+
+def test_shares_of_words_in_common(spark):
+    rows = [(1, "The cat, the mat.", "cat on a mat"), (2, "one", ""), (3, "", "one"), (4, None, "one")]
+    got = {r["sample_id"]: (r["context_recall"], r["context_precision"]) for r in evaluation.lexical_recall(spark.createDataFrame(rows, "sample_id int, reference string, contexts string")).collect()}
+    assert got[1] == (0.666667, 0.5) and got[2] == (0.0, None) and got[3] == (None, 0.0) and got[4] == (None, None)
+
+
+def test_sources_and_payloads_have_plain_fields(spark):
+    schema = "query_id int, chunk_id string, doc_id string, text string, title string, section string, journal_id string, score string, chunk_index string, char_len string"
+    row = synthesis.as_sources(spark.createDataFrame([(1, " c ", "d", None, " t", "", None, "0.5", "x", None)], schema)).first().asDict()
+    assert row == {"query_id": 1, "chunk_id": "c", "doc_id": "d", "text": "", "title": "t", "section": "", "journal_id": "", "score": 0.5, "chunk_index": 0, "char_len": 0}
+    chunks = spark.createDataFrame([("k1", "0001-002-003-004", "x", "s", 1, 0), ("k2", "odd", "y", "s", 1, 0)], "chunk_id string, doc_id string, text string, section string, char_len int, chunk_index int")
+    titles = spark.createDataFrame([("0001-002-003-004", "T")], "doc_id string, title string")
+    got = {r["chunk_id"]: r for r in search.chunk_payload(chunks, titles, articles.path_metadata("doc_id")).collect()}
+    assert (got["k1"]["title"], got["k1"]["journal_id"], got["k1"]["article_num"]) == ("T", "0001", "004")
+    assert (got["k2"]["title"], got["k2"]["journal_id"]) == ("", None)
+
+
+def test_fences_outlines_and_dialect(spark):
+    text = "```markdown\n### First one \nx\n### Second\n#### no\n### First one\n```"
+    df = spark.createDataFrame([(text, ["w", "x"])], "t string, w array<string>")
+    r = df.select(display.outline(display.without_fence("t")).alias("o"), display.rewrite_dialect(F.col("w"), {"w": "v"}).alias("d"), display.rewrite_dialect(F.col("w"), {}).alias("e")).first()
+    assert [tuple(x) for x in r["o"]] == [("syn-First-one", "First one"), ("syn-Second", "Second")]
+    assert (r["d"], r["e"]) == (["v", "x"], ["w", "x"])
+    assert synthesis.document_limits(2, 1) == (16, 48) and synthesis.document_limits(4, 10) == (40, 120) and synthesis.chunk_limits(5) == (20, 60) and synthesis.chunk_limits(1) == (5, 15)
+
+
+def test_turns_for_a_query_and_without_the_open_question(spark):
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant") for t in range(9)] + [(2, 0, "user"), (2, 1, "assistant")]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string")
+    assert sorted(r["turn"] for r in conversations.recent(df, 6).filter("conv_id = 1").collect()) == [3, 4, 5, 6, 7, 8]
+    left = conversations.without_open_question(df).collect()
+    assert sorted((r["conv_id"], r["turn"]) for r in left) == [*((1, t) for t in range(8)), (2, 0), (2, 1)]
