@@ -44,8 +44,10 @@ MORE = 20
 ALIKE = 0.3
 #: Rounds in which each class tries the likeliest of its lists' heads.
 HEADS = 4
-#: Rounds in which each class tries its likeliest partner, before all that are left are tried.
-ROUNDS = 2
+#: Rounds in which each class tries its likeliest partner and some others, before all that are left are tried.
+ROUNDS = 3
+#: How many others: enough that classes of which each is like a part of the others only are soon one component.
+OTHERS = 6
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -322,11 +324,13 @@ def _left_pairs(rest: DataFrame) -> DataFrame:
     return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h"), MORE), "places"), NUM, DEN, _short)
 
 
-def _best_pairs(pairs: DataFrame) -> DataFrame:
-    """For each class its pair with most room for an overlap: a row for each class at most."""
-    pair = F.struct("room", "a", "b").alias("pair")
-    ends = pairs.select(F.col("a").alias("cid"), pair).unionByName(pairs.select(F.col("b").alias("cid"), pair))
-    return ends.groupBy("cid").agg(F.max("pair").alias("pair")).select("pair.a", "pair.b").distinct()
+def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """For each class its pair with most room for an overlap, and OTHERS by a hash, another one each round: so many rows for each class at most."""
+    pair = F.struct("a", "b").alias("pair")
+    ends = pairs.select(F.col("a").alias("cid"), "room", pair).unionByName(pairs.select(F.col("b").alias("cid"), "room", pair))
+    orders = [F.struct("room", "pair"), *[F.struct(F.xxhash64("pair", F.lit(k * OTHERS + i)).alias("room"), "pair") for i in range(OTHERS)]]
+    some = ends.groupBy("cid").agg(*[F.max(order).alias(f"o{i}") for i, order in enumerate(orders)])
+    return some.select(F.explode(F.array(*[f"o{i}.pair" for i in range(len(orders))])).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -374,7 +378,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if not across.limit(1).count():
             break
         # the likeliest pairs first, as each link makes others needless; in the end all that are left
-        now = keep(_best_pairs(across), "tried") if k < ROUNDS else across.select("a", "b")
+        now = keep(_best_pairs(across, k), "tried") if k < ROUNDS else across.select("a", "b")
         links = links.unionByName(_verify(now, sets))
         roots = connected_components(links)
         if k < ROUNDS:
