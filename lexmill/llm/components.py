@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BROADCAST_ROWS, drop_kept, keep
 
+#: Rounds in which each node tries its likeliest partner and some others, before all pairs that are left are tried.
+ROUNDS = 3
+#: How many others: enough that nodes of which each is like a part of the others only are soon one component.
+OTHERS = 6
+
 
 def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     """Links of each node to the least of its neighbours and itself: its larger neighbours' (large) or its own and smaller ones' (small)."""
@@ -37,3 +44,38 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before, n = (r["n"], r["x"]), r["n"]
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
+    """For each node its pair with most room for an overlap, and OTHERS by a hash, another one each round: so many rows for each node at most."""
+    pair = F.struct("a", "b").alias("pair")
+    ends = pairs.select(F.col("a").alias("node"), "room", pair).unionByName(pairs.select(F.col("b").alias("node"), "room", pair))
+    orders = [F.struct("room", "pair"), *[F.struct(F.xxhash64("pair", F.lit(k * OTHERS + i)).alias("room"), "pair") for i in range(OTHERS)]]
+    some = ends.groupBy("node").agg(*[F.max(order).alias(f"o{i}") for i, order in enumerate(orders)])
+    return some.select(F.explode(F.array(*[f"o{i}.pair" for i in range(len(orders))])).alias("pair")).select("pair.a", "pair.b").distinct()
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs whose ends are in different components."""
+    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
+    joined = pairs.join(x, "a", "left").join(y, "b", "left")
+    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "room")
+
+
+def link_left(across: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The links (a, b), and those among the kept pairs (a, b, room) that join other components, by ``verified``.
+
+    Likely pairs come first, a few for each node, as each link makes others needless; in the end all go through that still have ends in
+    different components, so the components are those of all pairs.
+    """
+    for k in range(ROUNDS + 1):
+        if not across.limit(1).count():
+            break
+        now = keep(_best_pairs(across, k), "tried") if k < ROUNDS else across.select("a", "b")
+        links = links.unionByName(verified(now))
+        if k < ROUNDS:
+            before = across
+            across = keep(_apart(across.join(now, ["a", "b"], "left_anti"), connected_components(links)), "pairs")
+            drop_kept(before)
+            drop_kept(now)
+    return links

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_small, keep, places
-from lexmill.llm.components import connected_components
+from lexmill.llm.components import connected_components, link_left
 
 SHINGLE = 10
 VALUES = 9
@@ -149,8 +149,8 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
         members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
     rest = keep(_apart(members, links).select("h").distinct(), "rest")
-    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links), MORE), "places"), NUM, DEN, _listed).select("a", "b").join(tried, ["a", "b"], "left_anti"), "pairs")
-    return links.unionByName(_verified(pairs, texts))
+    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links), MORE), "places"), NUM, DEN, _listed).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return link_left(pairs, links, lambda some: _verified(some, texts))
 
 
 def _lines(docs: DataFrame, seed: int) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, word_hashes
-from lexmill.llm.components import connected_components
+from lexmill.llm.components import connected_components, link_left
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -44,10 +44,6 @@ MORE = 20
 ALIKE = 0.3
 #: Rounds in which each class tries the likeliest of its lists' heads.
 HEADS = 4
-#: Rounds in which each class tries its likeliest partner and some others, before all that are left are tried.
-ROUNDS = 3
-#: How many others: enough that classes of which each is like a part of the others only are soon one component.
-OTHERS = 6
 
 _SEPARATOR = np.zeros(256, dtype=bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
@@ -324,22 +320,6 @@ def _left_pairs(rest: DataFrame) -> DataFrame:
     return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h"), MORE), "places"), NUM, DEN, _short)
 
 
-def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
-    """For each class its pair with most room for an overlap, and OTHERS by a hash, another one each round: so many rows for each class at most."""
-    pair = F.struct("a", "b").alias("pair")
-    ends = pairs.select(F.col("a").alias("cid"), "room", pair).unionByName(pairs.select(F.col("b").alias("cid"), "room", pair))
-    orders = [F.struct("room", "pair"), *[F.struct(F.xxhash64("pair", F.lit(k * OTHERS + i)).alias("room"), "pair") for i in range(OTHERS)]]
-    some = ends.groupBy("cid").agg(*[F.max(order).alias(f"o{i}") for i, order in enumerate(orders)])
-    return some.select(F.explode(F.array(*[f"o{i}.pair" for i in range(len(orders))])).alias("pair")).select("pair.a", "pair.b").distinct()
-
-
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs whose ends are in different components."""
-    x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
-    joined = pairs.join(x, "a", "left").join(y, "b", "left")
-    return joined.filter(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "room")
-
-
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id that links reach)."""
     spark: SparkSession = docs.sparkSession
@@ -373,16 +353,8 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         before, rest = rest, _rooted(rest, links)
         drop_kept(before)
     across = keep(_left_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
+    links = link_left(across, links, lambda pairs: _verify(pairs, sets))
     roots = connected_components(links)
-    for k in range(ROUNDS + 1):
-        if not across.limit(1).count():
-            break
-        # the likeliest pairs first, as each link makes others needless; in the end all that are left
-        now = keep(_best_pairs(across, k), "tried") if k < ROUNDS else across.select("a", "b")
-        links = links.unionByName(_verify(now, sets))
-        roots = connected_components(links)
-        if k < ROUNDS:
-            across = keep(_apart(across.join(now, ["a", "b"], "left_anti"), roots), "pairs")
     least = ids.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
     named = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     groups = keep(named.select("cid", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cid", "component_id"), "groups")
