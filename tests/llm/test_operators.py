@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, queries, toxicity, url_filter, warc
-from lexmill.llm.components import connected_components
+from lexmill.llm.common import keep
+from lexmill.llm.components import connected_components, link_left
 from lexmill.llm.gbt import BoostedTrees
 
 DOCS = "doc_id long, text string, hash string, n long, h long"
@@ -252,6 +253,28 @@ def test_line_dedup_edges(spark):
     assert got == sorted(kept)
 
 
+def test_link_left_finds_the_components_of_all_pairs(spark):
+    """Thirty nodes of which each is linked with a part of the others, and a chain; pairs that fail are among those tried."""
+    pairs = [(a, b) for a in range(30) for b in range(a)] + [(a + 1, a) for a in range(100, 112)]
+    good = {(a, b) for a, b in pairs if a >= 100 or (a * 7 + b * 13) % 4 == 0} - {(106, 105)}
+    across = keep(spark.createDataFrame([(a, b, 0.5) for a, b in pairs], "a long, b long, room double"), "across")
+    tried = []
+
+    def verified(some):
+        rows = [tuple(r) for r in some.collect()]
+        tried.append(len(rows))
+        return keep(spark.createDataFrame([r for r in rows if r in good], "a long, b long"), "links")
+
+    links = link_left(across, spark.createDataFrame([], "a long, b long"), verified)
+    root = {x: x for p in pairs for x in p}
+    for _ in root:
+        for a, b in good:
+            root[a] = root[b] = min(root[a], root[b])
+    found = {r["node"]: r["root"] for r in connected_components(links).collect()}
+    assert {x: found.get(x, x) for x in root} == root
+    assert max(tried) <= 7 * len(root)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
