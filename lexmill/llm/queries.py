@@ -12,7 +12,7 @@ from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, lin
 from lexmill.llm.common import table
 
 # The rules of op10.
-URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

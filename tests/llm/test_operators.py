@@ -102,6 +102,15 @@ def test_url_rules(url, host, path, rule, verdict):
     assert url_filter.Rules(queries.URL_RULES).find(host, path) == (rule, verdict)
 
 
+def test_url_rules_have_the_verdicts_of_the_contract(spark, tmp_path):
+    contract = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+    expected = {"com/en/": "com/en/", "com/en/7": "com/en/", "example.com/en/71": "example.com/en/7", "net/de/": "net/de/", "casino.net/de/8": "net/de/", "example.net/de/7": "net/de/", "a.example.net/de/88": "example.net/de/8", "b.org/es/": "org/es/"}
+    rows = [(i, f"http://{url}") for i, url in enumerate(expected)]
+    spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in queries.op10_url_filter(spark, str(tmp_path)).collect()}
+    assert got == {i: (rule, contract[rule]) for i, rule in enumerate(expected.values())}
+
+
 def test_url_filter(spark):
     rows = [(i, f"http://{'free-bets' if i % 9 == 0 else 'site' + str(i % 7)}.example.{'info' if i % 2 else 'edu'}/a/{i}", "x") for i in range(300)] + [(300, None, "x"), (301, "", "x")]
     pages = spark.createDataFrame(rows, "page_id long, url string, score string")
