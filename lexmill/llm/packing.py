@@ -18,10 +18,12 @@ are carried through; an empty table gives an empty result; columns other than id
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from bisect import insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from lexmill.llm.common import keep, sliced
 
 LIMIT = 4096
 END_ID = 2
-#: Bounds of what a Python worker holds: words in the cache and characters of each, characters of text split at a time.
+#: Bounds of what a Python worker holds: words in either generation of the cache and characters of each, characters of text split at a time.
 CACHE_WORDS = 150_000
 CACHE_WORD = 64
 SLICE_CHARS = 1 << 20
@@ -52,6 +54,24 @@ _OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LETTERS = {b: b if b in _OWN else 256 + sum(x not in _OWN for x in range(b)) for b in range(256)}
 
 
+class _Recent(dict):
+    """What was made for keys, in two generations of at most so many: when the younger one is full it becomes the older one, from which what is asked for again moves back."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int) -> None:
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= CACHE_WORD:
+            if len(self) >= self.most:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordTokenizer:
     """Ids of whole texts, as little-endian 32-bit integers, with a cache of the ids of what stands between white space.
 
@@ -64,38 +84,36 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.cache_words = cache_words
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Recent(self._chunk, cache_words)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for word in _WORDS.findall(chunk):
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-            ids += [t.id for t in self.model.tokenize(spelt)]
-        return np.array(ids, dtype="<u4").tobytes()
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        if len(words) != 1:
+            return b"".join(map(self.cache.__getitem__, words))
+        word = words[0]
+        spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = [t.id for t in self.model.tokenize(spelt)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text. White space always parts words, so what stands between is looked up as a whole."""
+        of = self.cache.__getitem__
         for text in texts:
             if "<|" in text or not _PLAIN.fullmatch(text):
                 yield self._whole(text)
             elif len(text) <= SLICE_CHARS:
-                yield b"".join(map(self._cached, text.lower().split()))
+                yield b"".join(map(of, text.lower().split()))
             else:
-                yield b"".join(map(self._cached, (m[0] for m in _CHUNK.finditer(text.lower()))))
+                yield b"".join(map(of, (m[0] for m in _CHUNK.finditer(text.lower()))))
 
-    def _cached(self, chunk: str) -> bytes:
-        found = self.cache.get(chunk)
-        if found is None:
-            found = self._chunk(chunk)
-            if len(chunk) <= CACHE_WORD:
-                if len(self.cache) >= self.cache_words:
-                    self.cache.clear()
-                self.cache[chunk] = found
-        return found
+
+@lru_cache(maxsize=1)
+def _tokenizer(path: str) -> WordTokenizer:
+    """A worker's tokenizer: its tasks share the cache."""
+    return WordTokenizer(path)
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -109,7 +127,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col:
     )
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = WordTokenizer(tokenizer_path)
+        tok = _tokenizer(tokenizer_path)
         task = TaskContext.get().partitionId()
         seen = [0] * (limit + 1)
         end = END_ID.to_bytes(4, "little")

@@ -293,6 +293,20 @@ def test_components(spark):
 # --- packing: ids ---------------------------------------------------------------------------------------------
 
 
+def test_tokenizer_keeps_frequent_words():
+    tok = packing.WordTokenizer(queries.tokenizer_path(), cache_words=20)
+    made, make = [], tok.cache.make
+    tok.cache.make = lambda chunk: made.append(chunk) or make(chunk)
+    texts = [f"often rare{chr(97 + i // 26)}{chr(97 + i % 26)} often, {i}." for i in range(300)]
+    assert list(tok.ids_of(texts)) == [tok._whole(t) for t in texts]
+    assert made.count("often") == made.count("often,") == 1 and len(made) > 600
+    assert len(tok.cache) <= 20 and len(tok.cache.older) <= 20
+
+
+def test_tasks_of_a_worker_share_the_tokenizer():
+    assert packing._tokenizer(queries.tokenizer_path()) is packing._tokenizer(queries.tokenizer_path())
+
+
 def test_word_tokenizer_equals_the_tokenizer():
     tok = packing.WordTokenizer(queries.tokenizer_path(), cache_words=50)
     letters = [chr(c) for c in range(9, 0x250) if chr(c).isprintable() or chr(c).isspace()]
