@@ -13,6 +13,8 @@ from lexmill.llm.common import BROADCAST_ROWS, drop_kept, keep
 ROUNDS = 3
 #: How many others: enough that nodes of which each is like a part of the others only are soon one component.
 OTHERS = 6
+#: Members of other components that a place on a list meets on average, beyond which heads of lists are tried before pairs are made.
+MEETS = 16
 
 
 def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
@@ -55,6 +57,41 @@ def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return some.select(F.explode(F.array(*[f"o{i}.pair" for i in range(len(orders))])).alias("pair")).select("pair.a", "pair.b").distinct()
 
 
+def _meets(lists: DataFrame) -> float:
+    """How many members of other components a place of the lists meets on average."""
+    own = lists.groupBy("s", "root").agg(F.count("*").cast("double").alias("c")).groupBy("s").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("same"))
+    r = own.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") - F.col("same")).alias("other")).first()
+    return r["other"] / r["n"] if r["n"] else 0.0
+
+
+def _head_pairs(lists: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of sets with heads of lists that hold one of their rarest ninth (for 0.8), another head each round: at most one row for a place, and a few pairs for each set."""
+    heads = lists.groupBy("s").agg(F.min(F.struct(F.xxhash64("h", "s", F.lit(k)).alias("order"), "h", "n", "pos", "root")).alias("head"))
+    heads = heads.select("s", *[F.col(f"head.{c}").alias(f"head_{c}") for c in ("h", "n", "pos", "root")])
+    n, m, p, q = F.col("n"), F.col("head_n"), F.col("pos"), F.col("head_pos")
+    room = F.least(p, q) + 1 + F.least(n - p - 1, m - q - 1)
+    may = (F.col("root") != F.col("head_root")) & (room * (num + den) >= (n + m) * num) & (F.least(n, m) * den >= F.greatest(n, m) * num)
+    rare = lists.filter(p <= n - F.ceil(n * 2 * num / (num + den)))
+    met = rare.join(heads, "s").filter(may).groupBy(F.greatest("h", "head_h").alias("a"), F.least("h", "head_h").alias("b")).agg(F.count("*").alias("room"))
+    return _best_pairs(met, k)
+
+
+def link_by_heads(lists: DataFrame, links: DataFrame, tried: DataFrame, verified: Callable[[DataFrame], DataFrame], rooted: Callable[[DataFrame, DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Lists (s, h, root, n, pos), links and pairs tried (a, b), after rounds in which sets try heads of their lists.
+
+    Where lists hold many components their pairs grow with the square of a list, so as many as can be become one component before any are
+    made, in rounds that have a row for a place at most; they end when places meet few others, or no fewer than before by a tenth. No pair is given up by it.
+    """
+    k, before = 0, None
+    while (meets := _meets(lists)) > MEETS and (before is None or meets <= 0.9 * before):
+        pairs = keep(_head_pairs(lists, k, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links, tried = links.unionByName(verified(pairs)), tried.unionByName(pairs)
+        old, lists = lists, rooted(lists, links)
+        drop_kept(old)
+        k, before = k + 1, meets
+    return lists, links, tried
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """Pairs whose ends are in different components."""
     x, y = (roots.select(F.col("node").alias(k), F.col("root").alias(f"root_{k}")) for k in ("a", "b"))
@@ -75,7 +112,7 @@ def link_left(across: DataFrame, links: DataFrame, verified: Callable[[DataFrame
         links = links.unionByName(verified(now))
         if k < ROUNDS:
             before = across
-            across = keep(_apart(across.join(now, ["a", "b"], "left_anti"), connected_components(links)), "pairs")
+            across = keep(_apart(across, connected_components(links)).join(now, ["a", "b"], "left_anti"), "pairs")
             drop_kept(before)
             drop_kept(now)
     return links

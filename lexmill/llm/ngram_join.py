@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, word_hashes
-from lexmill.llm.components import connected_components, link_left
+from lexmill.llm.components import connected_components, link_by_heads, link_left
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -315,9 +315,9 @@ def _likeliest(rest: DataFrame, k: int) -> DataFrame:
 
 
 def _left_pairs(rest: DataFrame) -> DataFrame:
-    """Pairs (a, b, room) of classes of different components that may link: all that do are among them, and have enough short lists in common."""
+    """Pairs (a, b, room) of classes (h) of different components that may link: all that do are among them, and have enough short lists in common."""
     # lists of one component aren't among them: no pair meets there
-    return first_met_pairs(keep(places(rest.withColumnRenamed("cid", "h"), MORE), "places"), NUM, DEN, _short)
+    return first_met_pairs(keep(places(rest, MORE), "places"), NUM, DEN, _short)
 
 
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -352,6 +352,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links, tried = links.unionByName(_verify(pairs, sets)), tried.unionByName(pairs)
         before, rest = rest, _rooted(rest, links)
         drop_kept(before)
+    rest, links, tried = link_by_heads(rest.withColumnRenamed("cid", "h"), links, tried, lambda pairs: _verify(pairs, sets), lambda lists, links: _rooted(lists.withColumnRenamed("h", "cid"), links).withColumnRenamed("cid", "h"), NUM, DEN)
     across = keep(_left_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = link_left(across, links, lambda pairs: _verify(pairs, sets))
     roots = connected_components(links)

@@ -262,6 +262,27 @@ def test_line_dedup_edges(spark):
     assert got == sorted(kept)
 
 
+def test_large_groups_are_linked_before_their_pairs_are_made(spark):
+    from lexmill.llm.components import link_by_heads
+
+    sets = [(h, s, s) for h in range(100) for s in range(25)]
+    lists = keep(spark.createDataFrame([(s, h, h, 100, pos) for h, s, pos in sets], "s long, h long, root long, n long, pos long"), "lists")
+    tried = []
+
+    def verified(pairs):  # sets are like those of the same remainder only
+        tried.append(pairs.count())
+        return pairs.filter("a % 2 = b % 2")
+
+    def rooted(lists, links):
+        roots = connected_components(links).withColumnRenamed("node", "h")
+        return keep(lists.drop("root").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h")), "lists")
+
+    none = spark.createDataFrame([], "a long, b long")
+    lists, links, _ = link_by_heads(lists, none, none, verified, rooted, 4, 5)
+    assert lists.count() == len(sets) and tried and max(tried) <= 7 * 100
+    assert links.filter("a % 2 != b % 2").count() == 0 and lists.select("root").distinct().count() <= 20
+
+
 def test_link_left_finds_the_components_of_all_pairs(spark):
     """Thirty nodes of which each is linked with a part of the others, and a chain; pairs that fail are among those tried."""
     pairs = [(a, b) for a in range(30) for b in range(a)] + [(a + 1, a) for a in range(100, 112)]
