@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_small, keep, places
-from lexmill.llm.components import connected_components, link_left
+from lexmill.llm.components import connected_components, link_by_heads, link_left
 
 SHINGLE = 10
 VALUES = 9
@@ -120,7 +120,7 @@ def _listed(n: str) -> Column:
 
 
 def _rare_lists(names: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
-    """Lists (s, h, root, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the shingle's place in it; none of a single component."""
+    """Lists (s, h, root, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the shingle's place in it."""
     sets = keep(texts.join(names, "h").select("h", F.explode(shingles(F.col("line"))).alias("x")), "shingles")
     often = sets.groupBy("x").agg(F.count("*").alias("often")).filter("often > 1")
     sizes = sets.groupBy("h").agg(F.count("*").alias("n"))
@@ -129,7 +129,11 @@ def _rare_lists(names: DataFrame, texts: DataFrame, links: DataFrame) -> DataFra
     alone = F.col("n") - F.size("e")
     left = F.greatest(_listed("n") - alone, F.lit(0)).cast("int")
     first = ranked.select("h", "n", alone.alias("alone"), F.posexplode(F.slice("e", F.lit(1), left)).alias("i", "e")).select("h", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("e.x").alias("s"))
-    lists = keep(_rooted(first, links), "lists")
+    return keep(_rooted(first, links), "lists")
+
+
+def _wide_lists(lists: DataFrame) -> DataFrame:
+    """The lists that hold more than one component."""
     wide = lists.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
     return join_small(lists, keep(wide, "wide"), ["s"], "left_semi")
 
@@ -149,8 +153,10 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
         links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
         members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
     rest = keep(_apart(members, links).select("h").distinct(), "rest")
-    pairs = keep(first_met_pairs(keep(places(_rare_lists(rest, texts, links), MORE), "places"), NUM, DEN, _listed).join(tried, ["a", "b"], "left_anti"), "pairs")
-    return link_left(pairs, links, lambda some: _verified(some, texts))
+    verified: Callable[[DataFrame], DataFrame] = lambda some: _verified(some, texts)
+    lists, links, tried = link_by_heads(_rare_lists(rest, texts, links), links, tried, verified, lambda lists, links: keep(_rooted(lists.drop("root"), links), "lists"), NUM, DEN)
+    pairs = keep(first_met_pairs(keep(places(_wide_lists(lists), MORE), "places"), NUM, DEN, _listed).join(tried, ["a", "b"], "left_anti"), "pairs")
+    return link_left(pairs, links, verified)
 
 
 def _lines(docs: DataFrame, seed: int) -> DataFrame:
