@@ -8,7 +8,7 @@ puts one value for each of the item's, wherever it stands. Where more than a fif
 occurrence is judged by itself: the windows at one shift between item and document, give or take DRIFT words, and at each slot the value
 at the nearest shift. It is a match if an occurrence covers enough and is consistent, or if enough windows are there word for word. Items with fewer words than a window are one window of their own length.
 
-Documents are read once for the windows; each word's hash is taken once, and windows are hashes of those. The benchmark's windows are
+Documents are read once for the windows; each word's hash is taken once, and windows are hashes of those, by steps that double them. The benchmark's windows are
 broadcast only while they are few (BROADCAST_ROWS); beyond that the join shuffles the documents' windows. Matches are aggregated by
 document and item, so a passage that a third of all documents share spreads over as many keys.
 
@@ -37,17 +37,18 @@ UNITS = (
 )
 _MARK = "\x01"
 _MAYBE = "\x02"  # before a word that may be a name
-_NAME = r"(?<=[\p{Ll},;] )\p{Lu}[\p{Ll}]+"
-_NUMBER = r"(?<![\p{L}\p{N}])[+-]?\p{Nd}[\p{Nd}.,:/]*"
+# the first character is looked at before what stands around it, which at most places needn't be
+_NAME = r"\p{Lu}(?<=[\p{Ll},;] \p{Lu})\p{Ll}+"
+_NUMBER = r"(?=[+\-\p{Nd}])(?<![\p{L}\p{N}])[+-]?\p{Nd}[\p{Nd}.,:/]*"
 _UNIT = rf"(?i)({_MARK}num[ ]?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
-_CAPITAL = rf"(?<![\p{{L}}\p{{N}}{_MARK}])\p{{Lu}}\p{{Ll}}+"
+_CAPITAL = rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}{_MARK}])\p{{Lu}}\p{{Ll}}+"
 _PUNCTUATION = rf"[^\p{{L}}\p{{N}}{_MARK}{_MAYBE}\s]+"
 
 
 def _split(text: Column) -> Column:
     """Words without punctuation; no word for a blank text."""
     bare = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), _PUNCTUATION, ""), r"\s+", " "))
-    return F.filter(F.split(bare, " "), lambda w: w != "")
+    return F.array_remove(F.split(bare, " "), "")
 
 
 def canonical(text: Column) -> Column:
@@ -56,22 +57,42 @@ def canonical(text: Column) -> Column:
     return F.regexp_replace(sure, _CAPITAL, f"{_MAYBE}$0")
 
 
-def _windows(sizes: list[int]) -> Column:
-    """Array of (at, size, w): the hashes of all windows of each size over ``hashes``, and over ``others`` where these differ."""
+def _paired(words: str, step: int) -> Column:
+    """Hashes of each element and the one so many places on."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + step)))
+
+
+def _windowed(rows: DataFrame, sizes: list[int], *more: str) -> DataFrame:
+    """id, more and x, a row per window: (at, size, w), the hashes of all windows of each size over ``hashes``, and over ``others`` where these differ.
+
+    Hashes of 2, 4, 8, ... words are made of two of half as many, in a step each; a window is hashed from one of them for each power of two in its size.
+    """
+    powers = [1 << k for k in range(max(sizes).bit_length())]
+    needed = {p for p in powers for size in sizes if size & p}
+    rows = rows.select("id", *more, "maybe", *[F.col(c).alias(f"{c}1") for c in ("hashes", "others")])
+    for p in powers[1:]:
+        paired = [_paired(f"{c}{p // 2}", p // 2).alias(f"{c}{p}") for c in ("hashes", "others")]
+        rows = rows.select("id", *more, "maybe", *[F.col(f"{c}{q}") for c in ("hashes", "others") for q in powers if q in needed | {1} and q < p], *paired)
 
     def of(size: int) -> Column:
-        last = F.size("hashes") - size
+        last = F.size("hashes1") - size
         none = F.array().cast("array<int>")
         starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(none)
-        over = F.flatten(F.transform("maybe", lambda p: F.sequence(F.greatest(p - size + 1, F.lit(0)), F.least(p, last))))
-        again = F.when(last >= 0, F.array_distinct(over)).otherwise(none)
+
+        def first_over(p: Column, j: Column) -> Column:
+            """Starts of the windows of which p is the first place in maybe."""
+            lo, hi = F.greatest(p - size + 1, F.coalesce(F.get("maybe", j - 1) + 1, F.lit(0)), F.lit(0)), F.least(p, last)
+            return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(none)
+
+        again = F.flatten(F.transform("maybe", first_over))
+        parts = [(p, size & ~(2 * p - 1)) for p in reversed(powers) if size & p]  # and where each starts in the window
 
         def hashed(at: Column, words: str) -> Column:
-            return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get(words, i + k) for k in range(size)]).alias("w")))
+            return F.transform(at, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size"), F.xxhash64(F.lit(size), *[F.get(f"{words}{p}", i + k) for p, k in parts]).alias("w")))
 
         return F.concat(hashed(starts, "hashes"), hashed(again, "others"))
 
-    return of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))
+    return rows.select("id", *more, F.explode(of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))).alias("x"))
 
 
 def _hashed(rows: DataFrame, *more: str) -> DataFrame:
@@ -81,7 +102,7 @@ def _hashed(rows: DataFrame, *more: str) -> DataFrame:
         "id",
         *more,
         "words",
-        F.transform("words", lambda w: F.xxhash64(F.translate(w, _MAYBE, ""))).alias("hashes"),
+        F.transform("words", lambda w: F.xxhash64(F.replace(w, F.lit(_MAYBE), F.lit("")))).alias("hashes"),
         F.transform("words", lambda w: F.xxhash64(F.when(w.contains(_MAYBE), f"{_MARK}name").otherwise(w))).alias("others"),
         F.filter(F.transform("words", lambda w, i: F.when(w.contains(_MAYBE), i)), lambda i: i.isNotNull()).alias("maybe"),
     )
@@ -128,10 +149,10 @@ def find_contaminated(
     rows = docs.select(F.struct(id_.alias("id"), F.when(id_.isNull(), F.sha2(text, 256)).alias("text")).alias("id"), text.alias("text"))
     if not sizes:
         sizes = [window]
-    own = items.select("id", "item", "size", F.explode(_windows(sizes)).alias("x"))
+    own = _windowed(items, sizes, "item", "size")
     wanted = keep(own.filter("x.size = size").select("item", F.col("id").alias("key"), F.col("x.at").alias("item_at"), F.col("x.w").alias("w")).distinct(), "wanted")
     counts = wanted.groupBy("key").agg(F.first("item").alias("item"), F.count_distinct("item_at").alias("n_windows"))
-    found = _hashed(rows).select("id", F.explode(_windows(sizes)).alias("x")).select("id", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
+    found = _windowed(_hashed(rows), sizes).select("id", F.col("x.at").alias("at"), F.col("x.w").alias("w"))
     side = wanted.select("w", "key", "item_at")
     hits = keep(found.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, "w").select("id", "at", "key", "item_at"), "hits")
     matched = hits.groupBy("id", "key").agg(F.count_distinct("item_at").alias("n_matched"))

@@ -518,6 +518,21 @@ def test_toxicity_takes_odd_rows(spark):
     assert [p for _, p in got[:80]] == [0, 1] * 40
 
 
+def test_windows_are_hashed_by_doubling(spark):
+    text = "one two three four. Five six seven eight nine. Ten eleven twelve " + " ".join(f"w{k}" for k in "abcdefgh")
+    rows = decontaminate._hashed(spark.createDataFrame([(1, text), (2, "eleven twelve"), (3, " "), (4, None), (5, "x " + text)], "id long, text string"))
+    windows = decontaminate._windowed(rows, [3, 8])
+    got = [(r["id"], r["x"]["size"], r["x"]["at"], r["x"]["w"]) for r in windows.collect()]
+    places = {size: sorted(at for i, s, at, _ in got if (i, s) == (1, size)) for size in (3, 8)}
+    # each start once, and once more where the window holds a word that may be a name: Five, the fifth word, or Ten, the tenth
+    assert places == {3: sorted([*range(18), 2, 3, 4, 7, 8, 9]), 8: sorted([*range(13), *range(10)])}
+    assert {(s, at + 1, w) for i, s, at, w in got if i == 1} <= {(s, at, w) for i, s, at, w in got if i == 5}
+    assert not {i for i, *_ in got} & {2, 3, 4}
+    plan = decontaminate._windowed(rows, [8])._jdf.queryExecution().executedPlan().toString()
+    generate = next(x for x in plan.split("\n") if "Generate" in x)
+    assert len(re.findall(r"(?:hashes|others)\d*#\d+\[", generate)) == 2  # looked up once for each of the two, not for each word
+
+
 def test_decontamination_of_rows_without_id(spark):
     item = "A farmer named Jones has 24 cows and 310 sheep in 5 wide green fields near the old stone mill"
     changed = "A farmer named Smith has 81 cows and 977 sheep in 9 wide green fields near the old stone mill"
