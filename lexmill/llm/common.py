@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import functools
 import hashlib
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ from lexmill.session import shared_path
 
 BROADCAST_ROWS = 1_000_000
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -33,6 +36,31 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextlib.contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Meanwhile Spark removes the shuffle files of each query as it ends, and not only once the driver has collected its garbage."""
+    before = spark.conf.get(_RELEASE, None)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_RELEASE)
+        else:
+            spark.conf.set(_RELEASE, before)
+
+
+def releases_shuffles(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """fn(docs, ...), whose actions leave no shuffle files."""
+
+    @functools.wraps(fn)
+    def releasing(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        with shuffles_released(docs.sparkSession):
+            return fn(docs, *args, **kwargs)
+
+    return releasing
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, and survives lost executors."""
     path = new_path(df.sparkSession, name)
@@ -79,6 +107,16 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str = "inner", most:
     return left.join(broadcast(right) if right.count() <= most else right, on, how)
 
 
+def join_both(pairs: DataFrame, values: DataFrame, key: str, value: str) -> DataFrame:
+    """Kept pairs (a, b) with the values x of a and y of b. Of the values only those go through a shuffle that a pair needs, unless pairs are too many to be broadcast."""
+    few = pairs.count() <= BROADCAST_ROWS
+    side: Callable[[DataFrame], DataFrame] = broadcast if few else lambda df: df
+    firsts, seconds = values.select(F.col(key).alias("a"), F.col(value).alias("x")), values.select(F.col(key).alias("b"), F.col(value).alias("y"))
+    if few:
+        firsts = firsts.join(broadcast(pairs.select("a").distinct()), "a", "left_semi")
+    return seconds.join(side(pairs.select("a", "b")), "b").join(firsts, "a")
+
+
 #: Earlier elements that a place carries; where there are more, a pair may be made at several places, and is made distinct.
 BEFORE = 64
 #: Words of a set's bitmap.

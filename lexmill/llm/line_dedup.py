@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_small, keep, places
+from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_both, join_small, keep, places, releases_shuffles
 from lexmill.llm.components import connected_components, link_by_heads, link_left
 
 SHINGLE = 10
@@ -98,8 +98,8 @@ def _near_roots(names: DataFrame, links: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar."""
-    both = pairs.join(texts.select(F.col("h").alias("a"), F.col("line").alias("s")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("t")), "b")
-    near = _once(shingles(F.col("s")), lambda s: _once(shingles(F.col("t")), lambda t: F.size(F.array_intersect(s, t)) * (NUM + DEN) >= (F.size(s) + F.size(t)) * NUM))
+    both = join_both(pairs, texts, "h", "line")
+    near = _once(shingles(F.col("x")), lambda s: _once(shingles(F.col("y")), lambda t: F.size(F.array_intersect(s, t)) * (NUM + DEN) >= (F.size(s) + F.size(t)) * NUM))
     return keep(both.filter(near).select("a", "b"), "links")
 
 
@@ -180,6 +180,7 @@ def _named(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     return members, found
 
 
+@releases_shuffles
 def _repeats(docs: DataFrame) -> DataFrame:
     """id, k and the numbers of the lines to drop."""
     for seed in range(8):
