@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import drop_kept, first_met_pairs, join_small, keep, mix64, places, word_hashes
+from lexmill.llm.common import drop_kept, first_met_pairs, join_both, join_small, keep, mix64, places, releases_shuffles, word_hashes
 from lexmill.llm.components import connected_components, link_by_heads, link_left
 
 WORDS = 5
@@ -241,7 +241,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     for batch in batches:
         good = []
-        for x, y in zip(batch.column("set_a"), batch.column("set_b")):
+        for x, y in zip(batch.column("x"), batch.column("y")):
             s, t = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             if len(s) > len(t):
                 s, t = t, s
@@ -291,8 +291,7 @@ def _needed_sets(docs: DataFrame, pairs: DataFrame, words: int, seed: int) -> Da
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
-    joined = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
-    return keep(joined.mapInArrow(_linked, "a long, b long"), "links")
+    return keep(join_both(pairs, sets, "cid", "set").mapInArrow(_linked, "a long, b long"), "links")
 
 
 def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
@@ -320,6 +319,7 @@ def _left_pairs(rest: DataFrame) -> DataFrame:
     return first_met_pairs(keep(places(rest, MORE), "places"), NUM, DEN, _short)
 
 
+@releases_shuffles
 def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the least id that links reach)."""
     spark: SparkSession = docs.sparkSession

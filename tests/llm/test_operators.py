@@ -2,13 +2,14 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.llm import decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, queries, toxicity, url_filter, warc
+from lexmill.llm import common, decontaminate, exact_dedup, html_text, license_scan, line_dedup, ngram_join, packing, queries, toxicity, url_filter, warc
 from lexmill.llm.common import keep
 from lexmill.llm.components import connected_components, link_left
 from lexmill.llm.gbt import BoostedTrees
@@ -305,6 +306,35 @@ def test_link_left_finds_the_components_of_all_pairs(spark):
     assert max(tried) <= 7 * len(root)
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_pairs_get_the_values_of_both_ends(spark, monkeypatch, most):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+    pairs = keep(spark.createDataFrame([(2, 1), (3, 1), (3, 2), (9, 1)], "a long, b long"), "pairs")
+    values = spark.createDataFrame([(k, f"v{k}") for k in range(1, 6)], "h long, line string")
+    got = sorted((r["a"], r["b"], r["x"], r["y"]) for r in common.join_both(pairs, values, "h", "line").collect())
+    assert got == [(2, 1, "v2", "v1"), (3, 1, "v3", "v1"), (3, 2, "v3", "v2")]
+
+
+def test_no_shuffle_files_are_left_by_operators_with_rounds(spark):
+    def left():
+        status = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {status.apply(k).getName() for k in range(status.size()) if status.apply(k).getName().startswith("shuffle_")}
+
+    near = words(7, 60)
+    rows = spark.createDataFrame([(i, near + f" end{i}\n" + words(i)) for i in range(30)], "doc_id long, text string").repartition(3)
+    rows = keep(rows, "rows")
+    before = left()
+    release = spark.conf.get(common._RELEASE, None)
+    line_dedup._repeats(rows.select(F.col("doc_id").alias("id"), "text"))
+    ngram_join.ngram_groups(rows)
+    for _ in range(40):  # files go shortly after a query has ended
+        if not left() - before:
+            break
+        time.sleep(0.25)
+    assert not left() - before
+    assert spark.conf.get(common._RELEASE, None) == release
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(100, 102), (101, 102)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
