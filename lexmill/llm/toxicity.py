@@ -23,15 +23,18 @@ from; without both labels nothing is toxic (score 0); repeated rows score alike;
 from __future__ import annotations
 
 import itertools
+import pickle
 import re
 import string
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -276,9 +279,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     parts = [usable.filter(F.col("y") == v).orderBy(F.xxhash64("k"), "k").limit(per_class) for v in (0, 1)]
     sample = parts[0].unionByName(parts[1])
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).join(F.broadcast(sample), "k")
-    rows = rows.groupBy("k", "y").agg(F.max("t").alias("t")).toPandas()
-    rows = rows.assign(t=rows["t"].fillna("")).sort_values(["k", "t"], kind="stable")
-    return ToxicityModel().fit(rows["t"].tolist(), rows["y"].tolist())
+    rows = rows.groupBy("k", "y").agg(F.max("t").alias("t"))
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, some = ToxicityModel(), [b for b in batches if b.num_rows]
+        if some:
+            found = pa.Table.from_batches(some)
+            found = found.set_column(2, "t", pc.fill_null(found.column("t"), "")).sort_by([("k", "ascending"), ("t", "ascending")])
+            model.fit(found.column("t").to_pylist(), found.column("y").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(pickle.dumps(model), 1)], type=pa.binary())], names=["model"])
+
+    # the sample goes to a task, so that the driver gets the model alone
+    made = rows.select("k", "y", "t").coalesce(1).mapInArrow(fit, "model binary").first()
+    return pickle.loads(zlib.decompress(made["model"])) if made else ToxicityModel()
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:

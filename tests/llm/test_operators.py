@@ -495,6 +495,21 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score_toxicity(docs(spark, texts), none).collect()} == {0}
 
 
+def test_toxicity_is_learned_outside_the_driver(spark, monkeypatch):
+    texts = [f"you {'vile grobnax' if i % 3 == 0 else 'kind friend'} number {i} came by" for i in range(60)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)], "doc_id long, toxic int")
+    used = [(i, t) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5]
+    here = toxicity.ToxicityModel().fit([t for _, t in used], [int(i % 3 == 0) for i, _ in used])
+
+    def no_frame(*_):
+        raise AssertionError("the sample came to the driver")
+
+    monkeypatch.setattr(type(rows), "toPandas", no_frame)
+    model = toxicity.train_toxicity(rows, labels)
+    assert np.allclose(model.theta, here.theta, atol=1e-5) and np.isclose(model.bias, here.bias) and np.isclose(model.slope, here.slope)
+
+
 def test_long_runs_of_letters_are_read_whole():
     for before in range(48, 64):
         text = " ".join("thisisanordinarysentencethatgoesonandonandonuntilitendsatlast"[:before] + "blorgface" + "moretext")
