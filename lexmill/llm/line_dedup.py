@@ -170,7 +170,8 @@ def _named(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
     lines = _lines(docs, seed)
     signed = keep(_signatures(lines.select("h", "line")), "signed")
     buckets = signed.select("h", F.explode("bands").alias("bucket"))
-    multi = keep(buckets.groupBy("bucket").agg(F.min("h").alias("x"), F.max("h").alias("y")).filter("x != y").select("bucket"), "multi")
+    # a line is in a bucket once, so it takes no names to tell that there are several
+    multi = keep(buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "multi")
     members = keep(join_small(buckets, multi, ["bucket"]).distinct(), "members")
     again = signed.filter("kind = 0 AND n > 1").select("h", F.lit(False).alias("compared"))
     wanted = keep(members.select("h", F.lit(True).alias("compared")).unionByName(again).groupBy("h").agg(F.max("compared").alias("compared")), "wanted")
