@@ -31,21 +31,32 @@ def _star(edges: DataFrame, large: bool, few: bool) -> DataFrame:
     return out.coalesce(8) if few else out
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """node and root (the least node of its component) for every node of the links (a, b); hubs are handled by aggregates and split joins."""
+def stars(links: DataFrame) -> DataFrame:
+    """The components of the links (a, b) as links again, kept: one from each node that isn't the least of its component to that one. Hubs are handled by aggregates and split joins.
+
+    Links that are stars already take no round, so components may be carried on as stars, with new links added.
+    """
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "edges")
-    before, n = None, edges.count()
     while True:
-        few = n <= BROADCAST_ROWS  # no star has more links than twice the one before
+        # u > v in all edges; they are stars when each node has one end of its own, or is the other one of others'
+        ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("own")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("own")).distinct())
+        r = ends.groupBy("x").agg(F.count("*").alias("ends"), F.sum("own").alias("own")).agg(F.max("ends").alias("ends"), F.sum("own").alias("n")).first()
+        if (r["ends"] or 0) < 2:
+            return edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
+        few = r["n"] <= BROADCAST_ROWS  # no star has more links than twice the one before
         new = keep(_star(_star(edges, True, few), False, few), "edges")
         drop_kept(edges)
         edges = new
-        # a state is told by its number of links and a sum over them; unchanged: all are stars
-        r = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if (r["n"], r["x"]) == before or not r["n"]:
-            break
-        before, n = (r["n"], r["x"]), r["n"]
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def star_roots(links: DataFrame) -> DataFrame:
+    """node and root for every node of stars()."""
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def connected_components(links: DataFrame) -> DataFrame:
+    """node and root (the least node of its component) for every node of the links (a, b)."""
+    return star_roots(stars(links))
 
 
 def _best_pairs(pairs: DataFrame, k: int) -> DataFrame:
@@ -77,7 +88,7 @@ def _head_pairs(lists: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def link_by_heads(lists: DataFrame, links: DataFrame, tried: DataFrame, verified: Callable[[DataFrame], DataFrame], rooted: Callable[[DataFrame, DataFrame], DataFrame], num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Lists (s, h, root, n, pos), links and pairs tried (a, b), after rounds in which sets try heads of their lists.
+    """Lists (s, h, root, n, pos), links (stars, as those given) and pairs tried (a, b), after rounds in which sets try heads of their lists.
 
     Where lists hold many components their pairs grow with the square of a list, so as many as can be become one component before any are
     made, in rounds that have a row for a place at most; they end when places meet few others, or no fewer than before by a tenth. No pair is given up by it.
@@ -85,7 +96,7 @@ def link_by_heads(lists: DataFrame, links: DataFrame, tried: DataFrame, verified
     k, before = 0, None
     while (meets := _meets(lists)) > MEETS and (before is None or meets <= 0.9 * before):
         pairs = keep(_head_pairs(lists, k, num, den).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links, tried = links.unionByName(verified(pairs)), tried.unionByName(pairs)
+        links, tried = stars(links.unionByName(verified(pairs))), tried.unionByName(pairs)
         old, lists = lists, rooted(lists, links)
         drop_kept(old)
         k, before = k + 1, meets
@@ -100,7 +111,7 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def link_left(across: DataFrame, links: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The links (a, b), and those among the kept pairs (a, b, room) that join other components, by ``verified``.
+    """The links (a, b; stars), and those among the kept pairs (a, b, room) that join other components, by ``verified``, as stars.
 
     Likely pairs come first, a few for each node, as each link makes others needless; in the end all go through that still have ends in
     different components, so the components are those of all pairs.
@@ -109,10 +120,10 @@ def link_left(across: DataFrame, links: DataFrame, verified: Callable[[DataFrame
         if not across.limit(1).count():
             break
         now = keep(_best_pairs(across, k), "tried") if k < ROUNDS else across.select("a", "b")
-        links = links.unionByName(verified(now))
+        links = stars(links.unionByName(verified(now)))
         if k < ROUNDS:
             before = across
-            across = keep(_apart(across, connected_components(links)).join(now, ["a", "b"], "left_anti"), "pairs")
+            across = keep(_apart(across, star_roots(links)).join(now, ["a", "b"], "left_anti"), "pairs")
             drop_kept(before)
             drop_kept(now)
     return links

@@ -341,6 +341,16 @@ def test_components(spark):
     assert got == {i: 0 for i in range(21)} | {100: 100, 101: 100, 102: 100}
 
 
+def test_components_that_are_stars_take_no_round(spark, monkeypatch):
+    from lexmill.llm import components
+
+    kept = []
+    monkeypatch.setattr(components, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    star = spark.createDataFrame([(i, i % 3) for i in range(3, 40)], "a long, b long")
+    assert {r["node"]: r["root"] for r in connected_components(star).collect()} == {i: i % 3 for i in range(40)}
+    assert kept == ["edges"]
+
+
 # --- packing: ids ---------------------------------------------------------------------------------------------
 
 
