@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import BROADCAST_ROWS, drop_kept, first_met_pairs, join_both, join_small, keep, places, releases_shuffles
-from lexmill.llm.components import connected_components, link_by_heads, link_left
+from lexmill.llm.components import link_by_heads, link_left, star_roots, stars
 
 SHINGLE = 10
 VALUES = 9
@@ -80,20 +80,20 @@ def _signatures(lines: DataFrame) -> DataFrame:
 
 
 def _rooted(names: DataFrame, links: DataFrame | None, name: str = "h") -> DataFrame:
-    """Adds ``root``, the name of the component, to names of lines."""
+    """Adds ``root``, the name of the component, to names of lines; the links are stars."""
     if links is None:
         return names.withColumn("root", F.col(name))
-    roots = connected_components(links).select(F.col("node").alias(name), "root")
-    return names.join(roots, name, "left").withColumn("root", F.coalesce("root", name))
+    return join_small(names, star_roots(links).select(F.col("node").alias(name), "root"), name, "left").withColumn("root", F.coalesce("root", name))
 
 
 def _near_roots(names: DataFrame, links: DataFrame) -> DataFrame:
     """Adds ``root``, a node of the component two links away at most: lines with one root are in one component, though not the other way round."""
     both = links.select(F.col("a").alias("h"), F.least("a", "b").alias("m")).unionByName(links.select(F.col("b").alias("h"), F.least("a", "b").alias("m")))
-    near = both.groupBy("h").agg(F.min("m").alias("m"))
-    far = join_small(near, near.select(F.col("h").alias("m"), F.col("m").alias("far")), ["m"], "left")
+    near = keep(both.groupBy("h").agg(F.min("m").alias("m")), "near")
+    side: Callable[[DataFrame], DataFrame] = F.broadcast if near.count() <= BROADCAST_ROWS else lambda df: df
+    far = near.join(side(near.select(F.col("h").alias("m"), F.col("m").alias("far"))), ["m"], "left")
     roots = far.select("h", F.least("m", F.coalesce("far", "m")).alias("root"))
-    return names.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    return names.join(side(roots), "h", "left").withColumn("root", F.coalesce("root", "h"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -107,11 +107,15 @@ def _pair(x: str, y: str) -> list[Column]:
     return [F.greatest(x, y).alias("a"), F.least(x, y).alias("b")]
 
 
-def _apart(members: DataFrame, links: DataFrame | None) -> DataFrame:
-    """The members, with the root of their component, of buckets that hold more than one."""
+def _apart(members: DataFrame, links: DataFrame | None, k: int) -> DataFrame:
+    """The members, with the root of their component, of buckets that hold more than one, and the hub of the bucket, another one each round k."""
     named = members.withColumn("root", F.col("h")) if links is None else _near_roots(members, links)
-    wide = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("bucket")
-    return keep(join_small(named, keep(wide, "wide"), ["bucket"], "left_semi"), "apart")
+    hub = F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "root")).alias("hub")
+    wide = named.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), hub).filter("x != y").select("bucket", F.col("hub.h").alias("hub"), F.col("hub.root").alias("hub_root"))
+    wide = keep(wide, "wide")
+    apart = keep(join_small(named, wide, ["bucket"]), "apart")
+    drop_kept(wide)
+    return apart
 
 
 def _listed(n: str) -> Column:
@@ -121,15 +125,18 @@ def _listed(n: str) -> Column:
 
 def _rare_lists(names: DataFrame, texts: DataFrame, links: DataFrame) -> DataFrame:
     """Lists (s, h, root, n, pos): lines by rare shingles of theirs, n the size of a line's set, pos the shingle's place in it."""
-    sets = keep(texts.join(names, "h").select("h", F.explode(shingles(F.col("line"))).alias("x")), "shingles")
-    often = sets.groupBy("x").agg(F.count("*").alias("often")).filter("often > 1")
-    sizes = sets.groupBy("h").agg(F.count("*").alias("n"))
-    ranked = sets.join(often, "x").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("e")).join(sizes, "h")
+    whole = join_small(texts, names, "h").select("h", shingles(F.col("line")).alias("set"))
+    sets = keep(whole.select("h", F.size("set").alias("n"), F.explode("set").alias("x")), "shingles")
+    often = keep(sets.groupBy("x").agg(F.count("*").alias("often")).filter("often > 1"), "often")
+    ranked = sets.join(often, "x").groupBy("h", "n").agg(F.sort_array(F.collect_list(F.struct("often", "x"))).alias("e"))
     # shingles that no other line has come first, as the rarest, so those that are left come after as many
     alone = F.col("n") - F.size("e")
     left = F.greatest(_listed("n") - alone, F.lit(0)).cast("int")
     first = ranked.select("h", "n", alone.alias("alone"), F.posexplode(F.slice("e", F.lit(1), left)).alias("i", "e")).select("h", "n", (F.col("alone") + F.col("i")).alias("pos"), F.col("e.x").alias("s"))
-    return keep(_rooted(first, links), "lists")
+    lists = keep(_rooted(first, links), "lists")
+    drop_kept(sets)
+    drop_kept(often)
+    return lists
 
 
 def _wide_lists(lists: DataFrame) -> DataFrame:
@@ -142,17 +149,23 @@ def _links(members: DataFrame, texts: DataFrame) -> DataFrame | None:
     """Verified links (a, b) between names of lines that share a bucket; None if there is no candidate."""
     links: DataFrame | None = None
     tried: DataFrame | None = None
-    for k in range(STARS):
-        apart = _apart(members, links)
+    before: DataFrame | None = None
+    for k in range(STARS + 1):
+        apart = _apart(members, links, k)
+        drop_kept(members if before is None else before)
         if not apart.limit(1).count():
-            return links
-        hubs = keep(apart.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("h", F.lit(k)).alias("order"), "h", "root")).alias("hub")).select("bucket", "hub.h", "hub.root"), "hubs")
-        star = join_small(apart, hubs.select("bucket", F.col("h").alias("hub"), F.col("root").alias("hub_root")), ["bucket"]).filter("root != hub_root").select(*_pair("h", "hub")).distinct()
+            drop_kept(apart)
+            return links if links is None else stars(links)
+        if k == STARS:
+            break
+        star = apart.filter("root != hub_root").select(*_pair("h", "hub")).distinct()
         star = keep(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "pairs")
         new = _verified(star, texts)
         links, tried = (new, star) if links is None or tried is None else (links.unionByName(new), tried.unionByName(star))
-        members = keep(apart.select("bucket", "h").join(hubs.select("bucket", "h"), ["bucket", "h"], "left_anti"), "members")
-    rest = keep(_apart(members, links).select("h").distinct(), "rest")
+        members, before = apart.filter("h != hub").select("bucket", "h"), apart
+    rest = keep(apart.select("h").distinct(), "rest")
+    drop_kept(apart)
+    links = stars(links)
     verified: Callable[[DataFrame], DataFrame] = lambda some: _verified(some, texts)
     lists, links, tried = link_by_heads(_rare_lists(rest, texts, links), links, tried, verified, lambda lists, links: keep(_rooted(lists.drop("root"), links), "lists"), NUM, DEN)
     pairs = keep(first_met_pairs(keep(places(_wide_lists(lists), MORE), "places"), NUM, DEN, _listed).join(tried, ["a", "b"], "left_anti"), "pairs")
@@ -190,11 +203,13 @@ def _repeats(docs: DataFrame) -> DataFrame:
         if not classes.filter("clash").limit(1).count():
             break
     texts = keep(found.filter("line IS NOT NULL").groupBy("h").agg(F.first("line").alias("line")), "texts")
+    slim = keep(found.select("id", "k", "no", "h"), "found")
+    drop_kept(found)
     links = _links(members, texts)
     rooted = _rooted(classes.select("h", "first", "n"), links)
     least = rooted.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1").select("root", "keep")
     kept = keep(rooted.join(least, "root").select("h", "keep"), "kept")
-    repeats = found.select("id", "k", "no", "h").join(kept, "h").filter(~F.struct("id", "k", "no").eqNullSafe(F.col("keep")))
+    repeats = slim.join(kept, "h").filter(~F.struct("id", "k", "no").eqNullSafe(F.col("keep")))
     return keep(repeats.groupBy("id", "k").agg(F.collect_set("no").alias("drop")), "dropped")
 
 

@@ -4,6 +4,7 @@ import random
 import re
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -351,6 +352,16 @@ def test_components_that_are_stars_take_no_round(spark, monkeypatch):
     assert kept == ["edges"]
 
 
+def test_line_dedup_keeps_no_table_of_a_round_that_is_over(spark):
+    near = words(7, 60)
+    rows = spark.createDataFrame([(i, near + f" end{i}\n" + words(i)) for i in range(30)], "doc_id long, text string")
+    made = []
+    with common.collected(made):
+        assert sum(r["n_dropped"] for r in line_dedup.fuzzy_line_dedup(rows).collect()) == 29
+    left = [path.rsplit("/", 1)[-1] for _, path in made if any(Path(path.removeprefix("file:")).glob("part-*")) and spark.read.parquet(path).limit(1).count()]
+    assert not {"members", "apart", "wide", "signed"} & set(left) and left.count("found") == 1
+
+
 # --- packing: ids ---------------------------------------------------------------------------------------------
 
 
