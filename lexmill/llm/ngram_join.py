@@ -21,6 +21,7 @@ table gives an empty result; columns other than id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import drop_kept, first_met_pairs, join_both, join_small, keep, mix64, places, releases_shuffles, word_hashes
-from lexmill.llm.components import connected_components, link_by_heads, link_left
+from lexmill.llm.components import link_by_heads, link_left, star_roots, stars
 
 WORDS = 5
 #: Similarity as a fraction.
@@ -42,6 +43,8 @@ COUNT_MOST = 1_000_000
 MORE = 20
 #: Share of the short lists that a pair has in common to be worth a look in the first round.
 ALIKE = 0.3
+#: Parts of the lists, by their shingles' hashes, that go through the shuffle one after the other, so that its files take only a part of the disk.
+PASSES = 2
 #: Rounds in which each class tries the likeliest of its lists' heads.
 HEADS = 4
 
@@ -296,8 +299,8 @@ def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _rooted(lists: DataFrame, links: DataFrame) -> DataFrame:
     """Postings (s, cid, n, pos, root) of lists that hold several components, of classes that are on enough of them to link at all (m of T-occurrence)."""
-    roots = connected_components(links).select(F.col("node").alias("cid"), "root")
-    named = lists.select("s", "cid", "n", "pos").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
+    roots = star_roots(links).select(F.col("node").alias("cid"), "root")
+    named = join_small(lists.select("s", "cid", "n", "pos"), roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     wide = named.groupBy("s").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("s")
     some = named.join(wide, "s", "left_semi")
     enough = some.groupBy("cid").agg(F.count("*").alias("w"), F.first("n").alias("n")).filter(F.col("w") >= 1 + F.floor(F.col("n") / MORE)).select("cid")
@@ -334,28 +337,31 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop_kept(index)
     postings = index.filter("short IS NOT NULL").select("cid", "n", F.posexplode("short").alias("pos", "s")).select("s", "cid", "n", "pos")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    lists = keep(postings.repartition(parts, "s").sortWithinPartitions("s", "cid").mapInArrow(_heads, "s long, cid long, n long, pos long, hub long, hub_n long, hub_pos long"), "lists")
+    passes = [postings.filter(F.pmod("s", F.lit(PASSES)) == k).repartition(parts, "s").sortWithinPartitions("s", "cid") for k in range(PASSES)]
+    passes = [keep(some.mapInArrow(_heads, "s long, cid long, n long, pos long, hub long, hub_n long, hub_pos long"), "lists") for some in passes]
+    lists = functools.reduce(DataFrame.unionByName, passes)
     ids = keep(index.select("id", "n", "cid"), "ids")
     drop_kept(index)
     starred = lists.filter((F.col("cid") != F.col("hub")) & _may_link("n", "pos", "hub_n", "hub_pos")).groupBy("cid", "hub").agg(F.count("*").alias("common"), F.first("n").alias("n"), F.first("hub_n").alias("hub_n"))
     alike = starred.filter(F.col("common") >= ALIKE * F.least(_short("n"), _short("hub_n")))
     tried = keep(alike.select(F.greatest("cid", "hub").alias("a"), F.least("cid", "hub").alias("b")).distinct(), "pairs")
-    links = _verify(tried, _needed_sets(rows, tried, words, seed))
+    links = stars(_verify(tried, _needed_sets(rows, tried, words, seed)))
     rest = _rooted(lists, links)
-    drop_kept(lists)
+    for some in passes:
+        drop_kept(some)
     # the sets of all classes that are still in wide lists: one pass over the documents, however often they are probed
     sets = keep(_sets(rows, rest.select("cid").distinct(), words, seed), "sets") if rest.limit(1).count() else None
     for k in range(1, HEADS):
         if not rest.limit(1).count():
             break
         pairs = keep(_likeliest(rest, k).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links, tried = links.unionByName(_verify(pairs, sets)), tried.unionByName(pairs)
+        links, tried = stars(links.unionByName(_verify(pairs, sets))), tried.unionByName(pairs)
         before, rest = rest, _rooted(rest, links)
         drop_kept(before)
     rest, links, tried = link_by_heads(rest.withColumnRenamed("cid", "h"), links, tried, lambda pairs: _verify(pairs, sets), lambda lists, links: _rooted(lists.withColumnRenamed("h", "cid"), links).withColumnRenamed("cid", "h"), NUM, DEN)
     across = keep(_left_pairs(rest).join(tried, ["a", "b"], "left_anti"), "pairs")
     links = link_left(across, links, lambda pairs: _verify(pairs, sets))
-    roots = connected_components(links)
+    roots = star_roots(links)
     least = ids.filter("n > 0").groupBy("cid").agg(F.min("id").alias("least"))
     named = least.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     groups = keep(named.select("cid", "root").join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("cid", "component_id"), "groups")

@@ -362,6 +362,15 @@ def test_line_dedup_keeps_no_table_of_a_round_that_is_over(spark):
     assert not {"members", "apart", "wide", "signed"} & set(left) and left.count("found") == 1
 
 
+def test_ngram_lists_are_made_in_parts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(ngram_join, "keep", lambda df, name: (made.append({r["s"] for r in df.collect()}) if name == "lists" else None) or keep(df, name))
+    rows = spark.createDataFrame([(i, words(i // 2)) for i in range(20)] + [(99, words(0) + " one more end")], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_groups(rows).collect()}
+    assert got == {i: i // 2 * 2 for i in range(20)} | {99: 0}
+    assert len(made) > 1 and all(made) and not set.intersection(*made)
+
+
 # --- packing: ids ---------------------------------------------------------------------------------------------
 
 
