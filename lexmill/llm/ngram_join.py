@@ -7,7 +7,7 @@ is checked by binary probes in the sorted shingles of the candidate, against the
 
 Lists are divided by one global order, so both sides of a pair skip the same lists: shingles that recur within a part of the
 input, by an estimate of their frequency, come last, others before them by hash. Only shingles before the division are
-shuffled (about a quarter), so frequent passages meet in no task. Any order gives the same result; the order only saves time.
+shuffled (about a quarter, in PASSES parts one after the other), so frequent passages meet in no task. Any order gives the same result; the order only saves time.
 
 Links are wanted up to groups, so a list isn't expanded into its pairs: each member is paired with the list's head, pairs that look
 alike are verified, components contracted, and lists within one component are done; so again, by other heads, for those that are left. On the lists that
