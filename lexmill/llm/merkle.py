@@ -30,7 +30,7 @@ from lexmill.llm.common import join_small, keep
 
 FANOUT = 16
 #: Rows with ways to the root, of a few kilobytes each, up to which they are broadcast.
-FEW_WAYS = 20_000
+FEW_WAYS = 2_000
 
 
 def field(c: Column) -> Column:
@@ -168,6 +168,11 @@ def _step(children: Column, k: Column) -> Column:
     return F.struct(F.array_join(F.slice(children, F.lit(1), k), "").alias("l"), F.array_join(F.slice(children, k + 2, F.greatest(F.size(children) - k - 1, F.lit(0))), "").alias("r"))
 
 
+def _join_ways(left: DataFrame, right: DataFrame, on: str | list[str], few: bool = False) -> DataFrame:
+    """A join with rows that have ways. Their files are small, as neighbours share most of their ways, and Spark would broadcast them for that, though in memory each has kilobytes."""
+    return left.join(broadcast(right) if few and right.count() <= FEW_WAYS else right.hint("merge"), on)
+
+
 def ways(levels: list[DataFrame], tops: DataFrame, name: str, fanout: int = FANOUT) -> DataFrame:
     """The lowest level's nodes (g, i, children) with way, the steps from there to the root, lowest first, and what else ``tops`` (g, way) has.
 
@@ -177,11 +182,11 @@ def ways(levels: list[DataFrame], tops: DataFrame, name: str, fanout: int = FANO
     above: DataFrame | None = None
     for k in range(len(levels) - 1, -1, -1):
         nodes = levels[k].select("g", "i", "n", "children")
-        roots = join_small(nodes.filter("n = 1"), tops, "g", most=FEW_WAYS)
+        roots = _join_ways(nodes.filter("n = 1"), tops, "g", few=True)
         here = roots.select("g", "i", "children", "way", *more)
         if above is not None:
             each = above.select("g", (F.col("i") * fanout + F.col("k")).alias("i"), F.concat(F.array(_step(F.col("children"), F.col("k"))), F.col("way")).alias("way"), *more)
-            here = here.unionByName(nodes.filter("n > 1").select("g", "i", "children").join(each, ["g", "i"]))
+            here = here.unionByName(_join_ways(nodes.filter("n > 1").select("g", "i", "children"), each, ["g", "i"]))
         here = keep(here, f"{name}/ways={k + 1}")
         above = here.select("*", F.explode(F.sequence(F.lit(0), F.size("children") - 1)).alias("k")) if k else here
     return above
@@ -219,17 +224,17 @@ def manifest(rows: DataFrame, id_col: str, group_col: str, leaf: Column, carry:
         start = root.select(F.lit("").alias("g"), no_way.alias("way"), "root")
         above = ways(top_levels, start, "top", fanout).select(F.col("i").alias("p"), "children", "way", "root")
         tops = tops.withColumn("p", F.floor(F.col("i") / fanout))
-        tops = join_small(tops, above, "p", most=FEW_WAYS).select("group", "digest", F.concat(F.array(_step(F.col("children"), F.pmod(F.col("i"), F.lit(fanout)).cast("int"))), "way").alias("way"), "root")
+        tops = _join_ways(tops, above, "p", few=True).select("group", "digest", F.concat(F.array(_step(F.col("children"), F.pmod(F.col("i"), F.lit(fanout)).cast("int"))), "way").alias("way"), "root")
     else:
         tops = tops.select("group", "digest", no_way.alias("way"), F.col("digest").alias("root"))
     tops = keep(tops.select(F.col("group").alias("g"), "way", F.col("digest").alias("subroot"), "root"), "tops")
     columns = ["id", "g", "leaf", "subroot", "root", "way", "more"]
-    lone = join_small(leaves.filter("n = 1").withColumnRenamed("digest", "leaf"), tops, "g", most=FEW_WAYS).select(columns)
+    lone = _join_ways(leaves.filter("n = 1").withColumnRenamed("digest", "leaf"), tops, "g", few=True).select(columns)
     if not levels:
         out = lone
     else:
         lowest = ways(levels, tops, "nodes", fanout).withColumnRenamed("i", "p")
-        each = leaves.filter("n > 1").withColumn("p", F.floor(F.col("i") / fanout)).withColumnRenamed("digest", "leaf").join(lowest, ["g", "p"])
+        each = _join_ways(leaves.filter("n > 1").withColumn("p", F.floor(F.col("i") / fanout)).withColumnRenamed("digest", "leaf"), lowest, ["g", "p"])
         way = F.concat(F.array(_step(F.col("children"), F.pmod(F.col("i"), F.lit(fanout)).cast("int"))), F.col("way"))
         out = each.withColumn("way", way).select(columns).unionByName(lone)
     return out.select(F.col("id").alias(id_col), "g", "leaf", "subroot", "root", "way", *[F.col(f"more.`{k}`").alias(k) for k in carry])
