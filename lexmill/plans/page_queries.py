@@ -19,11 +19,11 @@ TERMS = ["th", "on"]
 TERM = "que"
 
 
-def laid_out(docs: DataFrame) -> DataFrame:
-    """doc_id and pages, of the schema that article files have; a page's lines come from the last to the first."""
+def laid_out(docs: DataFrame, *carry: str) -> DataFrame:
+    """doc_id, columns carried along, and pages, of the schema that article files have; a page's lines come from the last to the first."""
     words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
     # generated, so that the optimizer doesn't put the split into the lambdas, once a word
-    rows = docs.select("doc_id", F.explode(F.array(words)).alias("w")).filter("size(w) > 0")
+    rows = docs.select("doc_id", *carry, F.explode(F.array(words)).alias("w")).filter("size(w) > 0")
 
     def polygon(left, top, width):
         right, bottom = left + width, top + 0.25
@@ -41,7 +41,7 @@ def laid_out(docs: DataFrame) -> DataFrame:
         lines = F.transform(F.reverse(F.sequence(F.lit(0), F.floor((F.size(own) - 1) / LINE).cast("int"))), lambda k: line(own, k))
         return F.struct((p + 1).alias("pageNumber"), F.lit(8.0).alias("width"), F.lit(11.0).alias("height"), F.lit("inch").alias("unit"), F.lit(0.0).alias("angle"), F.transform(own, word).alias("words"), lines.alias("lines"))
 
-    return rows.select("doc_id", F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PAGE).cast("int")), page).alias("pages"))
+    return rows.select("doc_id", *carry, F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / PAGE).cast("int")), page).alias("pages"))
 
 
 def found_words(docs: DataFrame) -> DataFrame:
@@ -72,12 +72,12 @@ _FOUND = f"""SELECT DISTINCT doc_id, i FROM (
 def citation_boxes(spark, sf_dir):
     """What is marked on the pages of a document that is searched for several phrases."""
     docs = documents(spark, sf_dir)
-    found = found_words(docs)
-    words = articles.page_words(laid_out(docs))
-    # only pages with a match have boxes
-    words = words.join(found.withColumn("hit", F.lit(True)), ["doc_id", "word_index"], "left").withColumn("matched", F.col("hit").isNotNull())
-    hit = words.filter("matched").select("doc_id", "page").distinct()
-    return articles.highlight_regions(words.join(hit, ["doc_id", "page"], "left_semi")).select("doc_id", "page", "region", "left", "top", "right", "bottom", "n_words")
+    # texts meet the places of matches before they are laid out; documents without one have no boxes
+    hits = found_words(docs).groupBy("doc_id").agg(F.collect_list("word_index").alias("hits"))
+    # a layout is far larger than its text, so texts aren't put together in fewer tasks for being small
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pages = articles.matched_pages(laid_out(docs.repartition(n, "doc_id").join(hits, "doc_id"), "hits"))
+    return articles.regions_of(pages).select("doc_id", "page", "region", "left", "top", "right", "bottom", "n_words")
 
 
 @query(

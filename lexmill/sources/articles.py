@@ -78,7 +78,34 @@ def highlight_regions(words: DataFrame, pad: float = 3.0) -> DataFrame:
     """
     rows = words.filter((F.col("right") - F.col("left") >= 1) & (F.col("bottom") - F.col("top") >= 1))
     row = F.struct("word_index", "left", "top", "right", "bottom", "matched")
-    pages = rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("w"))
+    return regions_of(rows.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(row)).alias("w")), pad)
+
+
+def matched_pages(articles: DataFrame, dpi: float = 200.0) -> DataFrame:
+    """doc_id, page, w: the words with an area, in order, of each page that has one of its document's matched words (doc_id, pages, hits: array of word indices).
+
+    What page_words() and highlight_regions() come to for documents of one row each, within the row: no word goes through a shuffle.
+    """
+    sizes = F.transform("pages", lambda p: F.named_struct(F.lit("page"), p["pageNumber"], F.lit("n"), F.size(p["words"])))
+    rows = articles.select("doc_id", "hits", sizes.alias("sizes"), F.explode("pages").alias("p"))
+    before = F.aggregate(F.filter("sizes", lambda s: s["page"] < F.col("p.pageNumber")), F.lit(0), lambda a, s: a + F.greatest(s["n"], F.lit(0)))
+    rows = rows.select("doc_id", "hits", F.col("p.pageNumber").alias("page"), F.col("p.words").alias("words"), before.alias("offset"))
+    own = F.filter("hits", lambda i: (i >= F.col("offset")) & (i < F.col("offset") + F.size("words")))
+    # generated, so that the optimizer doesn't put it into the lambda, once a word
+    rows = rows.select("doc_id", "page", "words", "offset", F.explode(F.array(own)).alias("own")).filter("size(own) > 0")
+
+    def boxed(word: Column, i: Column) -> Column:
+        xs, ys = F.filter(word["polygon"], lambda v, k: k % 2 == 0), F.filter(word["polygon"], lambda v, k: k % 2 == 1)
+        sides = [(F.array_min(xs), "left"), (F.array_min(ys), "top"), (F.array_max(xs), "right"), (F.array_max(ys), "bottom")]
+        at = F.col("offset") + i
+        return F.named_struct(F.lit("word_index"), at, *[x for c, n in sides for x in (F.lit(n), c * dpi)], F.lit("matched"), F.array_contains("own", at))
+
+    w = F.filter(F.transform("words", boxed), lambda b: (b["right"] - b["left"] >= 1) & (b["bottom"] - b["top"] >= 1))
+    return rows.select("doc_id", "page", w.alias("w"))
+
+
+def regions_of(pages: DataFrame, pad: float = 3.0) -> DataFrame:
+    """The boxes of highlight_regions() from pages (doc_id, page, w: words in order)."""
     box = "struct<left: double, top: double, right: double, bottom: double, n_words: int>"
     start = F.struct(F.array().cast(f"array<{box}>").alias("done"), F.lit(None).cast(box).alias("now"))
 
