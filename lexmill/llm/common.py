@@ -15,12 +15,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import broadcast
 
-from lexmill.session import shared_path
+from lexmill.session import _RELEASE, shared_path, shuffles_released  # noqa: F401
 
 BROADCAST_ROWS = 1_000_000
 
-_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
 _MADE: list[tuple[SparkSession, str]] = []
 
 
@@ -36,20 +34,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-@contextlib.contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile Spark removes the shuffle files of each query as it ends, and not only once the driver has collected its garbage."""
-    before = spark.conf.get(_RELEASE, None)
-    spark.conf.set(_RELEASE, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(_RELEASE)
-        else:
-            spark.conf.set(_RELEASE, before)
-
-
 def releases_shuffles(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """fn(docs, ...), whose actions leave no shuffle files."""
 
